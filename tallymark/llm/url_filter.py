@@ -154,7 +154,7 @@ def filter_urls(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
     too; a null id stays null; columns other than the two named are not read.
     """
     rank = {r: i for i, r in enumerate(host_rules)}
-    ordered = sorted(ordered, key=lambda r: (len(r.text), -rank[r]))
+    ordered = sorted(host_rules, key=lambda r: (len(r.text), -rank[r]))
     globs = [r.symbols() for r in ordered] + [r.symbols() for r in glob_rules]
     names = np.array([r.text for r in ordered] + [None], object)
     actions = np.array([r.action for r in ordered], object)
