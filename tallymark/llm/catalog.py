@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from tallymark.llm import language_id, mixing, pii, secret_scan, simhash, token_count, url_filter
+from tallymark.llm import language_id, mixing, neighbours, pii, secret_scan, simhash, token_count, url_filter
 
 
 def queries() -> dict:
     return {
         "op2_pii": pii.op2_pii,
+        "op3_nearest_neighbours": neighbours.op3_nearest_neighbours,
         "op5_language_id": language_id.op5_language_id,
         "op6_token_count": token_count.op6_token_count,
         "op7_secret_scan": secret_scan.op7_secret_scan,
