@@ -182,6 +182,22 @@ def identify(docs: DataFrame, model: LanguageModel | None, id_col: str = "doc_id
     return rows.mapInArrow(predict, f"`{id_col}` {rows.schema[0].dataType.simpleString()}, held_out boolean, lang_pred string, score double, rejected boolean")
 
 
+def keep_identified(docs: DataFrame, model: LanguageModel | None, text_col: str = "text") -> DataFrame:
+    """``docs`` without the rows that ``identify`` rejects; one map over the rows, which keeps all their columns."""
+    sent = docs.sparkSession.sparkContext.broadcast(model)
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = sent.value
+        for batch in batches:
+            for part in slices(batch, text_col, 1 << 20):
+                texts = part.column(text_col)
+                fine = np.array([bool(t and LETTER.search(t)) for t in texts.to_pylist()], bool)
+                fine &= known.predict(pc.fill_null(texts, ""))[1] >= known.threshold if known else False
+                yield part.filter(pa.array(fine))
+
+    return docs.mapInArrow(keep, docs.schema)
+
+
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return identify(docs, train(docs))

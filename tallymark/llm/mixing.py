@@ -30,7 +30,8 @@ def source_targets(sizes: DataFrame, weights=WEIGHTS, share: float = SHARE, most
 
     Sharing the excess again by weight until no target is above its cap comes to one water level:
     with the sources in order of cap / weight, the first k are full and the rest get level x weight,
-    for the smallest k at which the next one isn't full. The windows run over sources, not rows.
+    for the smallest k at which the next one isn't full; levels for larger k are lower, so it is the
+    highest of those that fit. The windows run over sources, not rows.
     """
     by_name = Window.orderBy(F.col("source").asc_nulls_last())
     weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.pmod(F.row_number().over(by_name) - 1, F.lit(len(weights))) + 1).cast("int"))
@@ -46,13 +47,13 @@ def source_targets(sizes: DataFrame, weights=WEIGHTS, share: float = SHARE, most
         .withColumn("left_weight", F.sum("weight").over(rest))
         .withColumn("total", F.sum("source_size").over(everything))
         .withColumn("level", level)
-        .withColumn("water", F.min(F.when(F.col("level") <= F.col("ratio"), F.col("level"))).over(everything))
+        .withColumn("water", F.max(F.when(F.col("level") <= F.col("ratio"), F.col("level"))).over(everything))
         .select("source", "source_size", F.least("cap", F.coalesce(F.col("water") * F.col("weight"), F.col("cap"))).alias("target"))
     )
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights=WEIGHTS, share: float = SHARE, most: float = MOST) -> DataFrame:
-    """(id, size, source_size, target, taken, source) of each document.
+def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights=WEIGHTS, share: float = SHARE, most: float = MOST, carry: tuple[str, ...] = ()) -> DataFrame:
+    """(id, size, source_size, target, taken, source) of each document, and the columns named in ``carry``.
 
     ``size`` is the number of words, ``taken`` the words the mix takes of the document, repeats
     counted: its size for each whole epoch, and once more for the documents that the rest of the
@@ -61,9 +62,9 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     own, last; equal rows share a key and differ only in which of them is cut. Other columns are not read.
     """
     key = F.md5(F.concat_ws(":", F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.lit("mix")))
-    rows = docs.select(F.col(id_col), F.col(source_col).cast("string").alias("source"), key.alias("key"), word_count(F.col(text_col)).alias("size"))
+    rows = docs.select(F.col(id_col), F.col(source_col).cast("string").alias("source"), key.alias("key"), word_count(F.col(text_col)).alias("size"), *[F.col(c).alias(f"carried_{c}") for c in carry])
     rows = rows.withColumn("range", F.substring("key", 1, RANGE_DIGITS))
-    ranges = rows.groupBy("source", "range").agg(F.sum("size").alias("range_size"))
+    ranges = rows.select("source", "range", "size").groupBy("source", "range").agg(F.sum("size").alias("range_size"))
     before = Window.partitionBy("source").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
     ranges = ranges.withColumn("before_range", F.coalesce(F.sum("range_size").over(before), F.lit(0)))
     targets = source_targets(ranges.groupBy("source").agg(F.sum("range_size").alias("source_size")), weights, share, most)
@@ -75,7 +76,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     epochs = F.when(F.col("source_size") > 0, F.expr("floor(target) div source_size")).otherwise(F.lit(0)).cast("long")
     rest = budget - epochs * F.col("source_size")
     once = F.greatest(F.lit(0), F.least(F.col("size"), rest - F.col("before_range") - F.col("before")))
-    return joined.select(F.col(f"p.{id_col}").alias(id_col), "size", "source_size", "target", (epochs * F.col("size") + once).cast("long").alias("taken"), F.col("p.source").alias("source"))
+    return joined.select(F.col(f"p.{id_col}").alias(id_col), "size", "source_size", "target", (epochs * F.col("size") + once).cast("long").alias("taken"), F.col("p.source").alias("source"), *[F.col(f"p.carried_{c}").alias(c) for c in carry])
 
 
 def op9_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -99,7 +100,7 @@ WITH d AS (
          CAST(sum(source_size) OVER () AS BIGINT) AS total
   FROM c
 ), l AS (SELECT *, (total * 1.5::DOUBLE - full_before) / left_weight AS level FROM f),
-w AS (SELECT *, min(CASE WHEN level <= ratio THEN level END) OVER () AS water FROM l),
+w AS (SELECT *, max(CASE WHEN level <= ratio THEN level END) OVER () AS water FROM l),
 t AS (SELECT source, source_size, least(cap, coalesce(water * weight, cap)) AS target FROM w),
 p AS (
   SELECT doc_id, size, d.source, source_size, target,

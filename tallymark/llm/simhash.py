@@ -203,5 +203,20 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return prints.join(of, "fp").select(id_col, F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, radius: int = 2) -> DataFrame:
+    """One row of each component of ``near_duplicates``: that of the least id, null ids last, then of the least text hash; of equal ones any."""
+    work = Workspace(docs.sparkSession)
+    row = F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("hash"))
+    marked = docs.withColumn("row_", row)
+    near = near_duplicates(marked, "row_", text_col, shingle, radius)
+    kept = work.write(near.where("row_ <=> component_id").groupBy(F.col("row_").alias("kept_")).count(), "kept")
+    same = F.col("row_").eqNullSafe(F.col("kept_"))
+    out = marked.join(kept.where("count = 1"), same, "left_semi")
+    repeated = kept.where("count > 1")
+    if repeated.limit(1).count():
+        out = out.unionByName(marked.join(repeated, same, "left_semi").dropDuplicates(["row_"]))
+    return out.drop("row_")
+
+
 def op8_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
