@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from tallymark.llm import decontaminate, language_id, mixing, neighbours, pii, secret_scan, simhash, token_count, url_filter
+from tallymark.llm import decontaminate, language_id, mixing, neighbours, pii, secret_scan, simhash, suffix_dedup, token_count, url_filter
 
 
 def queries() -> dict:
     return {
+        "op1_suffix_dedup": suffix_dedup.op1_suffix_dedup,
         "op2_pii": pii.op2_pii,
         "op3_nearest_neighbours": neighbours.op3_nearest_neighbours,
         "op4_decontaminate": decontaminate.op4_decontaminate,
