@@ -27,7 +27,7 @@ BUCKETS = 1 << 14
 #: Bound on the labelled rows that the driver trains on.
 SAMPLE = 3000
 #: Share of rightly predicted rows that rejection may cost, and the highest threshold it may take.
-COST, HIGHEST = 0.002, 0.5
+COST, HIGHEST = 0.0005, 0.4
 UNKNOWN = "und"
 LETTER = regex.compile(r"\p{L}")
 # Bytes of ASCII that are no letters become spaces; those of other letters stay.
@@ -88,8 +88,8 @@ def softmax(x: np.ndarray) -> np.ndarray:
     return e / e.sum(1, keepdims=True)
 
 
-def fit(rows: list[tuple[np.ndarray, np.ndarray]], names: list[str], width: int = 16, epochs: int = 8, rate: float = 4.0, seed: int = 7) -> LanguageModel:
-    """Train by stochastic gradient descent; every fifth row only sets the temperature and the threshold."""
+def fit(rows: list[tuple[np.ndarray, np.ndarray]], names: list[str], width: int = 16, epochs: int = 8, rate: float = 0.5, seed: int = 7) -> LanguageModel:
+    """Train by stochastic gradient descent; every fifth row only sets the temperature and the threshold. Should the steps be too long for the data, shorter ones are tried."""
     labels = sorted(set(names))
     y = np.array([labels.index(x) for x in names])
     rng = np.random.default_rng(seed)
@@ -111,6 +111,8 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray]], names: list[str], width: int
             weights -= lr * np.outer(hidden, p)
             bias -= lr * 0.1 * p
             table_[ids] -= (lr * len(ids) ** 0.5 * share)[:, None] * back
+    if not np.isfinite(table_ @ weights).all() or np.abs(table_ @ weights).max() > 1e6:
+        return fit(rows, names, width, epochs, rate / 4, seed)
     held = [i for i in range(len(rows)) if i % 5 == 0]
     logits = np.array([shares[i] @ (table_[rows[i][0]] @ weights) + bias for i in held])
     truth = y[held]
@@ -174,7 +176,7 @@ def identify(docs: DataFrame, model: LanguageModel | None, id_col: str = "doc_id
                 names = np.array([*(known.labels if known else []), UNKNOWN], object)
                 score = np.where(letter, score, 0.0)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), part.column(1), pa.array(names[np.where(letter, best, len(names) - 1)], pa.string()), pa.array(score), pa.array(~letter | (score < (known.threshold if known else 1)))],
+                    [part.column(0), part.column(1), pa.array(names[np.where(letter, best, len(names) - 1)], pa.string()), pa.array(score), pa.array(~(letter & (score >= (known.threshold if known else 1))))],
                     names=[id_col, "held_out", "lang_pred", "score", "rejected"],
                 )
 
