@@ -29,8 +29,10 @@ WINDOW, STRIDE = 64, 32
 BLOCK_ITEMS, BLOCK_BYTES, SPARE = 256, 2 << 20, 32
 #: Words in more than this share of the documents have no weight, but for each item's KEPT rarest ones.
 COMMON, KEPT = 0.02, 8
-#: Latent cosine of a candidate; share of the item in common order; that share if the answer is there; share of the answer.
-COSINE, COVERED, COVERED_WITH_ANSWER, ANSWERED = 0.35, 0.8, 0.6, 0.8
+#: Latent cosine of a candidate, and the share of the item's latent weight that it carries (one rare word makes a cosine, but carries little).
+COSINE, CONTAINED = 0.35, 0.3
+#: Share of the item's words in common order; that share if the answer is there; share of the answer.
+COVERED, COVERED_WITH_ANSWER, ANSWERED = 0.8, 0.6, 0.8
 #: Words at an item's end that are its answer, where it has no question mark.
 ANSWER_WORDS = 5
 
@@ -86,18 +88,18 @@ class Block:
         common[0] = True
         self.idf = np.where(common, 0, np.log1p(documents / (1 + df))).astype(np.float32)
 
-    def vectors(self) -> np.ndarray:
+    def vectors(self, unit: bool = True) -> np.ndarray:
         out = np.zeros((len(self.ids), len(self.idf)), np.float32)
         for i, ws in enumerate(self.words):
             w, n = np.unique(ws, return_counts=True)
             out[i, w] = (1 + np.log(n)) * self.idf[w]
-        return out / np.maximum(np.linalg.norm(out, axis=1), 1e-9)[:, None]
+        return out / np.maximum(np.linalg.norm(out, axis=1), 1e-9)[:, None] if unit else out
 
 
 def passages(ids: np.ndarray, at: np.ndarray, idf: np.ndarray, stride: int) -> tuple[np.ndarray, ...]:
-    """The sparse TF-IDF rows of all passages with a weight: (word, value, where each begins, its document, its first word).
+    """The sparse TF-IDF rows of all passages with a weight: (word, value, where each begins, its document, its first word, its norm).
 
-    ``ids`` are the word numbers of documents end to end, ``at`` where each begins; value has norm 1 a passage.
+    ``ids`` are the word numbers of documents end to end, ``at`` where each begins; value is divided by the norm.
     """
     place = np.nonzero(idf[ids] > 0)[0]
     doc = np.searchsorted(at, place, side="right") - 1
@@ -108,12 +110,13 @@ def passages(ids: np.ndarray, at: np.ndarray, idf: np.ndarray, stride: int) -> t
         place, doc, number, last = (np.concatenate([a, b[before]]) for a, b in ((place, place), (doc, doc), (number, number - 1), (last, last - 1)))
     key, first, tf = np.unique(number.astype(np.int64) * len(idf) + ids[place], return_index=True, return_counts=True)
     if not len(key):
-        return (*(np.zeros(0, np.int64),) * 5,)
+        return (*(np.zeros(0, np.int64),) * 6,)
     number, word = key // len(idf), (key % len(idf)).astype(np.int64)
     starts = np.nonzero(np.concatenate(([True], number[1:] != number[:-1])))[0]
     value = ((1 + np.log(tf)) * idf[word]).astype(np.float32)
-    value /= np.repeat(np.sqrt(np.add.reduceat(value**2, starts)), np.diff(np.append(starts, len(value))))
-    return word, value, starts, doc[first[starts]], last[first[starts]] * stride
+    norm = np.sqrt(np.add.reduceat(value**2, starts))
+    value /= np.repeat(norm, np.diff(np.append(starts, len(value))))
+    return word, value, starts, doc[first[starts]], last[first[starts]] * stride, norm
 
 
 def _documents(batch: pa.RecordBatch, column: str) -> tuple[np.ndarray, np.ndarray]:
@@ -174,7 +177,7 @@ def latent_basis(tokens: DataFrame, block: Block, seed: int = 3) -> np.ndarray:
         total = np.zeros((size, rank), np.float32)
         for batch in batches:
             for part in _pieces(batch):
-                word, value, starts, _, _ = passages(*_documents(part, "words"), idf, WINDOW)
+                word, value, starts, *_ = passages(*_documents(part, "words"), idf, WINDOW)
                 if not len(word):
                     continue
                 z = np.add.reduceat(s[word] * value[:, None], starts, axis=0)
@@ -212,20 +215,23 @@ def matches_of(tokens: DataFrame, block: Block, cosine: float) -> DataFrame:
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         b = sent.value
-        latent = b.vectors() @ b.basis
-        latent /= np.maximum(np.linalg.norm(latent, axis=1), 1e-9)[:, None]
+        latent = b.vectors(unit=False) @ b.basis
+        weight = np.maximum(np.linalg.norm(latent, axis=1), 1e-9)
+        latent /= weight[:, None]
         masks, answers = [_masks(w) for w in b.words], [_masks(w) for w in b.answers]
         sizes = [len(w) for w in b.words]
         for batch in batches:
             for part in _pieces(batch):
                 ids, at = _documents(part, "words")
-                word, value, starts, doc, first = passages(ids, at, b.idf, STRIDE)
+                word, value, starts, doc, first, norm = passages(ids, at, b.idf, STRIDE)
                 if not len(word):
                     continue
                 z = np.add.reduceat(b.basis[word] * value[:, None], starts, axis=0)
-                z /= np.maximum(np.linalg.norm(z, axis=1), 1e-9)[:, None]
+                near_item = z @ latent.T
+                length = np.maximum(np.linalg.norm(z, axis=1), 1e-9)
+                chosen = (near_item >= cosine * length[:, None]) & (near_item * norm[:, None] >= CONTAINED * weight[None, :])
                 best: dict[tuple[int, int], tuple[float, float]] = {}
-                for p, item in zip(*np.nonzero(z @ latent.T >= cosine), strict=True):
+                for p, item in zip(*np.nonzero(chosen), strict=True):
                     key, n = (int(doc[p]), int(item)), sizes[item]
                     if best.get(key, (0, 0))[0] == 1:
                         continue
