@@ -1 +1 @@
-
+"""Whole comparisons: planning, running, explaining."""

@@ -1,11 +1,423 @@
-"""Registered queries of the verification engine and their DuckDB equivalents."""
+"""Registered queries of the verification engine and their DuckDB equivalents.
+
+Every query runs over its whole table. A comparison needs a second side: ``mutated_orders`` and the like derive it
+from the first by a fixed recipe, in the plan and in SQL alike, and nothing is written.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from tallymark.functions import aggregate_hash, canonical, joined, nullable_canonical, signed_hash
+from tallymark.model import Options, Pair, Rule
+from tallymark.operators import basics, joindiff, segments
+from tallymark.operators.hashdiff import hashdiff
+from tallymark.operators.matching import match_columns
+
+NO_OPTIONS = Options()
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+# -- the second sides ---------------------------------------------------------------------------
+
+ORDER_COLUMNS = ["o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate", "o_orderpriority"]
+
+
+def mutated_orders(orders: DataFrame) -> DataFrame:
+    """Without every 97th key; another status at every 89th and another price at every 101st; every 211th once more under a new key."""
+    k = F.col("o_orderkey")
+    kept = orders.where(k % 97 != 0)
+    kept = kept.withColumn("o_orderstatus", F.when(k % 89 == 0, F.lit("X")).otherwise(F.col("o_orderstatus"))).withColumn("o_totalprice", F.when(k % 101 == 0, F.col("o_totalprice") + 1).otherwise(F.col("o_totalprice")))
+    return kept.unionByName(orders.where(k % 211 == 0).withColumn("o_orderkey", k + 1_000_000))
+
+
+MUTATED_ORDERS = """
+  SELECT o_orderkey, o_custkey, CASE WHEN o_orderkey % 89 = 0 THEN 'X' ELSE o_orderstatus END AS o_orderstatus,
+         CASE WHEN o_orderkey % 101 = 0 THEN o_totalprice + 1 ELSE o_totalprice END AS o_totalprice, o_orderdate, o_orderpriority
+  FROM orders WHERE o_orderkey % 97 <> 0
+  UNION ALL
+  SELECT o_orderkey + 1000000, o_custkey, o_orderstatus, o_totalprice, o_orderdate, o_orderpriority FROM orders WHERE o_orderkey % 211 = 0"""
+
+_FLOAT = "CASE WHEN {c} = 0 THEN '0.00000000000000e+00' ELSE printf('%.14e', {c}) END"
+_TS = "strftime({c}, '%Y-%m-%dT%H:%M:%S.%fZ')"
+_ORDER_TEXTS = {
+    "o_orderkey": "CAST({c} AS VARCHAR)", "o_custkey": "CAST({c} AS VARCHAR)", "o_orderstatus": "{c}",
+    "o_totalprice": _FLOAT, "o_orderdate": _TS, "o_orderpriority": "{c}",
+}
+
+
+def _texts(columns: list[str]) -> str:
+    return ", ".join(f"{_ORDER_TEXTS[c].format(c=c)} AS {c}" for c in columns if c != "o_orderkey")
+
+
+def _orders_sql(columns: list[str] | None = None, where_source: str = "TRUE", where_target: str = "TRUE") -> str:
+    """CTEs: src and tgt in canonical text, j their full outer join, d the differences by kind."""
+    columns = columns or ORDER_COLUMNS
+    values = [c for c in columns if c != "o_orderkey"]
+    differs = " OR ".join(f"s.{c} IS DISTINCT FROM t.{c}" for c in values) or "FALSE"
+    cells = "".join(f", s.{c} AS s_{c}, t.{c} AS t_{c}" for c in values)
+    return f"""
+WITH mutated AS ({MUTATED_ORDERS}),
+src AS (SELECT o_orderkey, TRUE AS here, {_texts(columns)} FROM orders WHERE {where_source}),
+tgt AS (SELECT o_orderkey, TRUE AS here, {_texts(columns)} FROM mutated WHERE {where_target}),
+j AS (
+  SELECT coalesce(s.o_orderkey, t.o_orderkey) AS o_orderkey{cells},
+         CASE WHEN t.here IS NULL THEN 'missing' WHEN s.here IS NULL THEN 'extra' WHEN {differs} THEN 'changed' END AS kind
+  FROM src s FULL OUTER JOIN tgt t ON s.o_orderkey IS NOT DISTINCT FROM t.o_orderkey
+), d AS (SELECT * FROM j WHERE kind IS NOT NULL)
+"""
+
+
+def _canonical_orders(spark: SparkSession, sf_dir: str, columns=None, exclude=None, where_source=None, where_target=None) -> tuple[DataFrame, DataFrame, list[str], list[Pair]]:
+    s = table(spark, sf_dir, "orders")
+    t = mutated_orders(s)
+    keys, values, _, _ = match_columns(s.schema, t.schema, ["o_orderkey"], NO_OPTIONS, columns, exclude)
+    s, t = basics.filtered(s, where_source), basics.filtered(t, where_target)
+    return basics.canonical_side(s, "source", keys, values, NO_OPTIONS), basics.canonical_side(t, "target", keys, values, NO_OPTIONS), ["o_orderkey"], values
+
+
+def _diffs(spark, sf_dir, **how) -> DataFrame:
+    return joindiff.differences(*_canonical_orders(spark, sf_dir, **how))
+
+
+# -- registry -----------------------------------------------------------------------------------
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+SQL: dict[str, str] = {}
+
+
+def register(name: str, sql: str | None = None):
+    def add(query):
+        QUERIES[name] = query
+        if sql:
+            SQL[name] = sql
+        return query
+
+    return add
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return dict(QUERIES)
+
+
+def oracle_sql() -> dict[str, str]:
+    return dict(SQL)
+
+
+# -- joins --------------------------------------------------------------------------------------
+
+
+@register("joindiff_orders", _orders_sql() + "SELECT o_orderkey, kind FROM d")
+def joindiff_orders(spark, sf_dir):
+    return _diffs(spark, sf_dir).select("o_orderkey", "kind")
+
+
+@register("joindiff_counts", _orders_sql() + "SELECT count(*) FILTER (kind = 'missing') AS missing, count(*) FILTER (kind = 'extra') AS extra, count(*) FILTER (kind = 'changed') AS changed FROM d")
+def joindiff_counts(spark, sf_dir):
+    return joindiff.tally(_diffs(spark, sf_dir))
+
+
+@register("joindiff_detail_topk", _orders_sql() + "SELECT o_orderkey, kind FROM d ORDER BY o_orderkey LIMIT 101")
+def joindiff_detail_topk(spark, sf_dir):
+    """The capped list that a report shows: the cap is the feature."""
+    return joindiff.first_differences(_diffs(spark, sf_dir), ["o_orderkey"], 101).select("o_orderkey", "kind")
+
+
+@register("changed_cells", _orders_sql() + """
+SELECT o_orderkey, 'o_orderstatus' AS "column", s_o_orderstatus AS source, t_o_orderstatus AS target, 'STR-1' AS rule FROM d WHERE kind = 'changed' AND s_o_orderstatus IS DISTINCT FROM t_o_orderstatus
+UNION ALL
+SELECT o_orderkey, 'o_totalprice', s_o_totalprice, t_o_totalprice, 'FLT-1' FROM d WHERE kind = 'changed' AND s_o_totalprice IS DISTINCT FROM t_o_totalprice""")
+def changed_cells(spark, sf_dir):
+    return joindiff.changed_cells(_diffs(spark, sf_dir), ["o_orderkey"])
+
+
+@register("hashdiff_orders", _orders_sql() + "SELECT o_orderkey, kind FROM d")
+def hashdiff_orders(spark, sf_dir):
+    return hashdiff(*_canonical_orders(spark, sf_dir)).diffs.select("o_orderkey", "kind")
+
+
+@register("where_filter", _orders_sql(where_source="o_totalprice > 100000", where_target="o_totalprice > 100000") + "SELECT o_orderkey, kind FROM d")
+def where_filter(spark, sf_dir):
+    return _diffs(spark, sf_dir, where_source="o_totalprice > 100000", where_target="o_totalprice > 100000").select("o_orderkey", "kind")
+
+
+@register("where_side", _orders_sql(where_source="o_orderkey % 3 = 0", where_target="o_orderkey % 2 = 0") + "SELECT o_orderkey, kind FROM d")
+def where_side(spark, sf_dir):
+    return _diffs(spark, sf_dir, where_source="o_orderkey % 3 = 0", where_target="o_orderkey % 2 = 0").select("o_orderkey", "kind")
+
+
+@register("columns_subset", _orders_sql(["o_orderkey", "o_orderstatus"]) + "SELECT o_orderkey, kind FROM d")
+def columns_subset(spark, sf_dir):
+    return _diffs(spark, sf_dir, columns=["o_orderstatus"]).select("o_orderkey", "kind")
+
+
+@register("exclude", _orders_sql([c for c in ORDER_COLUMNS if c != "o_totalprice"]) + "SELECT o_orderkey, kind FROM d")
+def exclude(spark, sf_dir):
+    return _diffs(spark, sf_dir, exclude=["o_totalprice"]).select("o_orderkey", "kind")
+
+
+@register("column_map", """
+WITH t AS (SELECT c_custkey AS id, CASE WHEN c_custkey % 50 = 0 THEN upper(c_name) ELSE c_name END AS full_name FROM customer WHERE c_custkey % 40 <> 0)
+SELECT coalesce(c_custkey, id) AS c_custkey, CASE WHEN id IS NULL THEN 'missing' ELSE 'changed' END AS kind
+FROM customer LEFT JOIN t ON c_custkey = id WHERE id IS NULL OR c_name IS DISTINCT FROM full_name""")
+def column_map(spark, sf_dir):
+    """Renamed columns, the key among them."""
+    s = table(spark, sf_dir, "customer").select("c_custkey", "c_name")
+    k = F.col("c_custkey")
+    t = s.where(k % 40 != 0).select(k.alias("id"), F.when(k % 50 == 0, F.upper("c_name")).otherwise(F.col("c_name")).alias("full_name"))
+    keys, values, _, _ = match_columns(s.schema, t.schema, ["c_custkey"], column_map={"c_custkey": "id", "c_name": "full_name"})
+    sides = [basics.canonical_side(df, side, keys, values, NO_OPTIONS) for df, side in ((s, "source"), (t, "target"))]
+    return joindiff.differences(*sides, ["c_custkey"], values).select("c_custkey", "kind")
+
+
+@register("one_sided_columns", """
+SELECT * FROM (VALUES ('p_brand', 'p_brand is only in the source'), ('p_extra', 'p_extra is only in the target'),
+  ('p_size', 'p_size is left out: int (INT-1) and boolean (BOOL-1) can''t be compared')) AS v(name, message)""")
+def one_sided_columns(spark, sf_dir):
+    """The columns that can't be compared, of part and a table of nearly the same columns."""
+    s = table(spark, sf_dir, "part")
+    t = s.drop("p_brand").withColumn("p_extra", F.lit(1)).withColumn("p_size", F.col("p_size") > 10)
+    _, _, left_out, notices = match_columns(s.schema, t.schema, ["p_partkey"])
+    rows = [(n.column, n.message) for n in notices if n.column in left_out]
+    return spark.createDataFrame(rows, "name string, message string")
+
+
+# -- one side -----------------------------------------------------------------------------------
+
+
+@register("bounds", "SELECT min(event_id) AS lo, max(event_id) AS hi, count(*) AS n FROM events")
+def bounds(spark, sf_dir):
+    return basics.bounds(table(spark, sf_dir, "events"), "event_id")
+
+
+@register("row_counts", "SELECT (SELECT count(*) FROM orders) AS source_count, (SELECT count(*) FROM (" + MUTATED_ORDERS + ")) AS target_count")
+def row_counts(spark, sf_dir):
+    s = table(spark, sf_dir, "orders")
+    return s.agg(F.count("*").alias("source_count")).crossJoin(F.broadcast(mutated_orders(s).agg(F.count("*").alias("target_count"))))
+
+
+@register("duplicate_keys", "SELECT l_orderkey, l_linenumber, count(*) AS n FROM lineitem GROUP BY ALL HAVING count(*) > 1")
+def duplicate_keys(spark, sf_dir):
+    return basics.duplicate_keys(table(spark, sf_dir, "lineitem"), ["l_orderkey", "l_linenumber"])
+
+
+@register("unique_key_ok", "SELECT conv_id, turn, count(*) AS n FROM conversations GROUP BY ALL HAVING count(*) > 1")
+def unique_key_ok(spark, sf_dir):
+    return basics.duplicate_keys(table(spark, sf_dir, "conversations"), ["conv_id", "turn"])
+
+
+_MD5 = "('0x' || substr(md5({x}), 1, 16))::UBIGINT::HUGEINT"
+_SIGNED = f"(CASE WHEN {_MD5} >= 9223372036854775808 THEN {_MD5} - 18446744073709551616 ELSE {_MD5} END)"
+_ROW = "concat_ws(chr(31), CAST(c_custkey AS VARCHAR), c_name, CAST(c_nationkey AS VARCHAR), c_mktsegment)"
+
+
+def _customer_text() -> Column:
+    text = [nullable_canonical(F.col(c), r, t) for c, r, t in (("c_custkey", Rule.INT, T.LongType()), ("c_name", Rule.STR, T.StringType()), ("c_nationkey", Rule.INT, T.IntegerType()), ("c_mktsegment", Rule.STR, T.StringType()))]
+    return joined([F.coalesce(x, F.lit("\\N")) for x in text])
+
+
+@register("row_hash", f"SELECT c_custkey, CAST({_SIGNED.format(x=_ROW)} AS BIGINT) AS h FROM customer")
+def row_hash(spark, sf_dir):
+    return table(spark, sf_dir, "customer").select("c_custkey", signed_hash(_customer_text()).alias("h"))
+
+
+@register("aggregate_hash", f"SELECT c_mktsegment, count(*) AS n, CAST(((sum({_SIGNED.format(x=_ROW)}) % 18446744073709551616) + 18446744073709551616) % 18446744073709551616 AS VARCHAR) AS hash FROM customer GROUP BY 1")
+def aggregate_hash_by_group(spark, sf_dir):
+    rows = table(spark, sf_dir, "customer").withColumn("h", signed_hash(_customer_text()))
+    return rows.groupBy("c_mktsegment").agg(F.count("*").alias("n"), aggregate_hash(F.col("h")).cast("string").alias("hash"))
+
+
+_ORDER_ROW = "concat_ws(chr(31), " + ", ".join(_ORDER_TEXTS[c].format(c=c) for c in ORDER_COLUMNS) + ")"
+_SEG = "least(greatest(CAST(((o_orderkey - b.lo)::HUGEINT * 8) // (b.hi - b.lo + 1) AS INTEGER), 0), 7)"
+_BOUNDS = "WITH mutated AS (" + MUTATED_ORDERS + "), b AS (SELECT min(lo)::HUGEINT AS lo, max(hi)::HUGEINT AS hi FROM (SELECT min(o_orderkey) AS lo, max(o_orderkey) AS hi FROM orders UNION ALL SELECT min(o_orderkey), max(o_orderkey) FROM mutated))"
+
+
+def _segment_sql(source: str) -> str:
+    return f"SELECT {_SEG} AS seg, count(*) AS n, CAST(((sum({_SIGNED.format(x=_ORDER_ROW)}) % 18446744073709551616) + 18446744073709551616) % 18446744073709551616 AS VARCHAR) AS hash FROM {source}, b GROUP BY 1"
+
+
+def _segment_rows(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    s, t, _, values = _canonical_orders(spark, sf_dir)
+    ends = [r[x] for side in (s, t) for r in [basics.bounds(side, "o_orderkey").first()] for x in ("lo", "hi") if r[x] is not None] or [0, 0]
+    segment = segments.numeric_segment(F.col("o_orderkey"), min(ends), max(ends), 8)
+    text = joined([F.coalesce(F.col(c).cast("string"), F.lit("\\N")) for c in ORDER_COLUMNS])
+    return tuple(x.select(segment.alias("seg"), signed_hash(text).alias("h")).groupBy("seg").agg(F.count("*").alias("n"), aggregate_hash(F.col("h")).cast("string").alias("hash")) for x in (s, t))
+
+
+@register("segment_hash", _BOUNDS + _segment_sql("mutated"))
+def segment_hash(spark, sf_dir):
+    return _segment_rows(spark, sf_dir)[1]
+
+
+@register("segment_mismatch", _BOUNDS + f", s AS ({_segment_sql('orders')}), t AS ({_segment_sql('mutated')}) SELECT coalesce(s.seg, t.seg) AS seg FROM s FULL OUTER JOIN t ON s.seg = t.seg WHERE s.n IS DISTINCT FROM t.n OR s.hash IS DISTINCT FROM t.hash")
+def segment_mismatch(spark, sf_dir):
+    s, t = (x.withColumn("mix", F.lit(0)) for x in _segment_rows(spark, sf_dir))
+    return segments.mismatched(s, t, ["seg"])
+
+
+@register("segment_ranges", _BOUNDS + " SELECT i AS seg, CAST(lo + (i::HUGEINT * (hi - lo + 1) + 7) // 8 AS BIGINT) AS lo, CASE WHEN i < 7 THEN CAST(lo + ((i + 1)::HUGEINT * (hi - lo + 1) + 7) // 8 AS BIGINT) END AS hi FROM b, range(8) r(i)")
+def segment_ranges(spark, sf_dir):
+    s = table(spark, sf_dir, "orders")
+    ends = [r[x] for side in (s, mutated_orders(s)) for r in [basics.bounds(side, "o_orderkey").first()] for x in ("lo", "hi")]
+    return spark.createDataFrame([(i, a, b) for i, (a, b) in enumerate(segments.numeric_bounds(min(ends), max(ends), 8))], "seg long, lo long, hi long")
+
+
+@register("quantile_segments", """
+WITH v AS (SELECT list(c_name ORDER BY c_name) AS names, count(*) AS n FROM customer WHERE c_name IS NOT NULL),
+cuts AS (SELECT DISTINCT names[CAST(i * n // 8 AS BIGINT) + 1] AS cut FROM v, range(1, 8) r(i) WHERE names[CAST(i * n // 8 AS BIGINT) + 1] <> names[1])
+SELECT CAST((SELECT count(*) FROM cuts WHERE cut <= c_name) AS INTEGER) AS seg, count(*) AS n, min(c_name) AS lo, max(c_name) AS hi FROM customer GROUP BY 1""")
+def quantile_segments(spark, sf_dir):
+    """Parts of a text key by quantiles of its sorted values, which are a sample where there are very many."""
+    df = table(spark, sf_dir, "customer")
+    cuts = segments.quantile_cuts(df, "c_name", 8, df.count())
+    return df.groupBy(segments.cut_segment(F.col("c_name"), cuts).alias("seg")).agg(F.count("*").alias("n"), F.min("c_name").alias("lo"), F.max("c_name").alias("hi"))
+
+
+_BUCKET = f"((({_SIGNED.format(x='''(length(CAST(event_id AS VARCHAR)) || ':' || event_id)''')}) % 1000000) + 1000000) % 1000000"
+_EVENT_KEY = [Pair("event_id", "event_id", Rule.INT, T.LongType(), T.LongType())]
+
+
+@register("sample_pct", f"SELECT event_id, event_type FROM events WHERE {_BUCKET} < 50000")
+def sample_pct(spark, sf_dir):
+    """A sampling operator: five per cent of the rows, by their keys' hash."""
+    return basics.sampled(table(spark, sf_dir, "events"), _EVENT_KEY, "source", NO_OPTIONS, 5.0).select("event_id", "event_type")
+
+
+@register("sample_rows", f"SELECT event_id FROM events WHERE {_BUCKET} < (SELECT round_even(least(100.0, 500 * 100.0 / count(*)) * 1000000 / 100, 0) FROM events)")
+def sample_rows(spark, sf_dir):
+    """A sampling operator: about five hundred rows."""
+    df = table(spark, sf_dir, "events")
+    return basics.sampled(df, _EVENT_KEY, "source", NO_OPTIONS, basics.percent_for(500, df.count())).select("event_id")
+
+
+# -- canonical text -----------------------------------------------------------------------------
+
+
+def _text(column: Column, rule: Rule, kind: T.DataType, options: Options = NO_OPTIONS, **how) -> Column:
+    return canonical(column, rule, kind, options, **how).alias("text")
+
+
+@register("canon_int", "SELECT l_orderkey, l_linenumber, CAST(l_partkey AS VARCHAR) AS text FROM lineitem")
+def canon_int(spark, sf_dir):
+    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", _text(F.col("l_partkey"), Rule.INT, T.LongType()))
+
+
+@register("canon_dec", "SELECT o_orderkey, CAST(CAST(round_even(CAST(o_totalprice AS DECIMAL(12, 2)), 1) AS DECIMAL(38, 1)) AS VARCHAR) AS text FROM orders")
+def canon_dec(spark, sf_dir):
+    kind = T.DecimalType(12, 2)
+    return table(spark, sf_dir, "orders").select("o_orderkey", _text(F.col("o_totalprice").cast(kind), Rule.DEC, kind, scale=1))
+
+
+@register("canon_flt", "SELECT vec_id, array_to_string(list_transform(embedding, lambda x: CASE WHEN x = 0 THEN '0.00000000000000e+00' ELSE printf('%.14e', CAST(x AS DOUBLE)) END), ',') AS text FROM embeddings")
+def canon_flt(spark, sf_dir):
+    """Arbitrary floats, by the exact form: the elements leave the JVM as one column of an Arrow batch, and come back by place."""
+    each = table(spark, sf_dir, "embeddings").select("vec_id", F.posexplode("embedding").alias("at", "x"))
+    texts = each.select("vec_id", "at", _text(F.col("x"), Rule.FLT, T.FloatType(), Options(exact_floats=True)))
+    return texts.groupBy("vec_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "text"))), lambda s: s["text"]), ",").alias("text"))
+
+
+@register("canon_flt_builtin", "SELECT o_orderkey, " + _FLOAT.format(c="o_totalprice") + " AS text FROM orders")
+def canon_flt_builtin(spark, sf_dir):
+    return table(spark, sf_dir, "orders").select("o_orderkey", _text(F.col("o_totalprice"), Rule.FLT, T.DoubleType()))
+
+
+@register("canon_str", "SELECT c_custkey, c_name AS text FROM customer")
+def canon_str(spark, sf_dir):
+    return table(spark, sf_dir, "customer").select("c_custkey", _text(F.col("c_name"), Rule.STR, T.StringType()))
+
+
+@register("trim_case", "SELECT o_orderkey, rtrim(lower(o_orderpriority || '  '), ' ') AS text FROM orders")
+def trim_case(spark, sf_dir):
+    return table(spark, sf_dir, "orders").select("o_orderkey", _text(F.concat("o_orderpriority", F.lit("  ")), Rule.STR_FOLDED, T.StringType(), Options(trim=True, case_insensitive=True)))
+
+
+@register("canon_bool", "SELECT c_custkey, CASE WHEN c_acctbal > 0 THEN 'true' ELSE 'false' END AS text FROM customer")
+def canon_bool(spark, sf_dir):
+    return table(spark, sf_dir, "customer").select("c_custkey", _text(F.col("c_acctbal") > 0, Rule.BOOL, T.BooleanType()))
+
+
+@register("canon_ts", "SELECT event_id, " + _TS.format(c="ts") + " AS text FROM events")
+def canon_ts(spark, sf_dir):
+    """A timestamp without zone, taken as UTC."""
+    return table(spark, sf_dir, "events").select("event_id", _text(F.col("ts"), Rule.TS_NAIVE, T.TimestampNTZType()))
+
+
+@register("canon_ts_utc", "SELECT event_id, " + _TS.format(c="ts") + " AS text FROM events")
+def canon_ts_utc(spark, sf_dir):
+    """An instant."""
+    return table(spark, sf_dir, "events").select("event_id", _text(F.to_utc_timestamp(F.col("ts").cast("timestamp"), "UTC"), Rule.TS, T.TimestampType()))
+
+
+@register("assume_tz", "SELECT event_id, " + _TS.format(c="(ts - INTERVAL 330 MINUTE)") + " AS text FROM events")
+def assume_tz(spark, sf_dir):
+    return table(spark, sf_dir, "events").select("event_id", _text(F.col("ts"), Rule.TS_NAIVE, T.TimestampNTZType(), Options(assume_tz="Asia/Kolkata")))
+
+
+@register("ts_precision", "SELECT event_id, strftime(make_timestamp(((epoch_us(ts) + 500) // 1000) * 1000), '%Y-%m-%dT%H:%M:%S.%gZ') AS text FROM events")
+def ts_precision(spark, sf_dir):
+    return table(spark, sf_dir, "events").select("event_id", _text(F.col("ts"), Rule.TS_ROUNDED, T.TimestampNTZType(), precision=3))
+
+
+@register("canon_date", "SELECT o_orderkey, strftime(CAST(o_orderdate AS DATE), '%Y-%m-%d') AS text FROM orders")
+def canon_date(spark, sf_dir):
+    return table(spark, sf_dir, "orders").select("o_orderkey", _text(F.col("o_orderdate").cast("date"), Rule.DATE, T.DateType()))
+
+
+@register("canon_time", "SELECT event_id, strftime(ts, '%H:%M:%S.%f') AS text FROM events")
+def canon_time(spark, sf_dir):
+    """A time of day, held as microseconds since midnight."""
+    day = F.pmod(F.unix_micros(F.col("ts").cast("timestamp")), F.lit(86_400_000_000))
+    return table(spark, sf_dir, "events").select("event_id", _text(day, Rule.TIME, T.LongType()))
+
+
+@register("time_precision", "SELECT event_id, strftime(make_timestamp((((epoch_us(ts) + 500000) // 1000000) * 1000000) % 86400000000), '%H:%M:%S') AS text FROM events")
+def time_precision(spark, sf_dir):
+    day = F.pmod(F.unix_micros(F.col("ts").cast("timestamp")), F.lit(86_400_000_000))
+    return table(spark, sf_dir, "events").select("event_id", _text(day, Rule.TS_ROUNDED, T.LongType(), precision=0))
+
+
+@register("canon_uuid", "SELECT c_custkey, regexp_replace(md5(c_name), '^(.{8})(.{4})(.{4})(.{4})(.{12})$', '\\1-\\2-\\3-\\4-\\5') AS text FROM customer")
+def canon_uuid(spark, sf_dir):
+    return table(spark, sf_dir, "customer").select("c_custkey", _text(F.upper(F.md5("c_name")), Rule.UUID, T.StringType()))
+
+
+@register("canon_bin", "SELECT c_custkey, lower(hex(encode(c_name))) AS text FROM customer")
+def canon_bin(spark, sf_dir):
+    return table(spark, sf_dir, "customer").select("c_custkey", _text(F.col("c_name").cast("binary"), Rule.BIN, T.BinaryType()))
+
+
+@register("canon_json", "SELECT event_id, CAST(json(props) AS VARCHAR) AS text FROM events")
+def canon_json(spark, sf_dir):
+    return table(spark, sf_dir, "events").select("event_id", _text(F.regexp_replace("props", ":", " : "), Rule.JSON, T.StringType()))
+
+
+@register("array_canon", "SELECT c_custkey, '[' || c_custkey || ',\\N,' || c_nationkey || ']' AS text FROM customer")
+def array_canon(spark, sf_dir):
+    kind = T.ArrayType(T.LongType())
+    return table(spark, sf_dir, "customer").select("c_custkey", _text(F.array("c_custkey", F.lit(None).cast("long"), F.col("c_nationkey").cast("long")), Rule.ARR, kind))
+
+
+@register("canon_enum", "SELECT c_custkey, c_mktsegment AS text FROM customer")
+def canon_enum(spark, sf_dir):
+    return table(spark, sf_dir, "customer").select("c_custkey", _text(F.col("c_mktsegment"), Rule.ENUM, T.StringType()))
+
 
-def queries() -> dict:
-    return {}
+@register("canon_unknown", """SELECT c_custkey, '{"a":' || c_nationkey || ',"b":' || c_custkey || '}' AS text FROM customer""")
+def canon_unknown(spark, sf_dir):
+    """A map, whose entries have no order of their own."""
+    kind = T.MapType(T.StringType(), T.LongType())
+    return table(spark, sf_dir, "customer").select("c_custkey", _text(F.create_map(F.lit("b"), "c_custkey", F.lit("a"), F.col("c_nationkey").cast("long")), Rule.UNKNOWN, kind))
 
 
-def oracle_sql() -> dict:
-    return {}
+@register("null_marker", "SELECT o_orderkey, CASE WHEN o_orderkey % 7 = 0 THEN '\\N' WHEN o_orderkey % 7 = 1 THEN '' ELSE o_orderstatus END AS text FROM orders")
+def null_marker(spark, sf_dir):
+    k = F.col("o_orderkey")
+    value = F.when(k % 7 == 1, F.lit("")).when(k % 7 != 0, F.col("o_orderstatus"))
+    return table(spark, sf_dir, "orders").select("o_orderkey", _text(value, Rule.STR, T.StringType()))

@@ -1 +1 @@
-
+"""Streams: none. What this engine verifies are finite tables; see the README."""
