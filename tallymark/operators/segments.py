@@ -21,9 +21,9 @@ def segment_count(rows: int, per_segment: int = ROWS_PER_SEGMENT, least: int = L
 def numeric_segment(key: Column, lo: int, hi: int, n: int) -> Column:
     """Which of n equal parts of [lo, hi] the key is in, by whole-number arithmetic; keys outside fall in the first or last."""
     width = int(hi) - int(lo) + 1
-    place = F.expr("0") if width < 1 else (key.cast("decimal(20,0)") - F.lit(Decimal(int(lo)))).cast("decimal(21,0)")
-    part = F.floor((place * F.lit(Decimal(n))).cast("decimal(38,0)") / F.lit(Decimal(width)))
-    return F.least(F.greatest(part.cast("long"), F.lit(0)), F.lit(n - 1)).cast("int")
+    place = key.cast("decimal(20,0)") - F.lit(Decimal(int(lo))).cast("decimal(20,0)")
+    part = F.call_function("div", place.cast("decimal(21,0)") * F.lit(Decimal(n)).cast("decimal(10,0)"), F.lit(Decimal(width)).cast("decimal(21,0)"))
+    return F.least(F.greatest(part, F.lit(0)), F.lit(n - 1)).cast("int")
 
 
 def numeric_bounds(lo: int, hi: int, n: int) -> list[tuple[int, int | None]]:

@@ -46,7 +46,7 @@ class Spec:
 
 def redact(text: str) -> str:
     """Passwords in anything like a DSN become stars, wherever they stand in the text."""
-    return re.sub(r"(://[^\s:/@]*:)[^\s/@]*(?:[^\s/]*)(@)", r"\1***\2", text)
+    return re.sub(r"(://[^\s:/@]*:)\S*(@)", r"\1***\2", text)
 
 
 def parse_spec(text: str, connections: dict[str, str] | None = None) -> Spec:
