@@ -82,3 +82,16 @@ def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 def safe_id(name: str = "doc_id"):
     """A document's id as text, empty for null: stable input for hashes."""
     return F.coalesce(F.col(name).cast("string"), F.lit(""))
+
+
+def unused(df: DataFrame, name: str) -> str:
+    """``name``, or the first of name_1, name_2, ... that no column of ``df`` has (Spark doesn't mind case)."""
+    taken = {c.lower() for c in df.columns}
+    number = 0
+    while (found := f"{name}_{number}" if number else name).lower() in taken:
+        number += 1
+    return found
+
+
+def text_hash(text_col: str):
+    return F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))

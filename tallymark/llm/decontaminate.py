@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallymark.llm.common import Workspace, slices, table
+from tallymark.llm.common import Workspace, slices, table, text_hash, unused
 
 WINDOW, STRIDE = 64, 32
 #: Items and bytes of text in a block; random directions beside the items' own.
@@ -140,7 +140,7 @@ def tokenise(docs: DataFrame, id_col: str, text_col: str, vocabulary: dict[str,
                 rows = [np.array([get(w, 0) for w in words_of(t.lower())] if t else [], np.int32).tobytes() for t in part.column("text").to_pylist()]
                 yield pa.RecordBatch.from_arrays([*part.columns[:2], pa.array(rows, pa.binary())], names=["id", "text_hash", "words"])
 
-    rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("text_hash"), F.col(text_col).alias("text"))
+    rows = docs.select(F.col(id_col).alias("id"), text_hash(text_col).alias("text_hash"), F.col(text_col).alias("text"))
     return rows.mapInArrow(number, f"id {rows.schema[0].dataType.simpleString()}, text_hash long, words binary")
 
 
@@ -291,8 +291,9 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
 
 def remove_leaks(docs: DataFrame, found: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` without those that hold a benchmark item."""
-    held = found.select(F.col(id_col).alias("id_"), F.col("text_hash").alias("hash_")).distinct()
-    return docs.join(held, F.col(id_col).eqNullSafe(F.col("id_")) & (F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))) == F.col("hash_")), "left_anti")
+    own, own_hash = unused(docs, "id"), unused(docs, "hash")
+    held = found.select(F.col(id_col).alias(own), F.col("text_hash").alias(own_hash)).distinct()
+    return docs.join(held, docs[id_col].eqNullSafe(F.col(own)) & (text_hash(text_col) == F.col(own_hash)), "left_anti")
 
 
 def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -59,8 +59,10 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     counted: its size for each whole epoch, and once more for the documents that the rest of the
     budget reaches in key order; the document at the cut gives only the words still missing, so a
     source's taken words are its target rounded down. Null text: size 0 and nothing taken; null source: a source of its
-    own, last; equal rows share a key and differ only in which of them is cut. Other columns are not read.
+    own, last; equal rows share a key and differ only in which of them is cut. Other columns are not read;
+    a carried column gives way where its name is one of the above.
     """
+    carry = tuple(c for c in carry if c.lower() not in {"size", "source_size", "target", "taken", "source", id_col.lower()})
     key = F.md5(F.concat_ws(":", F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.lit("mix")))
     rows = docs.select(F.col(id_col), F.col(source_col).cast("string").alias("source"), key.alias("key"), word_count(F.col(text_col)).alias("size"), *[F.col(c).alias(f"carried_{c}") for c in carry])
     rows = rows.withColumn("range", F.substring("key", 1, RANGE_DIGITS))

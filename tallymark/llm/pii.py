@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallymark.llm.common import Workspace, table
+from tallymark.llm.common import Workspace, table, text_hash, unused
 from tallymark.llm.spans import matches, written
 
 KINDS = ("email", "ip", "card", "phone")
@@ -115,8 +115,10 @@ def find_personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
 def redact(docs: DataFrame, found: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with each span of ``found`` replaced by its kind in angle brackets, overlapping spans by the first one's."""
-    spans = found.select(F.col(id_col).alias("id_"), F.col("text_hash").alias("hash_"), F.array_sort(F.transform("spans", lambda s: F.struct(s["start"].alias("start"), s["stop"].alias("stop"), s["kind"].alias("kind")))).alias("spans_")).where(F.size("spans_") > 0).dropDuplicates(["id_", "hash_"])
-    joined = docs.join(spans, F.col(id_col).eqNullSafe(F.col("id_")) & (F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))) == F.col("hash_")), "left")
+    own, own_hash, all_spans = unused(docs, "id"), unused(docs, "hash"), unused(docs, "spans")
+    spans = found.select(F.col(id_col).alias(own), F.col("text_hash").alias(own_hash), F.array_sort(F.transform("spans", lambda s: F.struct(s["start"].alias("start"), s["stop"].alias("stop"), s["kind"].alias("kind")))).alias(all_spans))
+    spans = spans.where(F.size(all_spans) > 0).dropDuplicates([own, own_hash])
+    joined = docs.join(spans, docs[id_col].eqNullSafe(F.col(own)) & (text_hash(text_col) == F.col(own_hash)), "left")
     text = F.col(text_col)
     begin = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 
@@ -124,8 +126,8 @@ def redact(docs: DataFrame, found: DataFrame, id_col: str = "doc_id", text_col:
         piece = F.when(s["start"] >= done["at"], F.concat(done["out"], text.substr(done["at"] + 1, s["start"] - done["at"]), F.lit("<"), s["kind"], F.lit(">"))).otherwise(done["out"])
         return F.struct(F.greatest(done["at"], s["stop"]).alias("at"), piece.alias("out"))
 
-    clean = F.aggregate("spans_", begin, take, lambda done: F.concat(done["out"], text.substr(done["at"] + 1, F.length(text))))
-    return joined.withColumn(text_col, F.when(F.col("spans_").isNull(), text).otherwise(clean)).drop("id_", "hash_", "spans_")
+    clean = F.aggregate(all_spans, begin, take, lambda done: F.concat(done["out"], text.substr(done["at"] + 1, F.length(text))))
+    return joined.withColumn(text_col, F.when(F.col(all_spans).isNull(), text).otherwise(clean)).select(docs.columns)
 
 
 def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:

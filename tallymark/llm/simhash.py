@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallymark.llm.common import LOWER, Workspace, slices, table
+from tallymark.llm.common import LOWER, Workspace, slices, table, text_hash, unused
 from tallymark.llm.components import components
 
 WORDS, BITS = 4, 16
@@ -205,17 +205,17 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, radius: int = 2) -> DataFrame:
     """One row of each component of ``near_duplicates``: that of the least id, null ids last, then of the least text hash; of equal ones any."""
-    work = Workspace(docs.sparkSession)
-    row = F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("hash"))
-    marked = docs.withColumn("row_", row)
-    near = near_duplicates(marked, "row_", text_col, shingle, radius)
-    kept = work.write(near.where("row_ <=> component_id").groupBy(F.col("row_").alias("kept_")).count(), "kept")
-    same = F.col("row_").eqNullSafe(F.col("kept_"))
-    out = marked.join(kept.where("count = 1"), same, "left_semi")
-    repeated = kept.where("count > 1")
+    work, row = Workspace(docs.sparkSession), unused(docs, "row")
+    marked = docs.withColumn(row, F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), text_hash(text_col).alias("hash")))
+    near = near_duplicates(marked, row, text_col, shingle, radius)
+    kept_name = unused(marked, "kept")
+    kept = work.write(near.where(F.col(row).eqNullSafe(F.col("component_id"))).groupBy(F.col(row).alias(kept_name)).agg(F.count("*").alias("n")), "kept")
+    same = marked[row].eqNullSafe(F.col(kept_name))
+    once, repeated = kept.where("n = 1").select(kept_name), kept.where("n > 1").select(kept_name)
+    out = marked.join(once, same, "left_semi")
     if repeated.limit(1).count():
-        out = out.unionByName(marked.join(repeated, same, "left_semi").dropDuplicates(["row_"]))
-    return out.drop("row_")
+        out = out.unionByName(marked.join(repeated, same, "left_semi").dropDuplicates([row]))
+    return out.drop(row)
 
 
 def op8_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
