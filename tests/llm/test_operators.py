@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tallymark.llm import decontaminate, language_id, mixing, neighbours, pii, secret_scan, simhash, suffix_dedup, token_count, url_filter
+from tallymark.llm import decontaminate, language_id, mixing, neighbours, pii, secret_scan, simhash, similar, suffix_dedup, token_count, url_filter
 from tests.llm.conftest import ODD
 
 WORDS = re.compile(r"[^\x20\x09-\x0D]+")
@@ -362,13 +362,75 @@ def test_near_copies_equal_brute_force(documents):
     assert got == {d: (f"{p:016x}", least[x]) for (d, _), p, x in zip(rows, prints, label, strict=True)}
 
 
-def test_one_of_each_group_stays(documents):
-    df = documents([(3, "a b c d"), (1, "A b c d"), (2, "other words entirely here"), (1, "A b c d"), (None, "A B C D"), *ODD])
-    kept = simhash.keep_one(df)
+def brute_similar(texts, threshold=0.8):
+    def cut(t):
+        words = WORDS.findall(re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
+        k = min(5, len(words))
+        return {" ".join(words[i : i + k]) for i in range(len(words) - k + 1)} if words else set()
+
+    sets, parent = [cut(t) for t in texts], list(range(len(texts)))
+
+    def root(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for i in range(len(texts)):
+        for j in range(i):
+            a, b = sets[i], sets[j]
+            if (not a and not b) or (a or b) and len(a & b) >= threshold * len(a | b):
+                x, y = root(i), root(j)
+                parent[max(x, y)] = min(x, y)
+    return [root(i) for i in range(len(texts))]
+
+
+@pytest.mark.parametrize("chunk, size", [(3, 2000), (32_768, 16 << 20)])
+def test_one_of_each_group_of_similar_texts_stays(documents, monkeypatch, chunk, size):
+    monkeypatch.setattr(similar, "CHUNK", chunk)
+    monkeypatch.setattr(similar, "CHUNK_BYTES", size)
+    rng = random.Random(12)
+    words = ["w%d" % i for i in range(400)]
+    rows, number = [], 0
+    for _ in range(12):
+        t = [rng.choice(words) for _ in range(rng.randint(30, 400))]
+        for _ in range(rng.randint(1, 9)):
+            rows.append((number, " ".join(t)))
+            number += 1
+            t = list(t)
+            for _ in range(rng.randint(0, max(1, len(t) // 60))):
+                t[rng.randrange(len(t))] = rng.choice(words)
+    rows += [(900, "A b c d"), (901, "a B c d"), (901, "a B c d"), (902, "a b c d e f g h")]
+    rng.shuffle(rows)
+    rows += [r[:2] for r in ODD if r[0] != 6]
+    df = documents(rows)
+    kept = similar.keep_one(df)
     assert kept.columns == df.columns
-    prints = [brute_fingerprint(r.text) for r in kept.collect()]
-    assert len(prints) == len(set(brute_components(prints))) == len(set(brute_components([brute_fingerprint(r.text) for r in df.collect()])))
-    assert 1 in [r.doc_id for r in kept.collect()] and simhash.keep_one(df.limit(0)).count() == 0
+    label = brute_similar([t for _, t in rows])
+    least = lambda i: (rows[i][0] is None, rows[i][0] or 0)
+    want = sorted(str(rows[min((r for r in range(len(rows)) if label[r] == x), key=least)][0]) for x in set(label))
+    assert len(set(label)) < len(rows) - 20
+    assert sorted(str(r.doc_id) for r in kept.collect()) == want
+
+
+def test_similar_texts_of_nothing(documents):
+    assert similar.keep_one(documents([(1, "a")]).limit(0)).count() == 0
+
+
+def test_a_large_group_of_copies_costs_no_pairs():
+    rng = np.random.default_rng(0)
+    base = np.unique(rng.integers(0, 1 << 62, 400).astype(np.uint64))
+    home = similar._Home(0.8, True)
+    sets = [np.unique(np.concatenate([base[3:], rng.integers(0, 1 << 62, 3).astype(np.uint64)])) for _ in range(2500)]
+    prints = np.array([similar.sketch(s) for s in sets])
+    calls = []
+    plain = similar.similarity
+    similar.similarity = lambda a, b: calls.append(1) or plain(a, b)
+    try:
+        home.add(np.arange(2500), np.array([len(s) for s in sets]), prints, sets)
+        out = home.forest()
+    finally:
+        similar.similarity = plain
+    assert len(out[0]) == 2499 and len(calls) < 3 * 2500
 
 
 # -- 9: mixing ----------------------------------------------------------------------------------

@@ -9,7 +9,7 @@ import pytest
 
 import corpus_pipeline
 from tallymark.llm import catalog, language_id
-from tests.llm.test_operators import brute_components, brute_fingerprint, brute_private, brute_targets
+from tests.llm.test_operators import brute_private, brute_similar, brute_targets
 
 SF = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no test data")
@@ -50,7 +50,7 @@ def plain_pipeline(spark):
     model = language_id.train(docs)
     rows = sorted((r.asDict() for r in docs.collect()), key=lambda r: r["doc_id"])
     rows = [r for r in rows if r["text"] and any(c.isalpha() for c in r["text"]) and model.predict(pa.array([r["text"]]))[1][0] >= model.threshold]
-    label = brute_components([brute_fingerprint(r["text"]) for r in rows])
+    label = brute_similar([r["text"] for r in rows])
     rows = [r for i, r in enumerate(rows) if label[i] == i]
     words = lambda t: " " + " ".join(re.findall(r"\w+", t.lower())) + " "
     items = [words(r.text) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
