@@ -29,11 +29,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallymark.llm.common import Workspace, table, utf8
+from tallymark.llm.common import Workspace, slices, table, utf8
 
 LENGTH, GRAM = 200, 40
 #: Bytes that a worker looks at together; contexts in a bucket.
-CHUNK, BUCKET = 1 << 20, 40_000
+CHUNK, BUCKET = 1 << 19, 10_000
 #: Suffixes below which a part is sorted by whole remainders.
 SMALL = 2048
 BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
@@ -142,8 +142,8 @@ def anchor_rows(docs: DataFrame, length: int, gram: int) -> DataFrame:
                 if not len(text):
                     continue
                 spot = ((x - at[text] + begin[text]) << 16) | ((x - lo) << 8) | (x - hi)
-                taken = batch.take(pa.array(rows[text]))
-                yield pa.RecordBatch.from_arrays([_signed(g), _signed(c), taken.column("id"), taken.column("hash"), pa.array(spot)], names=["gram", "context", "id", "hash", "spot"])
+                own = pa.array(rows[text])
+                yield pa.RecordBatch.from_arrays([_signed(g), _signed(c), batch.column("id").take(own), batch.column("hash").take(own), pa.array(spot)], names=["gram", "context", "id", "hash", "spot"])
 
     return docs.mapInArrow(make, f"gram long, context long, id {docs.schema['id'].dataType.simpleString()}, hash long, spot long")
 
@@ -245,15 +245,15 @@ def fetch_contexts(docs: DataFrame, wanted: DataFrame, length: int) -> DataFrame
     lists = wanted.groupBy("id", "hash").agg(F.collect_list(F.struct("gram", "context", "spot")).alias("spots")).hint("shuffle_hash")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in itertools.chain.from_iterable(slices(b, "text") for b in batches):
             out: list[tuple] = []
             for text, spots in zip(batch.column("text").cast(pa.binary()).to_pylist(), batch.column("spots").to_pylist(), strict=True):
                 for s in spots:
                     x, lo, hi = _unpack(s["spot"])
                     out.append((text[x : hi + length], text[lo : hi + length], x - lo, s["gram"], s["context"]))
-            for a in range(0, len(out), 20_000):
+            for a in range(0, len(out), 5_000):
                 kinds = (pa.binary(), pa.binary(), pa.int32(), pa.int64(), pa.int64())
-                yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(zip(*out[a : a + 20_000], strict=True), kinds, strict=True)], names=["suffix", "bytes", "back", "gram", "context"])
+                yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(zip(*out[a : a + 5_000], strict=True), kinds, strict=True)], names=["suffix", "bytes", "back", "gram", "context"])
 
     own = docs.withColumnRenamed("id", "id_").withColumnRenamed("hash", "hash_")
     joined = own.join(lists, F.col("id_").eqNullSafe(F.col("id")) & (F.col("hash_") == F.col("hash"))).select("text", "spots")
@@ -262,7 +262,7 @@ def fetch_contexts(docs: DataFrame, wanted: DataFrame, length: int) -> DataFrame
 
 def _cut_spans(length: int, names: list[str]):
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in itertools.chain.from_iterable(slices(b, "text") for b in batches):
             out = []
             for text, spans in zip(batch.column("text").cast(pa.binary()).to_pylist(), batch.column("spans").to_pylist(), strict=True):
                 text = text or b""
@@ -304,6 +304,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     fetched = work.write(fetch_contexts(rows, open_, length), "fetched")
     buckets = max(1, -(-fetched.count() // BUCKET))
     sorted_ = work.write(fetched.repartitionByRange(buckets, "suffix", "bytes").mapInArrow(bucket_repeats(length, gram), BUCKET_SCHEMA), "sorted")
+    work.drop("fetched")
     across = sorted_.where("h1 is not null").select("gram", "context", "h1", "h2", "place")
     shared = across.groupBy("h1", "h2").agg(F.count("*").alias("n")).where("n > 1").select("h1", "h2")
     singles = across.join(shared, ["h1", "h2"]).select("gram", "context", F.col("place").alias("first"), F.col("place").alias("last"))
