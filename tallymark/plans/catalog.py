@@ -234,6 +234,21 @@ def aggregate_hash_by_group(spark, sf_dir):
     return rows.groupBy("c_mktsegment").agg(F.count("*").alias("n"), aggregate_hash(F.col("h")).cast("string").alias("hash"))
 
 
+@register("xor_aggregate", f"SELECT c_mktsegment, bit_xor(CAST({_SIGNED.format(x=_ROW)} AS BIGINT)) AS hash FROM customer GROUP BY 1")
+def xor_aggregate(spark, sf_dir):
+    """The other order-independent aggregate: two equal rows cancel out, so it only backs up the sum."""
+    rows = table(spark, sf_dir, "customer").withColumn("h", signed_hash(_customer_text()))
+    return rows.groupBy("c_mktsegment").agg(F.bit_xor("h").alias("hash"))
+
+
+@register("worst_code", _orders_sql() + "SELECT max(code) AS code FROM (SELECT CASE WHEN count(*) > 0 THEN 1 ELSE 0 END AS code FROM d UNION ALL SELECT 0)")
+def worst_code(spark, sf_dir):
+    """The exit code over two jobs: orders against its mutated copy, and against itself."""
+    s, t, keys, values = _canonical_orders(spark, sf_dir)
+    codes = [joindiff.differences(s, x, keys, values).agg((F.count("*") > 0).cast("int").alias("code")) for x in (t, s)]
+    return codes[0].unionByName(codes[1]).agg(F.max("code").alias("code"))
+
+
 _ORDER_ROW = "concat_ws(chr(31), " + ", ".join(_ORDER_TEXTS[c].format(c=c) for c in ORDER_COLUMNS) + ")"
 _SEG = "least(greatest(CAST(((o_orderkey - b.lo)::HUGEINT * 8) // (b.hi - b.lo + 1) AS INTEGER), 0), 7)"
 _BOUNDS = "WITH mutated AS (" + MUTATED_ORDERS + "), b AS (SELECT min(lo)::HUGEINT AS lo, max(hi)::HUGEINT AS hi FROM (SELECT min(o_orderkey) AS lo, max(o_orderkey) AS hi FROM orders UNION ALL SELECT min(o_orderkey), max(o_orderkey) FROM mutated))"

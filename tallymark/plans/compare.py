@@ -128,10 +128,17 @@ def compare(source: Table, target: Table, request: Request = Request()) -> DiffR
     result.truncated = result.missing + result.extra + result.changed > len(result.row_diffs)
     if result.source_count != result.target_count:
         result.notices.append(Notice(f"row counts differ: {result.source_count} in the source, {result.target_count} in the target"))
-    result.diffs, result.elapsed_seconds, result.jobs = diffs, time.time() - began, segments
+    result.diffs, result.elapsed_seconds = diffs, time.time() - began
+    result.statements = [logical(diffs)]
+    result.jobs = 2 if algorithm is Algorithm.JOINDIFF else 4  # uniqueness and rows; with hashes also bounds and segments
     return result
 
 
+def logical(df: DataFrame) -> str:
+    """The optimised logical plan, as text: what a report shows to make a result reproducible."""
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
 def explain(source: Table, target: Table, request: Request = Request()) -> str:
     """The plans that ``compare`` would run, without running them: only schemas are looked at."""
     ready = prepare(source, target, request, check=False)
