@@ -140,7 +140,7 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = [piece_counts(*pieces(batch.column(0).slice(i, 1))[:2]) for i in range(len(batch))]
-            yield pa.RecordBatch.from_arrays([pa.array([i.astype(np.int32).tobytes() for i, _ in out]), pa.array([n.astype(np.int64).tobytes() for _, n in out]), *batch.columns[1:]], names=["ids", "n", "lang", "h"])
+            yield pa.RecordBatch.from_arrays([pa.array([i.astype(np.int32).tobytes() for i, _ in out]), pa.array([n.astype(np.int32).tobytes() for _, n in out]), *batch.columns[1:]], names=["ids", "n", "lang", "h"])
 
     # the hash alone decides which rows: texts are fetched for the chosen ones only
     last = rows.select("h").orderBy("h").limit(sample).agg(F.max("h")).first()[0]
@@ -148,7 +148,7 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
         return None
     got = rows.where(F.col("h") <= last).mapInArrow(count, "ids binary, n binary, lang string, h long").collect()
     got = sorted(got, key=lambda r: (r["h"], r["lang"]))
-    features = [(np.frombuffer(r["ids"], np.int32), np.frombuffer(r["n"], np.int64)) for r in got]
+    features = [(np.frombuffer(r["ids"], np.int32), np.frombuffer(r["n"], np.int32)) for r in got]
     kept = [i for i, f in enumerate(features) if len(f[0])]
     return fit([features[i] for i in kept], [got[i]["lang"] for i in kept]) if kept else None
 

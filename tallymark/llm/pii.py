@@ -27,7 +27,7 @@ PATTERNS = {
 }
 _TOKEN = "0-9A-Za-z.@_%+()-"
 #: An identifier-shaped token: at least so long, with five digits or more.
-INSTANCE = rf"(?<![{_TOKEN}])(?=(?:[^0-9\s]{{0,32}}[0-9]){{5}})[{_TOKEN}]{{7,}}+"
+INSTANCE = rf"(?<![{_TOKEN}])(?=(?:[A-Za-z.@_%+()-]*+[0-9]){{5}})[{_TOKEN}]{{7,}}+"
 #: Rounds of scoring; distinct seeds that induce a pattern; the worth from which an instance counts.
 ROUNDS, SUPPORT, BELIEF = 3, 5, 0.9
 
@@ -68,7 +68,7 @@ def base_spans(text: Column) -> Column:
 def _context(before: Column, match: Column) -> Column:
     """The last word before a token, and the token's shape with its runs shortened; null without such a word."""
     word = F.lower(F.regexp_extract(F.right(before, F.lit(48)), r"(\p{L}{2,24})[^\p{L}0-9]{0,8}$", 1))
-    shape = F.regexp_replace(F.regexp_replace(F.substring(match, 1, 256), "[A-Za-z]+", "a"), "[0-9]+", "9")
+    shape = F.regexp_replace(F.regexp_replace(match, "[A-Za-z]+", "a"), "[0-9]+", "9")
     return F.when(word != "", F.concat_ws("|", word, shape))
 
 
@@ -99,8 +99,8 @@ def find_personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     work = Workspace(docs.sparkSession)
     text = F.coalesce(F.col("text"), F.lit(""))
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).withColumn("text", text)
-    instances = F.transform(matches(F.col("text"), INSTANCE), lambda m: F.struct(m["start"].alias("start"), m["stop"].alias("stop"), F.xxhash64(m["match"]).alias("instance"), _context(m["before"], m["match"]).alias("pattern"), F.length(_digits(m["match"])).alias("digits")))
-    found = work.write(rows.select("id", F.xxhash64("text").alias("text_hash"), base_spans(F.col("text")).alias("base"), F.filter(instances, lambda m: m["digits"] >= 5).alias("instances")), "found")
+    instances = F.transform(matches(F.col("text"), INSTANCE), lambda m: F.struct(m["start"].alias("start"), m["stop"].alias("stop"), F.xxhash64(m["match"]).alias("instance"), _context(m["before"], m["match"]).alias("pattern")))
+    found = work.write(rows.select("id", F.xxhash64("text").alias("text_hash"), base_spans(F.col("text")).alias("base"), instances.alias("instances")), "found")
     each = found.where(F.size("instances") > 0).select("id", "text_hash", "base", F.explode("instances").alias("m"))
     seed = F.exists("base", lambda b: (b["start"] < F.col("m.stop")) & (b["stop"] > F.col("m.start")))
     each = each.select("id", "text_hash", "m.start", "m.stop", "m.instance", "m.pattern", seed.alias("seed"))

@@ -24,7 +24,7 @@ PATTERNS = {
 _VALUE = r"""^(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)$"""
 _RUN = "A-Za-z0-9+/_="
 #: A token that could be a credential: so long, with a digit, a small and a capital letter.
-TOKEN = rf"(?<![{_RUN}-])(?=[a-z+/_=-]{{0,256}}[0-9A-Z])[{_RUN}-]{{20,}}+"
+TOKEN = rf"(?<![{_RUN}-])(?=[a-z+/_=-]*+[0-9A-Z])[{_RUN}-]{{20,}}+"
 #: Owners from which a candidate counts as a copied example; distinct characters that look random.
 EXAMPLE_OWNERS, DISTINCT = 3, 12
 
@@ -41,7 +41,7 @@ def base_spans(text: Column) -> Column:
 
 def _looks_live(token: Column) -> Column:
     mixed = token.rlike("[0-9]") & token.rlike("[a-z]") & token.rlike("[A-Z]")
-    return mixed & (F.size(F.array_distinct(F.split(F.substring(token, 1, 512), ""))) >= DISTINCT)
+    return mixed & (F.size(F.array_distinct(F.split(token, ""))) >= DISTINCT)
 
 
 def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source", example_owners: int = EXAMPLE_OWNERS) -> DataFrame:
