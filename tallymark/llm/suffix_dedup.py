@@ -200,7 +200,10 @@ BUCKET_SCHEMA = "gram long, context long, ranges binary, h1 long, h2 long, place
 
 
 def bucket_repeats(length: int, gram: int):
-    """Rows (suffix, bytes, back, gram, context) of one bucket to: the repeated windows of each context, and the windows of its first and last gram."""
+    """Rows (suffix, bytes, back, gram, context, single) of one bucket to: the repeated windows of each single context, and the different windows of the first and last gram.
+
+    Of the latter, those that repeat in the bucket need no answer and carry no context.
+    """
 
     def sort(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         got = list(batches)
@@ -210,6 +213,7 @@ def bucket_repeats(length: int, gram: int):
         lists = held.column("bytes").to_pylist()
         back = held.column("back").to_numpy()
         g, c = held.column("gram").to_numpy(), held.column("context").to_numpy()
+        single = held.column("single").to_numpy()
         size = np.array([len(b) for b in lists])
         data = np.frombuffer(b"".join(lists), np.uint8)
         at = np.cumsum(size) - size
@@ -219,7 +223,7 @@ def bucket_repeats(length: int, gram: int):
         order, same = multikey_quicksort(data, at[row] + place, length)
         repeated = np.zeros(len(row), bool)
         repeated[order] = same | np.append(same[1:], False)
-        found = np.nonzero(repeated)[0]
+        found = np.nonzero(repeated & single[row])[0]
         if len(found):
             rows = row[found]
             cuts = [0, *(np.nonzero(np.diff(rows))[0] + 1).tolist(), len(rows)]
@@ -230,19 +234,21 @@ def bucket_repeats(length: int, gram: int):
         heads = [lists[i][back[i] : back[i] + gram] for i in range(len(lists))]
         edge = {min(heads), max(heads)}
         at_edge = np.array([h in edge for h in heads])
-        sent = at_edge[row]
-        if sent.any():
+        heads_of_runs = order[~same]
+        sent = heads_of_runs[at_edge[row[heads_of_runs]]]
+        if len(sent):
             r, p = row[sent], place[sent]
             starts = at[r] + p
             h1, h2 = (mixed(Rolling(data, b).of(starts, starts + length)) for b in BASES)
-            yield pa.RecordBatch.from_arrays([pa.array(g[r]), pa.array(c[r]), pa.nulls(len(r), pa.binary()), _signed(h1), _signed(h2), pa.array(p.astype(np.int32))], names=["gram", "context", "ranges", "h1", "h2", "place"])
+            silent = repeated[sent] | ~single[r]
+            yield pa.RecordBatch.from_arrays([pa.array(g[r]), pa.array(c[r]), pa.nulls(len(r), pa.binary()), _signed(h1), _signed(h2), pa.array(p.astype(np.int32), mask=silent)], names=["gram", "context", "ranges", "h1", "h2", "place"])
 
     return sort
 
 
 def fetch_contexts(docs: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
-    """(suffix, bytes, back, gram, context) of the contexts (gram, context, id, hash, spot) in ``wanted``; texts meet the list of their own."""
-    lists = wanted.groupBy("id", "hash").agg(F.collect_list(F.struct("gram", "context", "spot")).alias("spots")).hint("shuffle_hash")
+    """(suffix, bytes, back, gram, context, single) of the contexts (gram, context, single, id, hash, spot) in ``wanted``; texts meet the list of their own."""
+    lists = wanted.groupBy("id", "hash").agg(F.collect_list(F.struct("gram", "context", "single", "spot")).alias("spots")).hint("shuffle_hash")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in itertools.chain.from_iterable(slices(b, "text") for b in batches):
@@ -250,14 +256,14 @@ def fetch_contexts(docs: DataFrame, wanted: DataFrame, length: int) -> DataFrame
             for text, spots in zip(batch.column("text").cast(pa.binary()).to_pylist(), batch.column("spots").to_pylist(), strict=True):
                 for s in spots:
                     x, lo, hi = _unpack(s["spot"])
-                    out.append((text[x : hi + length], text[lo : hi + length], x - lo, s["gram"], s["context"]))
+                    out.append((text[x : hi + length], text[lo : hi + length], x - lo, s["gram"], s["context"], s["single"]))
             for a in range(0, len(out), 5_000):
-                kinds = (pa.binary(), pa.binary(), pa.int32(), pa.int64(), pa.int64())
-                yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(zip(*out[a : a + 5_000], strict=True), kinds, strict=True)], names=["suffix", "bytes", "back", "gram", "context"])
+                kinds = (pa.binary(), pa.binary(), pa.int32(), pa.int64(), pa.int64(), pa.bool_())
+                yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(zip(*out[a : a + 5_000], strict=True), kinds, strict=True)], names=["suffix", "bytes", "back", "gram", "context", "single"])
 
     own = docs.withColumnRenamed("id", "id_").withColumnRenamed("hash", "hash_")
     joined = own.join(lists, F.col("id_").eqNullSafe(F.col("id")) & (F.col("hash_") == F.col("hash"))).select("text", "spots")
-    return joined.mapInArrow(cut, "suffix binary, bytes binary, back int, gram long, context long")
+    return joined.mapInArrow(cut, "suffix binary, bytes binary, back int, gram long, context long, single boolean")
 
 
 def _cut_spans(length: int, names: list[str]):
@@ -295,25 +301,25 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     work = Workspace(docs.sparkSession)
     rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("hash"), F.col(text_col).alias("text"))
     every = anchor_rows(rows, length, gram)
-    twice = every.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1").select("gram")
+    # written, so that the join is one of two plain sides and a very common gram can be split
+    twice = work.write(every.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1").select("gram"), "twice")
     left = work.write(every.join(twice, "gram"), "anchors")
     contexts = work.write(left.groupBy("gram", "context").agg(F.count("*").alias("n"), F.min(F.struct("id", "hash", "spot")).alias("one")), "contexts")
     # a gram with one context only is settled by its count
     several = contexts.groupBy("gram").agg(F.count("*").alias("contexts"), F.min("n").alias("least")).where("contexts > 1 and least = 1").select("gram")
-    open_ = contexts.join(several, "gram").select("gram", "context", "one.*")
+    open_ = contexts.join(several, "gram").select("gram", "context", (F.col("n") == 1).alias("single"), "one.*")
     fetched = work.write(fetch_contexts(rows, open_, length), "fetched")
     buckets = max(1, -(-fetched.count() // BUCKET))
     sorted_ = work.write(fetched.repartitionByRange(buckets, "suffix", "bytes").mapInArrow(bucket_repeats(length, gram), BUCKET_SCHEMA), "sorted")
     work.drop("fetched")
     across = sorted_.where("h1 is not null").select("gram", "context", "h1", "h2", "place")
     shared = across.groupBy("h1", "h2").agg(F.count("*").alias("n")).where("n > 1").select("h1", "h2")
-    singles = across.join(shared, ["h1", "h2"]).select("gram", "context", F.col("place").alias("first"), F.col("place").alias("last"))
+    singles = across.where("place is not null").join(shared, ["h1", "h2"]).select("gram", "context", F.col("place").alias("first"), F.col("place").alias("last"))
     pair = "array<struct<first: int, last: int>>"
     inside = sorted_.where("ranges is not null").mapInArrow(_read_ranges, f"gram long, context long, ranges {pair}").select("gram", "context", F.inline("ranges"))
-    once = contexts.where("n = 1").select("gram", "context")
     # what repeats of each context, counted from its first window; null: all of it
     found = contexts.where("n > 1").select("gram", "context", F.lit(None).cast("int").alias("first"), F.lit(None).cast("int").alias("last"))
-    found = found.unionByName(inside.unionByName(singles).join(once, ["gram", "context"], "left_semi"))
+    found = found.unionByName(inside).unionByName(singles)
     x = F.shiftright("spot", 16)
     lo, hi = x - F.shiftright("spot", 8).bitwiseAND(F.lit(255)), x - F.col("spot").bitwiseAND(F.lit(255))
     begin, end = F.when(F.col("first").isNull(), lo).otherwise(lo + F.col("first")), F.when(F.col("last").isNull(), hi).otherwise(lo + F.col("last"))
