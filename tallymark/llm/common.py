@@ -95,3 +95,16 @@ def unused(df: DataFrame, name: str) -> str:
 
 def text_hash(text_col: str):
     return F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
+
+
+#: Bytes of an Arrow batch between the JVM and a worker; Spark's own bound is 64 MB, held several times over by each task.
+BATCH_BYTES = 4 << 20
+
+
+def map_batches(df: DataFrame, function, schema) -> DataFrame:
+    """``mapInArrow`` with batches of BATCH_BYTES: texts are long, and a batch is held in the JVM's and the worker's memory at once."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    spark = df.sparkSession
+    if int(str(spark.conf.get(name)).lower().rstrip("b")) > BATCH_BYTES:
+        spark.conf.set(name, str(BATCH_BYTES))
+    return df.mapInArrow(function, schema)

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallymark.llm.common import Workspace, slices, table, utf8
+from tallymark.llm.common import Workspace, map_batches, slices, table, utf8
 
 LENGTH, GRAM = 200, 40
 #: Bytes that a worker looks at together; contexts in a bucket.
@@ -145,7 +145,7 @@ def anchor_rows(docs: DataFrame, length: int, gram: int) -> DataFrame:
                 own = pa.array(rows[text])
                 yield pa.RecordBatch.from_arrays([_signed(g), _signed(c), batch.column("id").take(own), batch.column("hash").take(own), pa.array(spot)], names=["gram", "context", "id", "hash", "spot"])
 
-    return docs.mapInArrow(make, f"gram long, context long, id {docs.schema['id'].dataType.simpleString()}, hash long, spot long")
+    return map_batches(docs, make, f"gram long, context long, id {docs.schema['id'].dataType.simpleString()}, hash long, spot long")
 
 
 def _unpack(spot):
@@ -263,7 +263,7 @@ def fetch_contexts(docs: DataFrame, wanted: DataFrame, length: int) -> DataFrame
 
     own = docs.withColumnRenamed("id", "id_").withColumnRenamed("hash", "hash_")
     joined = own.join(lists, F.col("id_").eqNullSafe(F.col("id")) & (F.col("hash_") == F.col("hash"))).select("text", "spots")
-    return joined.mapInArrow(cut, "suffix binary, bytes binary, back int, gram long, context long, single boolean")
+    return map_batches(joined, cut, "suffix binary, bytes binary, back int, gram long, context long, single boolean")
 
 
 def _cut_spans(length: int, names: list[str]):
@@ -310,7 +310,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     open_ = contexts.join(several, "gram").select("gram", "context", (F.col("n") == 1).alias("single"), "one.*")
     fetched = work.write(fetch_contexts(rows, open_, length), "fetched")
     buckets = max(1, -(-fetched.count() // BUCKET))
-    sorted_ = work.write(fetched.repartitionByRange(buckets, "suffix", "bytes").mapInArrow(bucket_repeats(length, gram), BUCKET_SCHEMA), "sorted")
+    sorted_ = work.write(map_batches(fetched.repartitionByRange(buckets, "suffix", "bytes"), bucket_repeats(length, gram), BUCKET_SCHEMA), "sorted")
     work.drop("fetched")
     across = sorted_.where("h1 is not null").select("gram", "context", "h1", "h2", "place")
     shared = across.groupBy("h1", "h2").agg(F.count("*").alias("n")).where("n > 1").select("h1", "h2")
@@ -327,7 +327,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     spans = spans.groupBy("id", "hash").agg(F.collect_list("span").alias("spans")).withColumnRenamed("id", "id_").withColumnRenamed("hash", "hash_").hint("shuffle_hash")
     joined = rows.join(spans, F.col("id").eqNullSafe(F.col("id_")) & (F.col("hash") == F.col("hash_")), "left").select("id", "text", "spans")
     names = [id_col, "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"]
-    return joined.mapInArrow(_cut_spans(length, names), f"`{id_col}` {rows.schema['id'].dataType.simpleString()}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
+    return map_batches(joined, _cut_spans(length, names), f"`{id_col}` {rows.schema['id'].dataType.simpleString()}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
 
 
 def _read_ranges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
