@@ -12,7 +12,8 @@ of ``GRAM`` bytes, which depends on the window's bytes alone. Equal windows have
 3. One of each different context of such grams is fetched with its bytes. They are range-partitioned
    by the suffix at the anchor (Spark samples the splitters), and each bucket sorts the suffixes of
    all its windows by multikey quicksort; equal neighbours repeat. The first and the last gram of a
-   bucket may go on in the next one: their windows are compared across buckets by 128-bit hashes.
+   bucket may go on in the next one: their windows are compared across buckets by 128-bit hashes,
+   packed by slots of the hash, so that a very common gram is spread over all tasks in few rows.
 
 Every shuffle has plain rows of anchors or of texts; groups are only counted, never gathered, and
 documents meet their own spans only.
@@ -34,6 +35,8 @@ from tallymark.llm.common import Workspace, map_batches, slices, table, utf8
 LENGTH, GRAM = 200, 40
 #: Bytes that a worker looks at together; contexts in a bucket.
 CHUNK, BUCKET = 1 << 19, 10_000
+#: Bytes of a suffix that splitters look at; no fewer than a gram.
+LEADING = 96
 #: Suffixes below which a part is sorted by whole remainders.
 SMALL = 2048
 BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
@@ -196,11 +199,64 @@ def _ranges(places: np.ndarray) -> bytes:
     return np.stack([places[np.append(0, cut + 1)], places[np.append(cut, len(places) - 1)]], 1).astype(np.int16).tobytes()
 
 
-BUCKET_SCHEMA = "gram long, context long, ranges binary, h1 long, h2 long, place int"
+BUCKET_SCHEMA = "gram long, context long, ranges binary, slot int, packed binary"
+#: A window sent to be compared across buckets, and an answer; place -1: no answer is needed.
+WINDOW = np.dtype([("h1", "<u8"), ("h2", "<u8"), ("gram", "<i8"), ("context", "<i8"), ("place", "<i4")])
+ANSWER = np.dtype([("gram", "<i8"), ("context", "<i8"), ("place", "<i4")])
 
 
-def bucket_repeats(length: int, gram: int):
-    """Rows (suffix, bytes, back, gram, context, single) of one bucket to: the repeated windows of each single context, and the different windows of the first and last gram.
+def _packed(records: np.ndarray, slots: np.ndarray) -> tuple[list[int], list[bytes]]:
+    """The records of each slot, end to end."""
+    order = np.argsort(slots, kind="stable")
+    records, slots = records[order], slots[order]
+    cuts = [0, *(np.nonzero(np.diff(slots))[0] + 1).tolist(), len(slots)]
+    return slots[cuts[:-1]].tolist(), [records[a:b].tobytes() for a, b in itertools.pairwise(cuts)]
+
+
+def _by_slot(batches: Iterator[pa.RecordBatch], kind: np.dtype) -> Iterator[np.ndarray]:
+    """The records of each slot together, from rows (slot, packed) in the slots' order."""
+    slot, held = None, []
+    for batch in batches:
+        for s, packed in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            if s != slot:
+                if held:
+                    yield np.frombuffer(b"".join(held), kind)
+                slot, held = s, []
+            held.append(packed)
+    if held:
+        yield np.frombuffer(b"".join(held), kind)
+
+
+def shared_windows(slots: int):
+    """Rows (slot, packed windows) to (slot, packed answers): windows that more than one bucket has sent."""
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for sent in _by_slot(batches, WINDOW):
+            sent = sent[np.lexsort((sent["h2"], sent["h1"]))]
+            same = (sent["h1"][1:] == sent["h1"][:-1]) & (sent["h2"][1:] == sent["h2"][:-1])
+            shared = (np.append(False, same) | np.append(same, False)) & (sent["place"] >= 0)
+            if shared.any():
+                out = np.empty(int(shared.sum()), ANSWER)
+                for name in ANSWER.names:
+                    out[name] = sent[name][shared]
+                to, packed = _packed(out, (mixed(np.ascontiguousarray(out["context"]).view(_U)) % _U(slots)).astype(np.int64))
+                yield pa.RecordBatch.from_arrays([pa.array(to, pa.int32()), pa.array(packed, pa.binary())], names=["slot", "packed"])
+
+    return meet
+
+
+def _gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (slot, packed answers) to the repeated windows of each context."""
+    for got in _by_slot(batches, ANSWER):
+        got = got[np.lexsort((got["place"], got["context"], got["gram"]))]
+        cuts = np.nonzero((np.diff(got["gram"]) != 0) | (np.diff(got["context"]) != 0))[0] + 1
+        spans = list(itertools.pairwise([0, *cuts.tolist(), len(got)]))
+        first = [a for a, _ in spans]
+        yield pa.RecordBatch.from_arrays([pa.array(got["gram"][first]), pa.array(got["context"][first]), pa.array([_ranges(got["place"][a:b]) for a, b in spans], pa.binary())], names=["gram", "context", "ranges"])
+
+
+def bucket_repeats(length: int, gram: int, slots: int):
+    """Rows (bytes, back, gram, context, single) of one bucket to: the repeated windows of each single context, and the different windows of the first and last gram.
 
     Of the latter, those that repeat in the bucket need no answer and carry no context.
     """
@@ -229,8 +285,7 @@ def bucket_repeats(length: int, gram: int):
             cuts = [0, *(np.nonzero(np.diff(rows))[0] + 1).tolist(), len(rows)]
             own = rows[cuts[:-1]]
             ranges = [_ranges(place[found[a:b]]) for a, b in itertools.pairwise(cuts)]
-            none = pa.nulls(len(own), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(g[own]), pa.array(c[own]), pa.array(ranges, pa.binary()), none, none, pa.nulls(len(own), pa.int32())], names=["gram", "context", "ranges", "h1", "h2", "place"])
+            yield pa.RecordBatch.from_arrays([pa.array(g[own]), pa.array(c[own]), pa.array(ranges, pa.binary()), pa.nulls(len(own), pa.int32()), pa.nulls(len(own), pa.binary())], names=["gram", "context", "ranges", "slot", "packed"])
         heads = [lists[i][back[i] : back[i] + gram] for i in range(len(lists))]
         edge = {min(heads), max(heads)}
         at_edge = np.array([h in edge for h in heads])
@@ -239,15 +294,18 @@ def bucket_repeats(length: int, gram: int):
         if len(sent):
             r, p = row[sent], place[sent]
             starts = at[r] + p
-            h1, h2 = (mixed(Rolling(data, b).of(starts, starts + length)) for b in BASES)
-            silent = repeated[sent] | ~single[r]
-            yield pa.RecordBatch.from_arrays([pa.array(g[r]), pa.array(c[r]), pa.nulls(len(r), pa.binary()), _signed(h1), _signed(h2), pa.array(p.astype(np.int32), mask=silent)], names=["gram", "context", "ranges", "h1", "h2", "place"])
+            out = np.empty(len(sent), WINDOW)
+            out["h1"], out["h2"] = (mixed(Rolling(data, b).of(starts, starts + length)) for b in BASES)
+            out["gram"], out["context"], out["place"] = g[r], c[r], np.where(repeated[sent] | ~single[r], -1, p)
+            to, packed = _packed(out, (out["h1"] % _U(slots)).astype(np.int64))
+            none = pa.nulls(len(to), pa.int64())
+            yield pa.RecordBatch.from_arrays([none, none, pa.nulls(len(to), pa.binary()), pa.array(to, pa.int32()), pa.array(packed, pa.binary())], names=["gram", "context", "ranges", "slot", "packed"])
 
     return sort
 
 
 def fetch_contexts(docs: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
-    """(suffix, bytes, back, gram, context, single) of the contexts (gram, context, single, id, hash, spot) in ``wanted``; texts meet the list of their own."""
+    """(bytes, back, gram, context, single) of the contexts (gram, context, single, id, hash, spot) in ``wanted``; texts meet the list of their own."""
     lists = wanted.groupBy("id", "hash").agg(F.collect_list(F.struct("gram", "context", "single", "spot")).alias("spots")).hint("shuffle_hash")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -256,14 +314,14 @@ def fetch_contexts(docs: DataFrame, wanted: DataFrame, length: int) -> DataFrame
             for text, spots in zip(batch.column("text").cast(pa.binary()).to_pylist(), batch.column("spots").to_pylist(), strict=True):
                 for s in spots:
                     x, lo, hi = _unpack(s["spot"])
-                    out.append((text[x : hi + length], text[lo : hi + length], x - lo, s["gram"], s["context"], s["single"]))
+                    out.append((text[lo : hi + length], x - lo, s["gram"], s["context"], s["single"]))
             for a in range(0, len(out), 5_000):
-                kinds = (pa.binary(), pa.binary(), pa.int32(), pa.int64(), pa.int64(), pa.bool_())
-                yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(zip(*out[a : a + 5_000], strict=True), kinds, strict=True)], names=["suffix", "bytes", "back", "gram", "context", "single"])
+                kinds = (pa.binary(), pa.int32(), pa.int64(), pa.int64(), pa.bool_())
+                yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(zip(*out[a : a + 5_000], strict=True), kinds, strict=True)], names=["bytes", "back", "gram", "context", "single"])
 
     own = docs.withColumnRenamed("id", "id_").withColumnRenamed("hash", "hash_")
     joined = own.join(lists, F.col("id_").eqNullSafe(F.col("id")) & (F.col("hash_") == F.col("hash"))).select("text", "spots")
-    return map_batches(joined, cut, "suffix binary, bytes binary, back int, gram long, context long, single boolean")
+    return map_batches(joined, cut, "bytes binary, back int, gram long, context long, single boolean")
 
 
 def _cut_spans(length: int, names: list[str]):
@@ -296,8 +354,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     not be whole characters. Null texts are empty; texts shorter than ``length`` lose nothing; equal rows are copies of each other, so long ones
     lose everything; null ids are kept apart by their texts. Other columns are not read.
     """
-    if not gram < length <= 256:
-        raise ValueError("the gram must be shorter than the length, and that 256 bytes at most")
+    if not gram <= LEADING or not gram < length <= 256:
+        raise ValueError(f"the gram must be shorter than the length and {LEADING + 1}, the length 256 bytes at most")
     work = Workspace(docs.sparkSession)
     rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("hash"), F.col(text_col).alias("text"))
     every = anchor_rows(rows, length, gram)
@@ -310,16 +368,18 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     open_ = contexts.join(several, "gram").select("gram", "context", (F.col("n") == 1).alias("single"), "one.*")
     fetched = work.write(fetch_contexts(rows, open_, length), "fetched")
     buckets = max(1, -(-fetched.count() // BUCKET))
-    sorted_ = work.write(map_batches(fetched.repartitionByRange(buckets, "suffix", "bytes"), bucket_repeats(length, gram), BUCKET_SCHEMA), "sorted")
+    # the suffix at the anchor by its leading bytes; the hash splits what has them in common
+    leading = F.substr(F.col("bytes"), F.col("back") + 1, F.lit(LEADING))
+    sorted_ = work.write(map_batches(fetched.repartitionByRange(buckets, leading, F.xxhash64("bytes")), bucket_repeats(length, gram, buckets), BUCKET_SCHEMA), "sorted")
     work.drop("fetched")
-    across = sorted_.where("h1 is not null").select("gram", "context", "h1", "h2", "place")
-    shared = across.groupBy("h1", "h2").agg(F.count("*").alias("n")).where("n > 1").select("h1", "h2")
-    singles = across.where("place is not null").join(shared, ["h1", "h2"]).select("gram", "context", F.col("place").alias("first"), F.col("place").alias("last"))
+    dealt = lambda df: df.select("slot", "packed").repartition("slot").sortWithinPartitions("slot")
+    answers = dealt(sorted_.where("slot is not null")).mapInArrow(shared_windows(buckets), "slot int, packed binary")
+    across = dealt(answers).mapInArrow(_gather, "gram long, context long, ranges binary")
     pair = "array<struct<first: int, last: int>>"
-    inside = sorted_.where("ranges is not null").mapInArrow(_read_ranges, f"gram long, context long, ranges {pair}").select("gram", "context", F.inline("ranges"))
+    inside = sorted_.where("ranges is not null").select("gram", "context", "ranges").unionByName(across).mapInArrow(_read_ranges, f"gram long, context long, ranges {pair}").select("gram", "context", F.inline("ranges"))
     # what repeats of each context, counted from its first window; null: all of it
     found = contexts.where("n > 1").select("gram", "context", F.lit(None).cast("int").alias("first"), F.lit(None).cast("int").alias("last"))
-    found = found.unionByName(inside).unionByName(singles)
+    found = found.unionByName(inside)
     x = F.shiftright("spot", 16)
     lo, hi = x - F.shiftright("spot", 8).bitwiseAND(F.lit(255)), x - F.col("spot").bitwiseAND(F.lit(255))
     begin, end = F.when(F.col("first").isNull(), lo).otherwise(lo + F.col("first")), F.when(F.col("last").isNull(), hi).otherwise(lo + F.col("last"))
