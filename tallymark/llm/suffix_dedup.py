@@ -34,7 +34,7 @@ from tallymark.llm.common import Workspace, map_batches, slices, table, utf8
 
 LENGTH, GRAM = 200, 40
 #: Bytes that a worker looks at together; contexts in a bucket.
-CHUNK, BUCKET = 1 << 19, 10_000
+CHUNK, BUCKET = 1 << 18, 10_000
 #: Bytes of a suffix that splitters look at; no fewer than a gram.
 LEADING = 96
 #: Suffixes below which a part is sorted by whole remainders.
@@ -338,16 +338,16 @@ def _cut_spans(length: int, names: list[str]):
                     else:
                         runs.append([first, last])
                 kept = b"".join(text[a:b] for a, b in zip([0, *(r[1] for r in runs)], [*(r[0] for r in runs), len(text)], strict=True))
-                out.append((len(text), len(text) - len(kept), len(runs), hashlib.sha256(kept).hexdigest(), kept))
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary())
-            columns = [pa.array(v, t) for v, t in zip(zip(*out, strict=True) if out else [[]] * 5, kinds, strict=True)]
+                out.append((len(text), len(text) - len(kept), len(runs), hashlib.sha256(kept).hexdigest(), kept)[: len(names) - 1])
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary())[: len(names) - 1]
+            columns = [pa.array(v, t) for v, t in zip(zip(*out, strict=True) if out else [[]] * len(kinds), kinds, strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=names)
 
     return cut
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, gram: int = GRAM) -> DataFrame:
-    """(id, n_bytes, n_removed, n_spans, kept_sha256, kept) of each document.
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, gram: int = GRAM, with_kept: bool = True) -> DataFrame:
+    """(id, n_bytes, n_removed, n_spans, kept_sha256, kept) of each document; without ``kept``, if not asked for.
 
     Each byte that is covered by a string of ``length`` bytes which starts anywhere else too, in the
     same document or another, is removed; strings are judged on the input. ``kept`` holds the bytes left, which need
@@ -386,8 +386,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     spans = left.join(found, ["gram", "context"]).select("id", "hash", (F.shiftleft(begin, 32) + end).alias("span"))
     spans = spans.groupBy("id", "hash").agg(F.collect_list("span").alias("spans")).withColumnRenamed("id", "id_").withColumnRenamed("hash", "hash_").hint("shuffle_hash")
     joined = rows.join(spans, F.col("id").eqNullSafe(F.col("id_")) & (F.col("hash") == F.col("hash_")), "left").select("id", "text", "spans")
-    names = [id_col, "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"]
-    return map_batches(joined, _cut_spans(length, names), f"`{id_col}` {rows.schema['id'].dataType.simpleString()}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
+    names = [id_col, "n_bytes", "n_removed", "n_spans", "kept_sha256", *(["kept"] if with_kept else [])]
+    return map_batches(joined, _cut_spans(length, names), f"`{id_col}` {rows.schema['id'].dataType.simpleString()}, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * with_kept)
 
 
 def _read_ranges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -398,4 +398,4 @@ def _read_ranges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return remove_repeats(table(spark, sf_dir, "documents")).drop("kept")
+    return remove_repeats(table(spark, sf_dir, "documents"), with_kept=False)
