@@ -48,8 +48,7 @@ def pieces(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     hashed = np.empty((len(three), 2), np.uint16)
     hashed[:, 0] = (three * np.uint32(2654435761)) >> shift
     hashed[:, 1] = ((four ^ np.uint32(0x5BD1E995)) * np.uint32(2246822519)) >> shift
-    counts = (line[:-3] != 32) | (line[1:-2] != 32)
-    counts &= line[1:-2] + np.uint16(0) != 32
+    counts = line[1:-2] != 32  # a piece counts if its second byte is of a letter: a first one may be a space, for beginnings of words
     return hashed, counts, starts
 
 
