@@ -3,7 +3,8 @@
 Documents are cut into passages of ``WINDOW`` words, half overlapping. Over the benchmark's words (the
 others can't tell passages apart here) passages have TF-IDF vectors; a randomised SVD of all of them,
 summed up distributedly in one pass over the corpus, gives a latent space; passages whose cosine with an item
-is high enough in it are candidates. A candidate counts if the longest common subsequence of words covers
+is high enough in it are candidates. Items longer than a passage are held against passages in pieces no longer than one, any
+of which makes a candidate of the whole item. A candidate counts if the longest common subsequence of words covers
 enough of the item, or somewhat less of it and most of its answer.
 
 The benchmark is taken in blocks of bounded size, so what is sent to the executors never grows with
@@ -25,11 +26,11 @@ from pyspark.sql import functions as F
 from tallymark.llm.common import Workspace, slices, table, text_hash, unused
 
 WINDOW, STRIDE = 64, 32
-#: Items and bytes of text in a block; random directions beside the items' own.
+#: Pieces of items (most have one) and bytes of text in a block; random directions beside the pieces' own.
 BLOCK_ITEMS, BLOCK_BYTES, SPARE = 256, 2 << 20, 32
-#: Words in more than this share of the documents have no weight, but for each item's KEPT rarest ones.
+#: Words in more than this share of the documents have no weight, but for each piece's KEPT rarest ones.
 COMMON, KEPT = 0.02, 8
-#: Latent cosine of a candidate, and the share of the item's latent weight that it carries (one rare word makes a cosine, but carries little).
+#: Latent cosine of a candidate, and the share of the piece's latent weight that it carries (one rare word makes a cosine, but carries little).
 COSINE, CONTAINED = 0.35, 0.3
 #: Share of the item's words in common order; that share if the answer is there; share of the answer.
 COVERED, COVERED_WITH_ANSWER, ANSWERED = 0.8, 0.6, 0.8
@@ -62,14 +63,21 @@ def _masks(words: list[int]) -> dict[int, int]:
     return out
 
 
+def pieces_of(words: list[int]) -> list[list[int]]:
+    """An item's words in even pieces of WINDOW at most: a passage can't carry more."""
+    n = max(1, -(-len(words) // WINDOW))
+    return [words[i * len(words) // n : (i + 1) * len(words) // n] for i in range(n)]
+
+
 @dataclass
 class Block:
-    """Items whose texts are compared at once."""
+    """Items whose texts are compared at once; ``pieces`` are (item's place, words)."""
 
     ids: list[int]
     words: list[list[int]]
     answers: list[list[int]]
     vocabulary: dict[str, int]
+    pieces: list[tuple[int, list[int]]]
     idf: np.ndarray = field(default_factory=lambda: np.zeros(0))
     basis: np.ndarray = field(default_factory=lambda: np.zeros((0, 0)))
 
@@ -78,23 +86,41 @@ class Block:
         vocabulary: dict[str, int] = {}
         number = lambda ws: [vocabulary.setdefault(w, len(vocabulary) + 1) for w in ws]  # noqa: E731  0: none of these
         kept = [(i, t) for i, t in items if words_of(t.lower())]
-        return cls([i for i, _ in kept], [number(words_of(t.lower())) for _, t in kept], [number(answer_of(t)) for _, t in kept], vocabulary)
+        words = [number(words_of(t.lower())) for _, t in kept]
+        pieces = [(i, piece) for i, ws in enumerate(words) for piece in pieces_of(ws)]
+        return cls([i for i, _ in kept], words, [number(answer_of(t)) for _, t in kept], vocabulary, pieces)
 
     def weigh(self, df: np.ndarray, documents: int) -> None:
         common = df > max(COMMON * documents, 10)
-        for ws in self.words:
+        for _, ws in self.pieces:
             rarest = sorted(set(ws), key=lambda w: (df[w], w))[:KEPT]
             common[rarest] = False
         common[0] = True
         self.idf = np.where(common, 0, np.log1p(documents / (1 + df))).astype(np.float32)
 
-    def vectors(self, unit: bool = True) -> np.ndarray:
-        out = np.zeros((len(self.ids), len(self.idf)), np.float32)
-        for i, ws in enumerate(self.words):
+    def vectors(self, unit: bool = True, a: int = 0, b: int | None = None) -> np.ndarray:
+        """The TF-IDF rows of the pieces of [a, b)."""
+        rows = self.pieces[a:b]
+        out = np.zeros((len(rows), len(self.idf)), np.float32)
+        for i, (_, ws) in enumerate(rows):
             w, n = np.unique(ws, return_counts=True)
             out[i, w] = (1 + np.log(n)) * self.idf[w]
         return out / np.maximum(np.linalg.norm(out, axis=1), 1e-9)[:, None] if unit else out
 
+    def directions(self) -> np.ndarray:
+        """The pieces' unit rows; where an item has more than a block's pieces, BLOCK_ITEMS sums of neighbouring ones."""
+        if len(self.pieces) <= BLOCK_ITEMS:
+            return self.vectors()
+        ends = [i * len(self.pieces) // BLOCK_ITEMS for i in range(BLOCK_ITEMS + 1)]
+        sums = np.stack([self.vectors(True, a, b).sum(0) for a, b in zip(ends, ends[1:], strict=False)])
+        return sums / np.maximum(np.linalg.norm(sums, axis=1), 1e-9)[:, None]
+
+    def latent(self) -> tuple[np.ndarray, np.ndarray]:
+        """The pieces' unit rows in the latent space, and their norms there before."""
+        out = np.concatenate([self.vectors(False, a, a + BLOCK_ITEMS) @ self.basis for a in range(0, len(self.pieces), BLOCK_ITEMS)])
+        weight = np.maximum(np.linalg.norm(out, axis=1), 1e-9)
+        return out / weight[:, None], weight
+
 
 def passages(ids: np.ndarray, at: np.ndarray, idf: np.ndarray, stride: int) -> tuple[np.ndarray, ...]:
     """The sparse TF-IDF rows of all passages with a weight: (word, value, where each begins, its document, its first word, its norm).
@@ -164,11 +190,11 @@ def document_frequencies(tokens: DataFrame, size: int) -> np.ndarray:
 def latent_basis(tokens: DataFrame, block: Block, seed: int = 3) -> np.ndarray:
     """Leading right singular vectors of the passages' TF-IDF matrix A, words by rank, from one pass over it.
 
-    The sketch is Y = A'A S, S holding the items' directions and random ones; with C = S'Y, the
+    The sketch is Y = A'A S, S holding the pieces' directions and random ones; with C = S'Y, the
     singular vectors of Y C^(-1/2) are those of A within the sketch (the Nystrom form of the randomised SVD).
     """
     rng = np.random.default_rng(seed)
-    sketch = np.concatenate([block.vectors(), rng.normal(size=(SPARE, len(block.idf))).astype(np.float32) / np.sqrt(len(block.idf))]).T.copy()
+    sketch = np.concatenate([block.directions(), rng.normal(size=(SPARE, len(block.idf))).astype(np.float32) / np.sqrt(len(block.idf))]).T.copy()
     sent = tokens.sparkSession.sparkContext.broadcast((sketch, block.idf))
     size, rank = sketch.shape
 
@@ -209,15 +235,23 @@ def latent_basis(tokens: DataFrame, block: Block, seed: int = 3) -> np.ndarray:
     return basis[:, strength > strength[0] * 1e-4].astype(np.float32)
 
 
+def _candidates(z: np.ndarray, length: np.ndarray, norm: np.ndarray, latent: np.ndarray, weight: np.ndarray, owner: np.ndarray, cosine: float) -> Iterator[tuple[int, int]]:
+    """(passage, item) where the passage is near enough to one of the item's pieces and carries enough of it."""
+    for a in range(0, len(latent), BLOCK_ITEMS):
+        near = z @ latent[a : a + BLOCK_ITEMS].T
+        chosen = (near >= cosine * length[:, None]) & (near * norm[:, None] >= CONTAINED * weight[None, a : a + BLOCK_ITEMS])
+        p, piece = np.nonzero(chosen)
+        yield from np.unique(np.stack([p, owner[a + piece]], 1), axis=0).tolist()
+
+
 def matches_of(tokens: DataFrame, block: Block, cosine: float) -> DataFrame:
     """(id, text_hash, item_id, covered, answered) of the candidates that hold."""
     sent = tokens.sparkSession.sparkContext.broadcast(block)
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         b = sent.value
-        latent = b.vectors(unit=False) @ b.basis
-        weight = np.maximum(np.linalg.norm(latent, axis=1), 1e-9)
-        latent /= weight[:, None]
+        latent, weight = b.latent()
+        owner = np.array([i for i, _ in b.pieces])
         masks, answers = [_masks(w) for w in b.words], [_masks(w) for w in b.answers]
         sizes = [len(w) for w in b.words]
         for batch in batches:
@@ -227,18 +261,23 @@ def matches_of(tokens: DataFrame, block: Block, cosine: float) -> DataFrame:
                 if not len(word):
                     continue
                 z = np.add.reduceat(b.basis[word] * value[:, None], starts, axis=0)
-                near_item = z @ latent.T
                 length = np.maximum(np.linalg.norm(z, axis=1), 1e-9)
-                chosen = (near_item >= cosine * length[:, None]) & (near_item * norm[:, None] >= CONTAINED * weight[None, :])
                 best: dict[tuple[int, int], tuple[float, float]] = {}
-                for p, item in zip(*np.nonzero(chosen), strict=True):
+                tried: set[tuple[int, int, int]] = set()
+                for p, item in _candidates(z, length, norm, latent, weight, owner, cosine):
                     key, n = (int(doc[p]), int(item)), sizes[item]
                     if best.get(key, (0, 0))[0] == 1:
                         continue
                     text = ids[at[doc[p]] : at[doc[p] + 1]]
                     lo, hi = max(0, first[p] - n), min(len(text), first[p] + WINDOW + n)
                     span, step = n + n // 2 + 2, max(1, n // 4)
+                    if n > WINDOW:  # many passages of one long item: their ranges' parts begin at the same places, each looked at once
+                        lo -= lo % step
                     for s in range(lo, max(lo + 1, hi - span + step), step):
+                        if n > WINDOW:
+                            if (*key, s) in tried:
+                                continue
+                            tried.add((*key, s))
                         near = text[s : s + span].tolist()
                         got = lcs(masks[item], n, near) / n
                         if got > best.get(key, (0, 0))[0]:
@@ -253,13 +292,17 @@ def matches_of(tokens: DataFrame, block: Block, cosine: float) -> DataFrame:
 
 
 def _blocks(benchmark: DataFrame, item_col: str, text_col: str) -> Iterator[list[tuple[int, str]]]:
-    block, size = [], 0
+    block, pieces, size = [], 0, 0
     for row in benchmark.where(F.col(text_col).isNotNull()).select(item_col, text_col).orderBy(item_col, text_col).toLocalIterator():
+        own = -(-len(words_of(row[1].lower())) // WINDOW)
+        if block and pieces + own > BLOCK_ITEMS:
+            yield block
+            block, pieces, size = [], 0, 0
         block.append((row[0], row[1]))
-        size += len(row[1])
-        if len(block) >= BLOCK_ITEMS or size >= BLOCK_BYTES:
+        pieces, size = pieces + max(1, own), size + len(row[1])
+        if pieces >= BLOCK_ITEMS or size >= BLOCK_BYTES:
             yield block
-            block, size = [], 0
+            block, pieces, size = [], 0, 0
     if block:
         yield block
 

@@ -216,6 +216,24 @@ def test_blocks_of_items_change_nothing(spark, documents, monkeypatch):
     assert {(r.doc_id, r.item_id) for r in decontaminate.leaks(df, bench).collect()} == {(i, i) for i in range(5)}
 
 
+def test_verbatim_items_of_any_length_are_found(spark, documents):
+    rng = random.Random(12)
+    words = ["".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randint(3, 9))) for _ in range(4000)]
+    say = lambda n: [rng.choice(words) for _ in range(n)]
+    items = [(i, say(n)) for i, n in enumerate([64, 65, 100, 200, 300, 400, 600, 1000, 2000] * 3)]
+    docs = [(i, " ".join(say(rng.randint(0, 200)) + ws + say(rng.randint(0, 200)))) for i, ws in items]
+    docs += [(100 + i, " ".join(ws[: len(ws) // 2] + say(300))) for i, ws in items] + [(200 + k, " ".join(say(400))) for k in range(60)]
+    bench = spark.createDataFrame([(i, " ".join(ws)) for i, ws in items], "item_id long, text string")
+    found = {(r.doc_id, r.item_id): r.covered for r in decontaminate.leaks(documents(docs), bench).collect()}
+    assert found == {(i, i): 1.0 for i, _ in items}
+
+
+def test_pieces_of_items_hold_all_words_evenly():
+    for n in (1, 63, 64, 65, 128, 129, 2000):
+        pieces = decontaminate.pieces_of([*range(n)])
+        assert sum(pieces, []) == [*range(n)] and max(map(len, pieces)) <= decontaminate.WINDOW and max(map(len, pieces)) - min(map(len, pieces)) <= 1
+
+
 def test_bit_parallel_lcs_equals_the_table():
     rng = random.Random(1)
     for _ in range(200):
