@@ -2,8 +2,8 @@
 
 Candidates are the fixed patterns' values and every long token of mixed letters and digits. Their
 hashes are counted over the corpus by distinct documents (a repository each) and by distinct owners
-(the sources): what many owners hold is a copied example, what one owner holds and looks random is
-a live-looking credential. The latter, where no fixed pattern has found it, adds a span of kind ``live``.
+(the sources): what many owners or many repositories hold is a copied example, what one owner holds in few
+repositories and looks random is a live-looking credential. The latter, where no fixed pattern has found it, adds a span of kind ``live``.
 """
 
 from __future__ import annotations
@@ -25,8 +25,8 @@ _VALUE = r"""^(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?
 _RUN = "A-Za-z0-9+/_="
 #: A token that could be a credential: so long, with a digit, a small and a capital letter.
 TOKEN = rf"(?<![{_RUN}-])(?=[a-z+/_=-]*+[0-9A-Z])[{_RUN}-]{{20,}}+"
-#: Owners from which a candidate counts as a copied example; distinct characters that look random.
-EXAMPLE_OWNERS, DISTINCT = 3, 12
+#: Owners, or repositories of however few owners, from which a candidate counts as a copied example; distinct characters that look random.
+EXAMPLE_OWNERS, EXAMPLE_REPOSITORIES, DISTINCT = 3, 10, 12
 
 
 def base_spans(text: Column) -> Column:
@@ -44,12 +44,13 @@ def _looks_live(token: Column) -> Column:
     return mixed & (F.size(F.array_distinct(F.split(token, ""))) >= DISTINCT)
 
 
-def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source", example_owners: int = EXAMPLE_OWNERS) -> DataFrame:
+def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source", example_owners: int = EXAMPLE_OWNERS, example_repositories: int = EXAMPLE_REPOSITORIES) -> DataFrame:
     """(id, base, spans, n_example, n_live): arrays of struct<kind, start, stop>, places in code points, stop exclusive.
 
     ``base`` is what the fixed patterns find, by start and kind; ``spans`` adds owner-specific
     live-looking tokens, which never overlap a base span. ``n_example`` counts the base spans whose value
-    ``example_owners`` owners or more hold, ``n_live`` the spans whose value one owner holds. Null
+    ``example_owners`` owners or more hold, or ``example_repositories`` repositories or more, ``n_live`` the spans whose
+    value one owner holds in fewer repositories than that. Null
     and empty texts have none; null owners are one owner; equal rows are one repository and get equal results; every
     row stays; other columns aren't read.
     """
@@ -66,11 +67,13 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     repository = F.xxhash64(safe_id("id"), F.col("text_hash"))
     owned = each.select(F.col("s.h").alias("h"), "owner", repository.alias("repository")).distinct().groupBy("h", "owner").agg(F.count("*").alias("n"))
     held = owned.groupBy("h").agg(F.count("*").alias("owners"), F.sum("n").alias("repositories"))
-    judged = each.withColumn("h", F.col("s.h")).join(held, "h")
+    many = F.col("repositories") >= example_repositories
+    verdict = held.select("h", ((F.col("owners") >= example_owners) | many).alias("example"), ((F.col("owners") == 1) & ~many).alias("live"))
+    judged = each.withColumn("h", F.col("s.h")).join(verdict, "h")
     per_row = judged.groupBy("id", "owner", "text_hash").agg(
-        F.array_sort(F.collect_set(F.when(F.col("s.rank") == len(KINDS), F.when(F.col("owners") == 1, F.struct("s.start", "s.rank", "s.stop", "s.kind"))))).alias("more"),
-        F.size(F.collect_set(F.when((F.col("s.rank") < len(KINDS)) & (F.col("owners") >= example_owners), F.struct("s.start", "s.rank")))).cast("long").alias("n_example"),
-        F.size(F.collect_set(F.when(F.col("owners") == 1, F.struct("s.start", "s.rank")))).cast("long").alias("n_live"),
+        F.array_sort(F.collect_set(F.when(F.col("s.rank") == len(KINDS), F.when(F.col("live"), F.struct("s.start", "s.rank", "s.stop", "s.kind"))))).alias("more"),
+        F.size(F.collect_set(F.when((F.col("s.rank") < len(KINDS)) & F.col("example"), F.struct("s.start", "s.rank")))).cast("long").alias("n_example"),
+        F.size(F.collect_set(F.when(F.col("live"), F.struct("s.start", "s.rank")))).cast("long").alias("n_live"),
     )
     per_row = per_row.select(F.col("id").alias("id_"), F.col("owner").alias("owner_"), F.col("text_hash").alias("hash_"), "more", "n_example", "n_live")
     joined = found.join(per_row, F.col("id").eqNullSafe(F.col("id_")) & (F.col("text_hash") == F.col("hash_")) & (F.col("owner") == F.col("owner_")), "left")

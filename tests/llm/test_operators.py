@@ -148,6 +148,15 @@ def test_owner_frequency_parts_examples_from_live_secrets(documents):
     assert got[0].spans == [] and got[12].n_example == 1 and got[12].n_live == 0 and got[10].n_live == 1
 
 
+def test_tokens_in_many_repositories_of_one_owner_are_examples(documents):
+    example, live = "Ab1Cd2Ef3Gh4Ij5Kl6Mn7Op8", "Zx9Kq2Lm8Vb4Nc7Tg1Hd5Wp3"
+    rows = [(i, f"part {i}: see {example} and token = \"pasted-secret-1\" here", "hot") for i in range(40)] + [(100 + i, f"row {i} has {live}", "hot") for i in range(3)]
+    rows += [(200, f"again {live[::-1]}", "hot")] * 40  # equal rows are one repository
+    got = {r.doc_id: r for r in secret_scan.scan_secrets(documents(rows)).collect()}
+    assert [s.kind for s in got[0].spans] == ["assign"] and (got[0].n_example, got[0].n_live) == (1, 0)
+    assert [s.kind for s in got[100].spans] == ["live"] and (got[100].n_example, got[100].n_live) == (0, 1) and got[200].n_live == 1
+
+
 # -- 3: neighbours ------------------------------------------------------------------------------
 
 
