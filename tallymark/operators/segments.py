@@ -4,14 +4,12 @@ from __future__ import annotations
 
 from decimal import Decimal
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallymark.functions import aggregate_hash
 
 ROWS_PER_SEGMENT, LEAST_SEGMENTS = 100_000, 8
-#: Keys that quantile bounds are taken from, at most.
-SAMPLE_KEYS = 10_000
 
 
 def segment_count(rows: int, per_segment: int = ROWS_PER_SEGMENT, least: int = LEAST_SEGMENTS) -> int:
@@ -33,14 +31,31 @@ def numeric_bounds(lo: int, hi: int, n: int) -> list[tuple[int, int | None]]:
     return list(zip(cuts, [*cuts[1:], None], strict=True))
 
 
-def quantile_cuts(df: DataFrame, key: str, n: int, rows: int, seed: int = 17) -> list:
-    """n - 1 ascending cuts from a seeded sample of the keys of bounded size; fewer where the sample repeats."""
-    keys = df.select(key).where(F.col(key).isNotNull())
-    share = min(1.0, SAMPLE_KEYS / max(rows, 1))
-    picked = keys if share == 1.0 else keys.sample(fraction=share, seed=seed)
-    # the margin is for a sample that comes out larger than asked for
-    values = sorted(r[0] for r in picked.limit(2 * SAMPLE_KEYS).collect())
-    return sorted({values[i * len(values) // n] for i in range(1, n)} - {values[0]}) if values else []
+def quantile_cuts(df: DataFrame, key: str, n: int, rows: int) -> list:
+    """n - 1 ascending cuts, the keys at i / n of the sorted ones, nulls left out; fewer where keys repeat.
+
+    Distinct keys with their numbers are dealt out by range, about how many ranges by ``rows``; each range's sum tells which ones hold the
+    places asked for, and only these are summed up key by key. Nothing but sums and cuts reaches the driver.
+    """
+    keys = df.select(F.col(key).alias("k")).where(F.col(key).isNotNull()).groupBy("k").agg(F.count("*").alias("c"))
+    # kept, as another run could draw the ranges elsewhere
+    ranged = keys.repartitionByRange(segment_count(max(rows, 1)), "k").withColumn("part", F.spark_partition_id()).persist()
+    try:
+        parts = ranged.groupBy("part").agg(F.sum("c").alias("n"), F.min("k").alias("least")).orderBy("part").collect()
+        rows = sum(r["n"] for r in parts)
+        places, wanted, before = sorted({i * rows // n for i in range(1, n)}), [], 0
+        for r in parts:
+            wanted += [(r["part"], p - before) for p in places if before <= p < before + r["n"]]
+            before += r["n"]
+        if not wanted:
+            return []
+        asked = df.sparkSession.createDataFrame(wanted, "part int, place long")
+        upto = F.sum("c").over(Window.partitionBy("part").orderBy("k").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+        summed = ranged.join(F.broadcast(asked.select("part").distinct()), "part", "left_semi").withColumn("upto", upto)
+        held = summed.join(F.broadcast(asked), "part").where((F.col("place") < F.col("upto")) & (F.col("place") >= F.col("upto") - F.col("c")))
+        return sorted({r["k"] for r in held.select("k").collect()} - {parts[0]["least"]})
+    finally:
+        ranged.unpersist()
 
 
 def cut_segment(key: Column, cuts: list) -> Column:

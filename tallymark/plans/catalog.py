@@ -291,7 +291,7 @@ WITH v AS (SELECT list(c_name ORDER BY c_name) AS names, count(*) AS n FROM cust
 cuts AS (SELECT DISTINCT names[CAST(i * n // 8 AS BIGINT) + 1] AS cut FROM v, range(1, 8) r(i) WHERE names[CAST(i * n // 8 AS BIGINT) + 1] <> names[1])
 SELECT CAST((SELECT count(*) FROM cuts WHERE cut <= c_name) AS INTEGER) AS seg, count(*) AS n, min(c_name) AS lo, max(c_name) AS hi FROM customer GROUP BY 1""")
 def quantile_segments(spark, sf_dir):
-    """Parts of a text key by quantiles of its sorted values, which are a sample where there are very many."""
+    """Parts of a text key by quantiles of all its sorted values."""
     df = table(spark, sf_dir, "customer")
     cuts = segments.quantile_cuts(df, "c_name", 8, df.count())
     return df.groupBy(segments.cut_segment(F.col("c_name"), cuts).alias("seg")).agg(F.count("*").alias("n"), F.min("c_name").alias("lo"), F.max("c_name").alias("hi"))

@@ -175,6 +175,15 @@ def test_quantile_parts_are_even(spark):
     assert len(sizes) == 8 and max(sizes) <= 2 * sum(sizes) / 8
 
 
+def test_quantile_cuts_are_exact_at_any_size(spark):
+    df = spark.range(30_000).select(F.when(F.col("id") % 3 == 0, F.lit("k0500")).when(F.col("id") % 11 > 0, F.format_string("k%04d", F.pmod(F.xxhash64("id"), F.lit(900)))).alias("k"))
+    values = sorted(r.k for r in df.where("k is not null").collect())
+    for n in (1, 8, 13):
+        want = sorted({values[i * len(values) // n] for i in range(1, n)} - {values[0]})
+        assert segments.quantile_cuts(df, "k", n, 30_000) == want
+    assert segments.quantile_cuts(df.where("k is null"), "k", 8, 30_000) == [] == segments.quantile_cuts(df.limit(0), "k", 8, 0)
+
+
 def test_segment_counts():
     assert [segments.segment_count(n) for n in (0, 1, 800_000, 1_000_001)] == [1, 8, 8, 11]
 
