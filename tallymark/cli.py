@@ -12,6 +12,7 @@ from tallymark.plans import config
 from tallymark.plans.compare import compare, explain
 from tallymark.session import session
 from tallymark.sources import open_table, parse_spec, probe, redact
+from tallymark.sources.specs import ENGINES
 
 OUTPUTS = ("terminal", "json", "html")
 
@@ -28,6 +29,8 @@ def _pair(p: argparse.ArgumentParser) -> None:
     p.add_argument("--assume-tz", default="UTC", help="time zone of timestamps without one")
     p.add_argument("--algorithm", choices=("auto", "hashdiff", "joindiff"), default="auto")
     p.add_argument("--config", help="job file whose connections may be named")
+    for side in ("option", "source-option", "target-option"):
+        p.add_argument(f"--{side}", action="append", metavar="NAME=VALUE", help="for the reader of " + {"option": "both sides", "source-option": "the source", "target-option": "the target"}[side])
     p.add_argument("--verbose", action="store_true", help="plans and tracebacks on standard error")
 
 
@@ -72,9 +75,33 @@ def deliver(result, outputs, json_path: str | None, html_path: str | None, fail_
             print(text)
 
 
-def one(spark, source: str, target: str, request, connections: dict[str, str]):
-    a, b = (open_table(spark, parse_spec(config.with_environment(x), connections)) for x in (source, target))
-    return a, b, request
+def one(spark, source: str, target: str, request, held: config.Config, options: tuple[dict, dict] = ({}, {})):
+    """Both tables opened: each with its connection's options, then those of the pair."""
+    tables = []
+    for text, own in ((source, options[0]), (target, options[1])):
+        text = config.with_environment(text)
+        known = {} if "://" in text else held.connection_options.get(text.partition("/")[0], {})
+        tables.append(open_table(spark, parse_spec(text, held.connections), {**known, **own}))
+    return *tables, request
+
+
+def options_of(args) -> tuple[dict, dict]:
+    """The reader options of the source and of the target."""
+
+    def read(said: list[str] | None) -> dict[str, str]:
+        pairs = [x.partition("=") for x in said or ()]
+        if any(not name or not sep for name, sep, _ in pairs):
+            raise CouldNotCompare("options are written name=value")
+        return {name: value for name, _, value in pairs}
+
+    both = read(args.option)
+    return {**both, **read(args.source_option)}, {**both, **read(args.target_option)}
+
+
+def whole_source(dsn: str) -> str:
+    """A connection's DSN as something to probe: a database's may lack the table, which isn't asked for."""
+    scheme, _, rest = dsn.rstrip("/").partition("://")
+    return f"{dsn.rstrip('/')}/none" if scheme.lower() in ENGINES and rest.count("/") == 1 else dsn
 
 
 def fail(error: Exception, verbose: bool) -> int:
@@ -88,18 +115,17 @@ def main(argv: list[str] | None = None, spark=None) -> int:
     args = parser().parse_args(argv)
     try:
         if args.command == "connections":
-            held = config.load(args.config).connections
-            if args.name not in held:
+            held = config.load(args.config)
+            if args.name not in held.connections:
                 raise CouldNotCompare(f"{args.config} has no connection {args.name}")
-            dsn = held[args.name].rstrip("/")
-            probe(spark or session(), parse_spec(dsn if dsn.count("/") > 3 or "://" not in dsn or dsn.split("://")[0] in ("table", "view", "parquet", "csv", "json", "orc") else f"{dsn}/(SELECT 1)"))
+            probe(spark or session(), parse_spec(whole_source(held.connections[args.name])), held.connection_options.get(args.name))
             print(f"{args.name}: ok")
             return 0
         spark = spark or session()
         if args.command == "run":
             return run(spark, config.load(args.config), args.verbose)
-        connections = config.load(args.config).connections if args.config else {}
-        a, b, request = one(spark, args.source, args.target, config.request_of({k: v for k, v in vars(args).items() if v is not None}), connections)
+        held = config.load(args.config) if args.config else config.Config({}, ())
+        a, b, request = one(spark, args.source, args.target, config.request_of({k: v for k, v in vars(args).items() if v is not None}), held, options_of(args))
         if args.command == "explain":
             print(explain(a, b, request))
             return 0
@@ -119,7 +145,7 @@ def run(spark, held: config.Config, verbose: bool = False) -> int:
     worst = 0
     for job in held.jobs:
         try:
-            result = compare(*one(spark, job.source, job.target, job.request, held.connections))
+            result = compare(*one(spark, job.source, job.target, job.request, held, job.options))
             deliver(result, job.output, job.json_path, job.html_path, job.fail_on)
             worst = max(worst, result.exit_code(job.fail_on))
         except Exception as e:

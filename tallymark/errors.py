@@ -31,6 +31,14 @@ class SourceFailed(CouldNotCompare):
     """A table could not be reached or read."""
 
 
+class ConnectionFailed(SourceFailed):
+    """A database doesn't answer, or doesn't know the user: worth another attempt."""
+
+
+class QueryFailed(SourceFailed):
+    """A database answered that it can't do what it was asked."""
+
+
 class EmptySample(CouldNotCompare):
     """The sample holds no row although the tables do: that is no match."""
 

@@ -54,18 +54,32 @@ def folded(x: Column, trim: bool, lower: bool) -> Column:
     return F.lower(x) if lower else x
 
 
-def _pattern(precision: int) -> str:
-    return "yyyy-MM-dd'T'HH:mm:ss" + ("." + "S" * precision if precision else "") + "'Z'"
+def _stamp(x: Column, precision: int = 6) -> Column:
+    """ISO text with a ``Z`` of a timestamp without zone: by its own text, as ``date_format`` would go through the session's zone."""
+    raw = x.cast("string")
+    parts = F.split(raw, "[.]", 2)
+    whole = F.replace(F.element_at(parts, 1), F.lit(" "), F.lit("T"))
+    digits = F.substring(F.rpad(F.coalesce(F.get(parts, F.lit(1)), F.lit("")), 6, "0"), 1, precision)
+    return F.when(raw.isNotNull(), F.concat(whole, F.lit("."), digits, F.lit("Z")) if precision else F.concat(whole, F.lit("Z")))
+
+
+def in_utc(x: Column) -> Column:
+    """An instant as a timestamp without zone that shows UTC, whatever the session's zone."""
+    return F.timestamp_add("MICROSECOND", F.unix_micros(x), F.expr("timestamp_ntz'1970-01-01 00:00:00'"))
+
+
+def _local(x: Column, zone: str) -> Column:
+    x = x.cast("timestamp_ntz")
+    return x if zone.upper() == "UTC" else F.convert_timezone(F.lit(zone), F.lit("UTC"), x)
 
 
 def instant(x: Column) -> Column:
-    return F.date_format(x, _pattern(6))
+    return _stamp(in_utc(x))
 
 
 def naive(x: Column, zone: str = "UTC") -> Column:
     """A timestamp without zone, as it stands, or taken as local time of ``zone``."""
-    x = x.cast("timestamp_ntz")
-    return F.date_format(x if zone.upper() == "UTC" else F.convert_timezone(F.lit(zone), F.lit("UTC"), x), _pattern(6))
+    return _stamp(_local(x, zone))
 
 
 def _rounded(micros: Column, precision: int) -> Column:
@@ -76,23 +90,25 @@ def _rounded(micros: Column, precision: int) -> Column:
 
 
 def rounded_instant(x: Column, precision: int, zone: str = "UTC", has_zone: bool = True) -> Column:
-    if not has_zone and zone.upper() != "UTC":
-        x = F.convert_timezone(F.lit(zone), F.lit("UTC"), x.cast("timestamp_ntz"))
-    micros = _rounded(F.unix_micros(x.cast("timestamp")), precision)
-    return F.date_format(F.timestamp_micros(micros), _pattern(precision))
+    """Half up to ``precision`` digits of a second: half a unit more, and the digits beyond are cut."""
+    plain = in_utc(x) if has_zone else _local(x, zone)
+    return _stamp(F.timestamp_add("MICROSECOND", F.lit(10 ** (6 - precision) // 2).cast("long"), plain), precision)
 
 
 def date(x: Column) -> Column:
-    return F.date_format(x, "yyyy-MM-dd")
+    return x.cast("date").cast("string")
 
 
 DAY = 86_400_000_000
 
 
 def micros_of_day(x: Column, kind: T.DataType) -> Column:
-    """Microseconds since midnight of a TIME column, or of a number that already is that."""
+    """Microseconds since midnight of a TIME column, of a timestamp that JDBC made of one, or of a number that already is that."""
     if isinstance(kind, T.IntegralType):
         return x.cast("long")
+    if isinstance(kind, (T.TimestampType, T.TimestampNTZType)):
+        local = x.cast("timestamp_ntz")
+        return F.timestamp_diff("MICROSECOND", F.date_trunc("DAY", local).cast("timestamp_ntz"), local)
     return F.call_function("time_diff", F.lit("MICROSECOND"), F.expr("time'00:00:00'"), x)
 
 
@@ -123,21 +139,49 @@ def json(x: Column, kind: T.DataType) -> Column:
 
 
 def array(x: Column, kind: T.ArrayType, options: Options) -> Column:
-    """``[a,b]``, the elements by their own rules, NULL elements as the marker."""
+    """``[a,b]``, the elements by their own rules, NULL elements as the marker; arrays in it likewise.
+
+    Brackets, commas and backslashes of an element's text get a backslash before them, and an empty text is
+    ``\\e``, so no two different arrays have one text; numbers, dates and plain words look as they do alone.
+    """
     from tallymark.operators.matching import rule_of_type
 
     rule, element = rule_of_type(kind.elementType), kind.elementType
     scale = element.scale if isinstance(element, T.DecimalType) else 0
-    each = F.transform(x, lambda e: F.coalesce(by_rule(e, rule, element, options, scale=scale), F.lit(MARKER)))
-    return F.when(x.isNotNull(), F.concat(F.lit("["), F.array_join(each, ","), F.lit("]")))
 
+    def each(e: Column) -> Column:
+        text = by_rule(e, rule, element, options, scale=scale)
+        if not isinstance(element, T.ArrayType):
+            text = F.when(text == "", F.lit("\\e")).otherwise(F.regexp_replace(text, r"([\[\],\\])", r"\\$1"))
+        return F.coalesce(text, F.lit(MARKER))
 
-def other(x: Column, kind: T.DataType) -> Column:
-    """Maps with sorted keys and structs as JSON; anything else as Spark's own text."""
-    if isinstance(kind, T.MapType):
-        return F.when(x.isNotNull(), F.to_json(F.map_from_entries(F.array_sort(F.map_entries(x)))))
+    return F.when(x.isNotNull(), F.concat(F.lit("["), F.array_join(F.transform(x, each), ","), F.lit("]")))
+
+
+def _inner(x: Column, kind: T.DataType, options: Options) -> Column:
+    """``x`` ready for JSON: maps sorted by key at every depth, floats and timestamps by their rules, what JSON can't hold exactly as text."""
     if isinstance(kind, T.StructType):
-        return F.to_json(x)
+        fields = [_inner(x.getField(f.name), f.dataType, options).alias(f.name) for f in kind.fields]
+        return F.when(x.isNotNull(), F.struct(*fields)) if fields else x
+    if isinstance(kind, T.ArrayType):
+        return F.transform(x, lambda e: _inner(e, kind.elementType, options))
+    if isinstance(kind, T.MapType):
+        by_key = lambda a, b: F.when(a["key"] < b["key"], F.lit(-1)).when(a["key"] > b["key"], F.lit(1)).otherwise(F.lit(0))
+        inner = lambda e: F.struct(e["key"].alias("key"), _inner(e["value"], kind.valueType, options).alias("value"))
+        return F.map_from_entries(F.transform(F.array_sort(F.map_entries(x), by_key), inner))
+    if isinstance(kind, (T.FloatType, T.DoubleType)):
+        return floating(x, options.float_precision, False)
+    if isinstance(kind, T.TimestampType):
+        return instant(x)
+    if isinstance(kind, T.TimestampNTZType):
+        return naive(x, options.assume_tz)
+    return x
+
+
+def other(x: Column, kind: T.DataType, options: Options = Options()) -> Column:
+    """Maps and structs as JSON, maps in them at any depth with sorted keys, NULL fields shown; anything else as Spark's own text."""
+    if isinstance(kind, (T.MapType, T.StructType)):
+        return F.to_json(_inner(x, kind, options), {"ignoreNullFields": "false"})
     return x.cast("string")
 
 
@@ -172,7 +216,7 @@ def by_rule(x: Column, rule: Rule, kind: T.DataType, options: Options, scale: in
     if rule is Rule.ARR and isinstance(kind, T.ArrayType):
         return array(x, kind, options)
     if rule is Rule.UNKNOWN:
-        return other(x, kind)
+        return other(x, kind, options)
     return text(x)
 
 

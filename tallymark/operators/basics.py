@@ -45,10 +45,14 @@ def duplicate_keys(df: DataFrame, keys: list[str]) -> DataFrame:
     return df.groupBy(*[F.col(f"`{k}`") for k in keys]).agg(F.count("*").alias("n")).where("n > 1")
 
 
-def require_unique(df: DataFrame, name: str, keys: list[str]) -> None:
-    first = duplicate_keys(df, keys).orderBy(*[F.col(f"`{k}`") for k in keys]).limit(1).collect()
-    if first:
-        raise KeyNotUnique(name, keys, tuple(first[0][k] for k in keys))
+def require_unique(df: DataFrame, name: str, keys: list[str]) -> int:
+    """The number of rows, if no key occurs twice: one aggregation by key gives both."""
+    each = df.groupBy(*[F.col(f"`{k}`") for k in keys]).agg(F.count("*").alias("n"))
+    key = F.struct(*[F.col(f"`{k}`") for k in keys])
+    found = each.agg(F.sum("n").alias("rows"), F.min(F.when(F.col("n") > 1, key)).alias("twice")).first()
+    if found["twice"] is not None:
+        raise KeyNotUnique(name, keys, tuple(found["twice"]))
+    return found["rows"] or 0
 
 
 def sample_bucket(keys: list[Pair], side: str, options: Options):

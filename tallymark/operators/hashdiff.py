@@ -21,6 +21,8 @@ from tallymark.operators.joindiff import differences
 
 #: Segments below which their list is small enough to be sent to every task: sixteen bytes each.
 SENT_SEGMENTS = 500_000
+#: Segments of a text key up to which rows are placed by comparisons with the cuts; source rows above which that is worth a sort of the keys.
+TEXT_CUTS, LEAST_ROWS = 256, 10_000
 
 
 @dataclass
@@ -30,6 +32,7 @@ class Segmented:
     diffs: DataFrame
     segments: int
     bad: int
+    reads: int = 0  # of each side, up to and with the rows
 
 
 def with_hashes(side: DataFrame, keys: list[str], values: list[str]) -> DataFrame:
@@ -38,18 +41,21 @@ def with_hashes(side: DataFrame, keys: list[str], values: list[str]) -> DataFram
     return side.withColumn("h", signed_hash(text)).withColumn("h2", F.xxhash64(text))
 
 
-def choose_segment(source: DataFrame, target: DataFrame, keys: list[str], per_segment: int) -> tuple[Column, int]:
-    """The segment of a row, and how many there are: ranges of a single whole-number key, else hash buckets."""
+def choose_segment(source: DataFrame, target: DataFrame, keys: list[str], per_segment: int) -> tuple[Column, int, int]:
+    """The segment of a row, how many there are, and the reads that took: ranges of a single whole-number key, quantiles of
+    a single text key where the tasks can do with TEXT_CUTS comparisons, else hash buckets, which are even for every kind of key."""
     kind = source.schema[keys[0]].dataType
     whole = isinstance(kind, T.IntegralType) or isinstance(kind, T.DecimalType) and kind.scale == 0 and kind.precision <= 20
     ask = [F.count("*").alias("n"), *([F.min(f"`{keys[0]}`").alias("lo"), F.max(f"`{keys[0]}`").alias("hi")] if whole else [])]
     a, b = source.agg(*ask).first(), target.agg(*ask).first()
     n = S.segment_count(max(a["n"], b["n"]), per_segment)
-    if whole and len(keys) == 1:
-        ends = [x for r in (a, b) for x in (r["lo"], r["hi"]) if x is not None]
+    if len(keys) == 1:
+        ends = [x for r in (a, b) for x in (r["lo"], r["hi"]) if x is not None] if whole else []
         if ends:
-            return F.coalesce(S.numeric_segment(F.col(f"`{keys[0]}`"), min(ends), max(ends), n), F.lit(0)), n
-    return S.hashed_segment([F.col(f"`{k}`") for k in keys], n), n
+            return F.coalesce(S.numeric_segment(F.col(f"`{keys[0]}`"), min(ends), max(ends), n), F.lit(0)), n, 1
+        if isinstance(kind, T.StringType) and LEAST_ROWS < a["n"] and n <= TEXT_CUTS:
+            return S.cut_segment(F.col(f"`{keys[0]}`"), S.quantile_cuts(source.select(F.col(f"`{keys[0]}`").alias("k")), "k", n, a["n"])), n, 2
+    return S.hashed_segment([F.col(f"`{k}`") for k in keys], n), n, 1
 
 
 def only(rows: DataFrame, bad: DataFrame, by: list[str], n: int) -> DataFrame:
@@ -60,7 +66,7 @@ def only(rows: DataFrame, bad: DataFrame, by: list[str], n: int) -> DataFrame:
 def hashdiff(source: DataFrame, target: DataFrame, keys: list[str], pairs: list[Pair], per_segment: int = S.ROWS_PER_SEGMENT, row_threshold: int = 1000) -> Segmented:
     """Differences of two canonical sides (see ``canonical_side``), as ``joindiff.differences`` gives them."""
     values = [p.source for p in pairs]
-    segment, n = choose_segment(source, target, keys, per_segment)
+    segment, n, reads = choose_segment(source, target, keys, per_segment)
     fan = max(1, per_segment // max(1, row_threshold))
     fine = S.hashed_segment([F.col(f"`{k}`") for k in keys], fan, seed=1)
     sides = [with_hashes(x, keys, values).withColumn("seg", segment).withColumn("sub", fine) for x in (source, target)]
@@ -68,11 +74,11 @@ def hashdiff(source: DataFrame, target: DataFrame, keys: list[str], pairs: list[
     found = [r["seg"] for r in bad.limit(SENT_SEGMENTS + 1).collect()]
     if not found:
         empty = differences(source.limit(0), target.limit(0), keys, pairs)
-        return Segmented(empty, n, 0)
+        return Segmented(empty, n, 0, reads + 1)
     if len(found) <= SENT_SEGMENTS:
         bad = source.sparkSession.createDataFrame([(x,) for x in found], "seg int")
     sides = [only(x, bad, ["seg"], len(found)) for x in sides]
     if fan > 1:
         worse = S.mismatched(*[S.segment_statistics(x, ["seg", "sub"]) for x in sides], ["seg", "sub"])
         sides = [only(x, worse, ["seg", "sub"], len(found) * fan) for x in sides]
-    return Segmented(differences(sides[0].drop("h", "h2", "seg", "sub"), sides[1].drop("h", "h2", "seg", "sub"), keys, pairs), n, len(found))
+    return Segmented(differences(sides[0].drop("h", "h2", "seg", "sub"), sides[1].drop("h", "h2", "seg", "sub"), keys, pairs), n, len(found), reads + 2 + (fan > 1))

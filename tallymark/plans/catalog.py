@@ -421,6 +421,31 @@ def array_canon(spark, sf_dir):
     return table(spark, sf_dir, "customer").select("c_custkey", _text(F.array("c_custkey", F.lit(None).cast("long"), F.col("c_nationkey").cast("long")), Rule.ARR, kind))
 
 
+@register("array_ambiguous", "SELECT c_custkey, kind, CASE kind WHEN 0 THEN '[' || c_nationkey || ',' || c_custkey || ']' WHEN 1 THEN '[' || c_nationkey || '\\,' || c_custkey || ']' WHEN 2 THEN '[\\N]' WHEN 3 THEN '[\\\\N]' WHEN 4 THEN '[]' ELSE '[\\e]' END AS text FROM customer, range(6) r(kind)")
+def array_ambiguous(spark, sf_dir):
+    """Arrays that plain joining would render alike: of two words or one with a comma, of NULL or its marker, of nothing or an empty text."""
+    kind, a, b = T.ArrayType(T.StringType()), F.col("c_nationkey").cast("string"), F.col("c_custkey").cast("string")
+    arrays = F.array(F.array(a, b), F.array(F.concat(a, F.lit(","), b)), F.array(F.lit(None).cast("string")), F.array(F.lit("\\N")), F.slice(F.array(a), 1, 0), F.array(F.lit("")))
+    each = table(spark, sf_dir, "customer").select("c_custkey", F.posexplode(arrays).alias("kind", "items"))
+    return each.select("c_custkey", F.col("kind").cast("long").alias("kind"), _text(F.col("items"), Rule.ARR, kind))
+
+
+@register("ts_instants_dst", "SELECT event_id, strftime(make_timestamp(1730608200000000 + (event_id % 48) * 1800000000), '%Y-%m-%dT%H:%M:%S.%fZ') AS text FROM events")
+def ts_instants_dst(spark, sf_dir):
+    """Instants around the hour that local clocks show twice; the text depends on no session's zone."""
+    at = F.timestamp_micros(F.lit(1_730_608_200_000_000) + F.col("event_id") % 48 * F.lit(1_800_000_000))
+    return table(spark, sf_dir, "events").select("event_id", _text(at, Rule.TS, T.TimestampType()))
+
+
+@register("struct_of_map", """SELECT c_custkey, '{"m":{"a":' || c_nationkey || ',"b":' || c_custkey || '},"n":null}' AS text FROM customer""")
+def struct_of_map(spark, sf_dir):
+    """A struct with a map in it, made in either order of the map's entries, and with a NULL field."""
+    k, a, b = F.col("c_custkey"), F.col("c_nationkey").cast("long"), F.col("c_custkey")
+    entries = F.when(k % 2 == 0, F.create_map(F.lit("b"), b, F.lit("a"), a)).otherwise(F.create_map(F.lit("a"), a, F.lit("b"), b))
+    kind = T.StructType([T.StructField("m", T.MapType(T.StringType(), T.LongType())), T.StructField("n", T.StringType())])
+    return table(spark, sf_dir, "customer").select("c_custkey", _text(F.struct(entries.alias("m"), F.lit(None).cast("string").alias("n")), Rule.UNKNOWN, kind))
+
+
 @register("canon_enum", "SELECT c_custkey, c_mktsegment AS text FROM customer")
 def canon_enum(spark, sf_dir):
     return table(spark, sf_dir, "customer").select("c_custkey", _text(F.col("c_mktsegment"), Rule.ENUM, T.StringType()))

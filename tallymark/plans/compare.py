@@ -13,9 +13,9 @@ from tallymark.errors import Contradiction, EmptySample, MissingKey
 from tallymark.functions.canonical import MARKER
 from tallymark.model import Algorithm, DiffResult, Notice, Options, Pair, RowDiff, Rule
 from tallymark.operators import basics, joindiff
-from tallymark.operators.hashdiff import hashdiff
+from tallymark.operators.hashdiff import choose_segment, hashdiff, with_hashes
 from tallymark.operators.matching import match_columns
-from tallymark.operators.segments import ROWS_PER_SEGMENT
+from tallymark.operators.segments import ROWS_PER_SEGMENT, segment_statistics
 from tallymark.sources.readers import Table
 
 
@@ -51,6 +51,8 @@ class Prepared:
     source: DataFrame
     target: DataFrame
     sample: float | None = None
+    counts: tuple[int, int] | None = None
+    reads: int = 0  # of each side so far
 
     @property
     def key_names(self) -> list[str]:
@@ -74,26 +76,29 @@ def prepare(source: Table, target: Table, request: Request, check: bool = True)
     keys, values, left_out, notices = match_columns(source.df.schema, target.df.schema, key, options, request.columns, request.exclude, request.column_map, {**target.hints, **source.hints})
     s = basics.filtered(source.df, request.where_source or request.where)
     t = basics.filtered(target.df, request.where_target or request.where)
+    counts, reads = None, 0
     if check:
-        basics.require_unique(s, source.name, [p.source for p in keys])
-        basics.require_unique(t, target.name, [p.target for p in keys])
+        counts, reads = (basics.require_unique(s, source.name, [p.source for p in keys]), basics.require_unique(t, target.name, [p.target for p in keys])), 1
     percent = request.sample
     if request.sample_rows is not None:
-        percent = basics.percent_for(request.sample_rows, max(s.count(), t.count()))
+        if counts is None:  # only explained: the share is unknown until it runs
+            notices = [*notices, Notice(f"the sample of {request.sample_rows} rows is taken when the comparison runs; the plans are those of all rows")]
+        percent = basics.percent_for(request.sample_rows, max(counts)) if counts else None
     if percent is not None and percent < 100:
-        whole = (s, t)
         s, t = basics.sampled(s, keys, "source", options, percent), basics.sampled(t, keys, "target", options, percent)
-        if check and s.isEmpty() and t.isEmpty() and not (whole[0].isEmpty() and whole[1].isEmpty()):
-            raise EmptySample(f"a sample of {percent:g} % holds no row: that proves nothing")
-    return Prepared(keys, values, left_out, notices, (s, t), basics.canonical_side(s, "source", keys, values, options), basics.canonical_side(t, "target", keys, values, options), percent)
+        if check:
+            whole, counts, reads = counts, (s.count(), t.count()), reads + 1
+            if not any(counts) and any(whole):
+                raise EmptySample(f"a sample of {percent:g} % holds no row: that proves nothing")
+    return Prepared(keys, values, left_out, notices, (s, t), basics.canonical_side(s, "source", keys, values, options), basics.canonical_side(t, "target", keys, values, options), percent, counts, reads)
 
 
-def find_differences(ready: Prepared, algorithm: Algorithm, request: Request) -> tuple[DataFrame, int, int]:
-    """(differences, segments examined, segments that disagree)."""
+def find_differences(ready: Prepared, algorithm: Algorithm, request: Request) -> tuple[DataFrame, int, int, int]:
+    """(differences, segments examined, segments that disagree, reads of each side)."""
     if algorithm is Algorithm.JOINDIFF:
-        return joindiff.differences(ready.source, ready.target, ready.key_names, ready.values), 1, 0
+        return joindiff.differences(ready.source, ready.target, ready.key_names, ready.values), 1, 0, 1
     found = hashdiff(ready.source, ready.target, ready.key_names, ready.values, request.rows_per_segment, request.row_threshold)
-    return found.diffs, found.segments, found.bad
+    return found.diffs, found.segments, found.bad, found.reads
 
 
 def shown(value: str | None) -> str:
@@ -109,13 +114,13 @@ def compare(source: Table, target: Table, request: Request = Request()) -> DiffR
     began = time.time()
     algorithm = choose(request, source, target)
     ready = prepare(source, target, request)
-    diffs, segments, bad = find_differences(ready, algorithm, request)
+    diffs, segments, bad, reads = find_differences(ready, algorithm, request)
     result = DiffResult(source.label, target.label, ready.key_names, algorithm, notices=list(ready.notices), excluded_columns=ready.left_out, segments_examined=segments, sample_pct=ready.sample)
     kept = diffs.persist(StorageLevel.MEMORY_AND_DISK)
     try:
         counts = joindiff.tally(kept).first()
         result.missing, result.extra, result.changed = counts["missing"], counts["extra"], counts["changed"]
-        result.source_count, result.target_count = ready.raw[0].count(), ready.raw[1].count()
+        result.source_count, result.target_count = ready.counts
         if bad and not (result.missing or result.extra or result.changed):
             raise Contradiction(f"{bad} segments disagree but no row does")
         if result.source_count - result.missing != result.target_count - result.extra:
@@ -130,7 +135,7 @@ def compare(source: Table, target: Table, request: Request = Request()) -> DiffR
         result.notices.append(Notice(f"row counts differ: {result.source_count} in the source, {result.target_count} in the target"))
     result.diffs, result.elapsed_seconds = diffs, time.time() - began
     result.statements = [logical(diffs)]
-    result.jobs = 2 if algorithm is Algorithm.JOINDIFF else 4  # uniqueness and rows; with hashes also bounds and segments
+    result.jobs = ready.reads + reads
     return result
 
 
@@ -140,18 +145,16 @@ def logical(df: DataFrame) -> str:
 
 
 def explain(source: Table, target: Table, request: Request = Request()) -> str:
-    """The plans that ``compare`` would run, without running them: only schemas are looked at."""
+    """The plans that ``compare`` would run. Rows are read only where a plan depends on them: the bounds of the segments, if it would go by hashes."""
     ready = prepare(source, target, request, check=False)
     plain = lambda df: df._jdf.queryExecution().explainString(df.sparkSession._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
     parts = [("key unique in the source", basics.duplicate_keys(ready.raw[0], [p.source for p in ready.keys])), ("key unique in the target", basics.duplicate_keys(ready.raw[1], [p.target for p in ready.keys]))]
+    notes = [f"-- note: {n.message}" for n in ready.notices]
     if choose(request, source, target) is Algorithm.HASHDIFF:
-        from tallymark.operators.hashdiff import with_hashes
-        from tallymark.operators.segments import hashed_segment, segment_statistics
-
         names = [p.source for p in ready.values]
+        segment, n, _ = choose_segment(ready.source, ready.target, ready.key_names, request.rows_per_segment)
+        notes.append(f"-- note: {n} segments; rows of those that disagree are hashed again in finer ones, and compared one by one where these disagree too")
         for side, df in (("source", ready.source), ("target", ready.target)):
-            bounds = df.agg(F.count("*").alias("n"))
-            segment = hashed_segment([F.col(f"`{k}`") for k in ready.key_names], 8)
-            parts += [(f"bounds of the {side}", bounds), (f"segment statistics of the {side}", segment_statistics(with_hashes(df, ready.key_names, names).withColumn("seg", segment), ["seg"]))]
+            parts += [(f"bounds of the {side}", df.agg(F.count("*").alias("n"))), (f"segment statistics of the {side}", segment_statistics(with_hashes(df, ready.key_names, names).withColumn("seg", segment), ["seg"]))]
     parts.append(("row differences", joindiff.differences(ready.source, ready.target, ready.key_names, ready.values)))
-    return "\n".join(f"-- {title}\n{plain(df)}" for title, df in parts)
+    return "\n".join([*notes, *(f"-- {title}\n{plain(df)}" for title, df in parts)])

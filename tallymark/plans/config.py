@@ -26,12 +26,14 @@ class Job:
     output: tuple[str, ...] = ("terminal",)
     json_path: str | None = None
     html_path: str | None = None
+    options: tuple[dict, dict] = field(default_factory=lambda: ({}, {}))
 
 
 @dataclass(frozen=True)
 class Config:
     connections: dict[str, str] = field(default_factory=dict)
     jobs: tuple[Job, ...] = ()
+    connection_options: dict[str, dict] = field(default_factory=dict)
 
 
 def with_environment(text: str) -> str:
@@ -94,6 +96,18 @@ def request_of(said: dict) -> Request:
     )
 
 
+def reader_options(value, what: str) -> dict[str, str]:
+    if not isinstance(value or {}, dict):
+        raise CouldNotCompare(f"{what}: options are a mapping")
+    return {str(k): str(v) for k, v in (value or {}).items()}
+
+
+def job_options(said: dict, i: int) -> tuple[dict, dict]:
+    """The reader options of both sides: ``options`` for both, ``source_options`` and ``target_options`` for one."""
+    both, source, target = (reader_options(said.get(name), f"table pair {i}") for name in ("options", "source_options", "target_options"))
+    return {**both, **source}, {**both, **target}
+
+
 def load(path: str) -> Config:
     try:
         with open(path, encoding="utf-8") as f:
@@ -109,17 +123,18 @@ def load(path: str) -> Config:
         raise
     if not isinstance(held, dict):
         raise CouldNotCompare(f"{path} must hold a mapping with connections and tables")
-    connections = {}
+    connections, connection_options = {}, {}
     for name, value in (held.get("connections") or {}).items():
         dsn = value.get("dsn") if isinstance(value, dict) else value
         if not isinstance(dsn, str):
             raise CouldNotCompare(f"connection {name}: expected a DSN")
         connections[name] = dsn
+        connection_options[name] = reader_options(value.get("options") if isinstance(value, dict) else None, f"connection {name}")
     jobs = []
     for i, said in enumerate(held.get("tables") or []):
         if not isinstance(said, dict) or not said.get("source") or not said.get("target"):
             raise CouldNotCompare(f"table pair {i}: source and target are needed")
         if said.get("fail_on", "any") not in ("any", "count", "none"):
             raise CouldNotCompare(f"table pair {i}: fail_on is any, count or none")
-        jobs.append(Job(said["source"], said["target"], request_of(said), said.get("fail_on", "any"), tuple(names(said.get("output"), "output") or ["terminal"]), said.get("json_path"), said.get("html_path")))
-    return Config(connections, tuple(jobs))
+        jobs.append(Job(said["source"], said["target"], request_of(said), said.get("fail_on", "any"), tuple(names(said.get("output"), "output") or ["terminal"]), said.get("json_path"), said.get("html_path"), job_options(said, i)))
+    return Config(connections, tuple(jobs), connection_options)

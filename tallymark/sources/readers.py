@@ -10,22 +10,18 @@ from py4j.protocol import Py4JJavaError
 from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 
-from tallymark.errors import SourceFailed
+from tallymark.errors import ConnectionFailed, QueryFailed, SourceFailed
+from tallymark.sources import databases
+from tallymark.sources.databases import DATABASES
 from tallymark.sources.specs import FILES, Spec
 
 ATTEMPTS, PAUSE = 3, 0.5
-# Default ports and driver classes of the databases' JDBC drivers.
-JDBC = {
-    "postgres": ("jdbc:postgresql://{host}:{port}/{database}", 5432, "org.postgresql.Driver"),
-    "clickhouse": ("jdbc:clickhouse://{host}:{port}/{database}", 8123, "com.clickhouse.jdbc.ClickHouseDriver"),
-    "snowflake": ("jdbc:snowflake://{host}.snowflakecomputing.com:{port}/?db={database}", 443, "net.snowflake.client.jdbc.SnowflakeDriver"),
-}
 OPTIONS = {"csv": {"header": "true", "inferSchema": "true"}}
 
 
 @dataclass
 class Table:
-    """A DataFrame with the name it is reported by and, where known, its unique columns."""
+    """A DataFrame with the name it is reported by and, where known, its unique columns and its columns' logical types."""
 
     df: DataFrame
     name: str
@@ -34,10 +30,6 @@ class Table:
     hints: dict[str, str] = field(default_factory=dict)
 
 
-def quoted(name: str, mark: str = '"') -> str:
-    return mark + name.replace(mark, mark * 2) + mark
-
-
 def _file(spark: SparkSession, spec: Spec, options: dict) -> DataFrame:
     return spark.read.format(spec.kind).options(**OPTIONS.get(spec.kind, {}) | options).load(spec.path)
 
@@ -46,19 +38,7 @@ def _known(spark: SparkSession, spec: Spec, options: dict) -> DataFrame:
     return spark.table(spec.table)
 
 
-def _jdbc(spark: SparkSession, spec: Spec, options: dict) -> DataFrame:
-    """Spark takes filters and columns down to the database; partitionColumn and its bounds may be given as options."""
-    url, port, driver = JDBC[spec.kind]
-    mark = "`" if spec.kind == "clickhouse" else '"'
-    table = ".".join(quoted(p, mark) for p in (spec.schema, spec.table) if p)
-    reader = spark.read.format("jdbc").option("url", url.format(host=spec.host, port=spec.port or port, database=spec.database)).option("dbtable", table).option("driver", driver).option("fetchsize", "10000")
-    for key, value in {"user": spec.user, "password": spec.password}.items():
-        if value is not None:
-            reader = reader.option(key, value)
-    return reader.options(**options).load()
-
-
-FORMATS: dict[str, Callable[[SparkSession, Spec, dict], DataFrame]] = {**dict.fromkeys(FILES, _file), "table": _known, "view": _known, **dict.fromkeys(JDBC, _jdbc)}
+FORMATS: dict[str, Callable[[SparkSession, Spec, dict], DataFrame]] = {**dict.fromkeys(FILES, _file), "table": _known, "view": _known, **dict.fromkeys(DATABASES, databases.read)}
 
 
 def declared_key(spark: SparkSession, spec: Spec) -> list[str] | None:
@@ -78,23 +58,50 @@ def _why(error: Exception) -> str:
     return text.strip().splitlines()[0][:300] if text.strip() else type(error).__name__
 
 
-def open_table(spark: SparkSession, spec: Spec, options: dict | None = None, attempts: int = ATTEMPTS, pause: float = PAUSE) -> Table:
-    """Resolve ``spec``; a remote source is tried again, as connections fail for a moment."""
-    read = FORMATS[spec.kind]
+#: How drivers and Spark put it that there is no connection (or no driver for one), in lower case; all else is a query's own failure.
+_NO_CONNECTION = ("connection", "connect ", "classnotfound", "no suitable driver", "unknownhost", "timed out", "password", "authentication", "access denied")
+
+
+def failed(spec: Spec, error: Exception) -> SourceFailed:
+    said = _why(error)
+    if spec.kind in DATABASES and any(w in said.lower() for w in _NO_CONNECTION):
+        return ConnectionFailed(f"{spec}: {said}")
+    return (QueryFailed if spec.kind in DATABASES else SourceFailed)(f"{spec}: {said}")
+
+
+def again(spec: Spec, action: Callable, attempts: int = ATTEMPTS, pause: float = PAUSE):
+    """``action()``; where a database doesn't answer it is asked again, as connections fail for a moment. Queries that are wrong stay wrong."""
     for i in range(1, attempts + 1):
         try:
-            return Table(read(spark, spec, dict(options or {})), spec.name, str(spec), declared_key(spark, spec))
+            return action()
         except (PySparkException, Py4JJavaError) as e:
-            if i == attempts or spec.kind not in JDBC:
-                raise SourceFailed(f"{spec}: {_why(e)}") from e
+            error = failed(spec, e)
+            if i == attempts or not isinstance(error, ConnectionFailed):
+                raise error from e
             time.sleep(pause * i)
     raise AssertionError
 
 
-def probe(spark: SparkSession, spec: Spec) -> None:
-    """Whether the source answers: a query that reads one row at most."""
-    table = open_table(spark, spec)
+def open_table(spark: SparkSession, spec: Spec, options: dict | None = None, attempts: int = ATTEMPTS, pause: float = PAUSE) -> Table:
+    """Resolve ``spec``: of a database also the key and the types, which its catalog knows; ``options`` go to the reader."""
+
+    def read() -> Table:
+        if spec.kind in DATABASES:
+            described = databases.describe(spark, spec, dict(options or {}))
+            df = databases.read(spark, spec, dict(options or {}), described)
+            return Table(databases.with_types(df, described), spec.name, str(spec), described.key, described.hints)
+        return Table(FORMATS[spec.kind](spark, spec, dict(options or {})), spec.name, str(spec), declared_key(spark, spec))
+
+    return again(spec, read, attempts, pause)
+
+
+def probe(spark: SparkSession, spec: Spec, options: dict | None = None, attempts: int = ATTEMPTS, pause: float = PAUSE) -> None:
+    """Whether the source answers: a database is asked for a constant, anything else for one row."""
+    if spec.kind in DATABASES:
+        again(spec, lambda: databases.ask(spark, spec, dict(options or {}), DATABASES[spec.kind].probe_sql).collect(), attempts, pause)
+        return
+    table = open_table(spark, spec, options)
     try:
         table.df.limit(1).collect()
     except (PySparkException, Py4JJavaError) as e:
-        raise SourceFailed(f"{spec}: {_why(e)}") from e
+        raise failed(spec, e) from e

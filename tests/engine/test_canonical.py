@@ -119,3 +119,51 @@ def test_framed_text_keeps_apart_what_joined_text_does_not(spark):
     cols = [F.col("a"), F.col("b")]
     assert rows.select(framed(cols)).distinct().count() == 5
     assert rows.select(joined([F.coalesce(c, F.lit("\\N")) for c in cols])).distinct().count() == 3
+
+
+# -- texts of different values differ, in any session's zone --------------------------------------
+
+STRUCT = T.StructType([T.StructField("m", T.MapType(T.StringType(), T.DoubleType())), T.StructField("t", TS)])
+#: Pairs of values that careless text would render alike.
+DIFFERENT = [
+    (["a,b"], ["a", "b"], T.ArrayType(T.StringType())), (["\\N"], [None], T.ArrayType(T.StringType())), ([""], [], T.ArrayType(T.StringType())), (["\\e"], [""], T.ArrayType(T.StringType())), ([None], [], T.ArrayType(T.StringType())), (["a\\", "b"], ["a\\,b"], T.ArrayType(T.StringType())),
+    ([["a],[b"]], [["a"], ["b"]], T.ArrayType(T.ArrayType(T.StringType()))), ([[], []], [[""], []], T.ArrayType(T.ArrayType(T.StringType()))), ([None], [["\\N"]], T.ArrayType(T.ArrayType(T.StringType()))),
+    (dt.datetime(2024, 11, 3, 5, 30, tzinfo=UTC), dt.datetime(2024, 11, 3, 6, 30, tzinfo=UTC), TS),
+    (dt.datetime(2024, 3, 10, 2, 30), dt.datetime(2024, 3, 10, 3, 30), NTZ),
+    ({"m": {"a": 1.0}, "t": None}, {"m": {"a": None}, "t": None}, STRUCT), ({"m": None, "t": dt.datetime(2024, 11, 3, 5, 30, 0, 1, tzinfo=UTC)}, {"m": None, "t": dt.datetime(2024, 11, 3, 5, 30, 0, 2, tzinfo=UTC)}, STRUCT),
+]
+
+
+@pytest.fixture(params=["UTC", "America/New_York", "Asia/Kolkata"])
+def zoned(spark, request):
+    before = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", request.param)
+    yield spark
+    spark.conf.set("spark.sql.session.timeZone", before)
+
+
+@pytest.mark.parametrize("algorithm", ["joindiff", "hashdiff"])
+def test_different_values_are_told_apart_in_any_zone(zoned, algorithm):
+    from tallymark.model import Algorithm
+    from tallymark.plans.compare import Request, compare
+    from tallymark.sources import Table
+
+    names = [f"c{i}" for i in range(len(DIFFERENT))]
+    schema = T.StructType([T.StructField("id", T.LongType()), *[T.StructField(n, k) for n, (_, _, k) in zip(names, DIFFERENT, strict=True)]])
+    sides = [Table(zoned.createDataFrame([(1, *[d[i] for d in DIFFERENT])], schema), x, x) for i, x in enumerate("ab")]
+    found = compare(*sides, Request(key=["id"], algorithm=Algorithm(algorithm)))
+    assert found.changed == 1 and sorted(found.row_diffs[0].changes) == sorted(names)
+    assert compare(sides[0], sides[0], Request(key=["id"], algorithm=Algorithm(algorithm))).is_match
+
+
+def test_texts_of_timestamps_in_any_zone(zoned):
+    df = zoned.sql("select timestamp_micros(1730611800000001) a, timestamp_ntz'2024-03-10 02:30:00.5' b, timestamp_micros(-1) c, timestamp_ntz'0001-01-01 00:00:00' d, date'2024-03-10' e")
+    show = lambda c, rule, kind, **how: canonical(F.col(c), rule, kind, **how)
+    row = df.select(show("a", Rule.TS, TS), show("b", Rule.TS_NAIVE, NTZ), show("c", Rule.TS_ROUNDED, TS, precision=3), show("d", Rule.TS_NAIVE, NTZ), show("b", Rule.TS_ROUNDED, NTZ, precision=0), show("e", Rule.DATE, T.DateType())).first()
+    assert tuple(row) == ("2024-11-03T05:30:00.000001Z", "2024-03-10T02:30:00.500000Z", "1970-01-01T00:00:00.000Z", "0001-01-01T00:00:00.000000Z", "2024-03-10T02:30:01Z", "2024-03-10")
+
+
+def test_maps_at_any_depth_have_no_order(spark):
+    df = spark.sql("select struct(map('a', array(map('x', 1, 'y', 2)), 'b', null) as m) s union all select struct(map('b', null, 'a', array(map('y', 2, 'x', 1))) as m)")
+    texts = {r[0] for r in df.select(canonical(F.col("s"), Rule.UNKNOWN, df.schema["s"].dataType)).collect()}
+    assert texts == {'{"m":{"a":[{"x":1,"y":2}],"b":null}}'}

@@ -201,3 +201,17 @@ def test_explain_runs_nothing_and_prunes_columns(spark, tmp_path):
     text = explain(t, t, Request(key=["id"], columns=["n"], where="id > 0"))
     assert "FullOuter" in text and "PushedFilters: [IsNotNull(id), GreaterThan(id,0)]" in text and "ReadSchema: struct<id:bigint,n:string>" in text
     assert "bit_xor" in explain(t, t, Request(key=["id"], algorithm=Algorithm.HASHDIFF))
+
+
+def test_text_keys_are_cut_by_quantiles(spark, monkeypatch):
+    from tallymark.operators import hashdiff as H
+
+    monkeypatch.setattr(H, "LEAST_ROWS", 100)
+    a = spark.range(3000).selectExpr("concat('k', id % 7, '-', id) as k", "id as v")
+    b = a.where("v <> 5").unionByName(spark.sql("select 'new' k, 1L v")).withColumn("v", F.when(F.col("v") == 77, 0).otherwise(F.col("v")))
+    segment, n, reads = H.choose_segment(a, b, ["k"], 100)
+    assert (n, reads) == (30, 2)
+    sizes = [r["count"] for r in a.groupBy(segment).count().collect()]
+    assert len(sizes) == 30 and set(sizes) == {100}
+    found = compare(Table(a, "a", "a"), Table(b, "b", "b"), Request(key=["k"], algorithm=Algorithm.HASHDIFF, rows_per_segment=100, row_threshold=10))
+    assert (found.missing, found.extra, found.changed, found.segments_examined) == (1, 1, 1, 30)

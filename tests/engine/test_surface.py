@@ -43,12 +43,12 @@ def result(**more):
 def test_reports():
     r = result(sample_pct=5.0, truncated=True, excluded_columns=["z"])
     text = report.terminal(r)
-    for part in ("DIFFERENT   exit 1", "SAMPLED", "key=1  missing", "'NULL' -> '<b>'  (STR-1)", "warning: careful", "ends after 2 rows", "1 excluded (z)"):
+    for part in ("DIFFERENT (exit code 1)", "SAMPLE of 5 %", "[1] missing", "n by STR-1: 'NULL' became '<b>'", "note: careful", "first 2 differences", "not compared: z"):
         assert part in text
     held = json.loads(report.as_json(r))
     assert held["schema_version"] == 1 and held["missing_in_target"] == 1 and held["row_diffs"][1]["changes"]["n"] == {"source": "NULL", "target": "<b>", "rule": "STR-1"} and held["warning_details"][0]["rule"] == "TS-3"
     page = report.as_html(r)
-    assert "&lt;b&gt;" in page and "<b>" not in page and "NULL" in page and "http" not in page and "A4" in page
+    assert "&lt;b&gt;" in page and "<b>" not in page and "NULL" in page and "http" not in page and "A4" in page and "Reproduce" in page
 
 
 def test_keys_of_any_type_are_written_as_json():
@@ -80,7 +80,7 @@ def tables(spark, tmp_path):
 
 def test_command_line(spark, tables, capsys):
     a, b = f"parquet://{tables}/a", f"parquet://{tables}/b"
-    assert main(["diff", a, a, "--key", "id"], spark) == 0 and "MATCH   exit 0" in capsys.readouterr().out
+    assert main(["diff", a, a, "--key", "id"], spark) == 0 and "MATCH (exit code 0)" in capsys.readouterr().out
     assert main(["diff", a, b, "--key", "id", "--output", "json", "--output", "html", "--html-path", str(tables / "r.html")], spark) == 1
     assert json.loads(capsys.readouterr().out)["missing_in_target"] == 1 and (tables / "r.html").exists()
     assert main(["diff", a, b, "--key", "id", "--case-insensitive", "--where", "id < 3"], spark) == 0
@@ -101,7 +101,7 @@ def test_run_goes_on_and_the_worst_code_counts(spark, tables, capsys):
     path.write_text(json.dumps({"connections": {"files": f"parquet://{tables}"}, "tables": jobs}))
     assert main(["run", str(path)], spark) == 2
     out = capsys.readouterr().out
-    assert "MATCH   exit 0" in out and "DIFFERENT   exit 1" in out
+    assert "MATCH (exit code 0)" in out and "DIFFERENT (exit code 1)" in out
     path.write_text(json.dumps({"connections": {"files": f"parquet://{tables}"}, "tables": jobs[1:]}))
     assert main(["run", str(path)], spark) == 1
     assert main(["connections", "test", "nobody", "--config", str(path)], spark) == 2
