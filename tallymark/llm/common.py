@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -26,14 +28,40 @@ _own: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; one of our own only where the session names none, as in tests."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
+    """The folder that driver and executors share: the setting, else the context's checkpoint folder.
+
+    Where neither is set a session in one machine's process gets a folder of its own, as in tests; on a cluster that is an error, as
+    every executor would write to its own disk.
+    """
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
+        master = spark.sparkContext.master
+        if not re.fullmatch(r"local(\[.*\])?", master):
+            raise RuntimeError(f"{master} needs spark.checkpoint.dir, a folder that the driver and all executors share")
         _own[:] = _own or [tempfile.mkdtemp(prefix="tallymark-")]
         root = _own[0]
     return root
 
 
+#: Arrow batches between the JVM and a worker may have so many bytes; Spark's own bound is 64 MB, held several times over by each task.
+BATCH_BYTES = 4 << 20
+
+
+@contextlib.contextmanager
+def small_batches(spark: SparkSession) -> Iterator[None]:
+    """While it holds, plans are made with Arrow batches of BATCH_BYTES at most; afterwards the session is as it was."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name)
+    if int(re.sub(r"[bB]$", "", str(before))) <= BATCH_BYTES:
+        yield
+        return
+    spark.conf.set(name, str(BATCH_BYTES))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 class Workspace:
     """A fresh folder below the shared one, for tables that cut lineage; Hadoop removes it when the session ends."""
 
@@ -48,7 +76,8 @@ class Workspace:
     def write(self, df: DataFrame, name: str) -> DataFrame:
         """Write ``df`` and read it again: the result no longer depends on executors' shuffle files."""
         path = f"{self.path}/{name}"
-        df.write.mode("overwrite").parquet(path)
+        with small_batches(self.spark):
+            df.write.mode("overwrite").parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, name: str) -> None:
@@ -93,18 +122,14 @@ def unused(df: DataFrame, name: str) -> str:
     return found
 
 
-def text_hash(text_col: str):
-    return F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
-
-
-#: Bytes of an Arrow batch between the JVM and a worker; Spark's own bound is 64 MB, held several times over by each task.
-BATCH_BYTES = 4 << 20
+def distinct_rows(rows: DataFrame, work: Workspace, name: str = "repeated") -> DataFrame:
+    """``rows`` (id, hash, text) without repetitions. Only rows that occur more than once are grouped, by their whole texts, a copy from each task at most."""
+    again = work.write(rows.groupBy("id", "hash").agg(F.count("*").alias("n")).where("n > 1").select(F.col("id").alias("id_"), F.col("hash").alias("hash_")), name)
+    if again.isEmpty():
+        return rows
+    same = F.col("id").eqNullSafe(F.col("id_")) & (F.col("hash") == F.col("hash_"))
+    return rows.join(again, same, "left_anti").unionByName(rows.join(again, same, "left_semi").groupBy("id", "hash", "text").agg(F.lit(1).alias("n")).select("id", "hash", "text"))
 
 
-def map_batches(df: DataFrame, function, schema) -> DataFrame:
-    """``mapInArrow`` with batches of BATCH_BYTES: texts are long, and a batch is held in the JVM's and the worker's memory at once."""
-    name = "spark.sql.execution.arrow.maxBytesPerBatch"
-    spark = df.sparkSession
-    if int(str(spark.conf.get(name)).lower().rstrip("b")) > BATCH_BYTES:
-        spark.conf.set(name, str(BATCH_BYTES))
-    return df.mapInArrow(function, schema)
+def text_hash(text_col: str):
+    return F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))

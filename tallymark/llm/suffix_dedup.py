@@ -1,19 +1,19 @@
 """Removal of repeated passages by sorted suffixes.
 
 A passage of ``LENGTH`` bytes that also starts elsewhere is to go, whatever documents it is in.
-Sorting a suffix for every byte would move the corpus a hundredfold, so only suffixes that can matter
+Sorting a suffix for every byte would move the corpus two hundredfold, so only suffixes that can matter
 are moved: every window of LENGTH bytes has an anchor, the place of the least hash among its grams
 of ``GRAM`` bytes, which depends on the window's bytes alone. Equal windows have equal anchors at equal offsets.
 
 1. Anchors are made for all texts (one per about eighty bytes), and grams that occur once are dropped
-   by a count over all of them.
-2. An anchor's context is all the windows that have it. Equal contexts are counted by hash: where
-   two are equal, all their windows repeat. What is left are the edges of repeats.
-3. One of each different context of such grams is fetched with its bytes. They are range-partitioned
-   by the suffix at the anchor (Spark samples the splitters), and each bucket sorts the suffixes of
-   all its windows by multikey quicksort; equal neighbours repeat. The first and the last gram of a
-   bucket may go on in the next one: their windows are compared across buckets by 128-bit hashes,
-   packed by slots of the hash, so that a very common gram is spread over all tasks in few rows.
+   by a count over all of them. An anchor's context is all the windows that have it.
+2. Of each different context (by a 128-bit digest) one occurrence is fetched with its bytes, and a second one where there are more.
+   They are range-partitioned by the suffix at the anchor, with sampled splitters, and each bucket sorts them by
+   multikey quicksort. Two of one digest must be the same bytes there, which makes all windows of that context repeated;
+   if they aren't, all is done again with a longer digest. Where a gram has several contexts, the suffixes of all their
+   windows are sorted too, and equal neighbours repeat.
+3. The first and the last gram of a bucket may go on in the next one: their windows are compared across
+   buckets by 128-bit hashes, packed by slots of the hash, so that a very common gram is spread over all tasks in few rows.
 
 Every shuffle has plain rows of anchors or of texts; groups are only counted, never gathered, and
 documents meet their own spans only.
@@ -30,13 +30,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallymark.llm.common import Workspace, map_batches, slices, table, utf8
+from tallymark.llm.common import Workspace, distinct_rows, slices, table, utf8
 
 LENGTH, GRAM = 200, 40
 #: Bytes that a worker looks at together; contexts in a bucket.
 CHUNK, BUCKET = 1 << 18, 10_000
 #: Bytes of a suffix that splitters look at; no fewer than a gram.
 LEADING = 96
+#: Bits of a context's digest to begin with; all 128 unless a test weakens it.
+DIGEST_BITS = 128
 #: Suffixes below which a part is sorted by whole remainders.
 SMALL = 2048
 BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
@@ -83,9 +85,19 @@ def sliding_minimum(x: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(right[:n], left[width - 1 : width - 1 + n])
 
 
+def digests(data: np.ndarray, start: np.ndarray, stop: np.ndarray, back: np.ndarray, bits: int) -> np.ndarray:
+    """Two 64-bit numbers for each part of ``data`` and the place of the anchor in it; of ``bits`` bits in all."""
+    view, digest = memoryview(data), hashlib.blake2b
+    each = [digest(view[a:b], digest_size=16, salt=n.to_bytes(2, "little")).digest() for a, b, n in zip(start.tolist(), stop.tolist(), back.tolist(), strict=True)]
+    out = np.frombuffer(b"".join(each), _U).reshape(-1, 2).copy()
+    for i, kept in enumerate((min(bits, 64), max(bits - 64, 0))):
+        out[:, i] &= _U((1 << kept) - 1)
+    return out
+
+
 def anchors(data: np.ndarray, at: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, ...]:
-    """(text, gram hash, context hash, anchor, first window, last window) of the texts data[at[i]:at[i + 1]] laid end to end; places are in ``data``."""
-    none = (np.zeros(0, np.int64),) * 6
+    """(text, gram hash, anchor, first window, last window) of the texts data[at[i]:at[i + 1]] laid end to end; places are in ``data``."""
+    none = (np.zeros(0, np.int64),) * 5
     if len(data) < length:
         return none
     rolling = Rolling(data, BASES[0])
@@ -102,10 +114,7 @@ def anchors(data: np.ndarray, at: np.ndarray, length: int = LENGTH, gram: int =
     place = (least[window] & _U(0xFFFFFFFF)).astype(np.int64)
     first = np.nonzero(np.concatenate(([True], (place[1:] != place[:-1]) | (text[1:] != text[:-1]))))[0]
     last = np.append(first[1:], len(place)) - 1
-    x, lo, hi = place[first], window[first], window[last]
-    context = Rolling(data, BASES[1]).of(lo, hi + length)
-    context = mixed(context ^ mixed(((x - lo).astype(_U) << _U(20)) | (hi - lo).astype(_U)))
-    return text[first], grams[x], context, x, lo, hi
+    return text[first], grams[place[first]], place[first], window[first], window[last]
 
 
 def _parts(batch: pa.RecordBatch, length: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
@@ -135,20 +144,32 @@ def _signed(x: np.ndarray) -> pa.Array:
     return pa.array(np.ascontiguousarray(x).view(np.int64))
 
 
-def anchor_rows(docs: DataFrame, length: int, gram: int) -> DataFrame:
-    """(gram, context, id, hash, spot): spot packs the anchor's place in the text and how far before it the first and last window begin."""
+def gram_rows(docs: DataFrame, length: int, gram: int) -> DataFrame:
+    """(gram): the hash of the gram at each anchor."""
+
+    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for data, at, _, _ in _parts(batch, length):
+                yield pa.RecordBatch.from_arrays([_signed(anchors(data, at, length, gram)[1])], names=["gram"])
+
+    return docs.select("text").mapInArrow(make, "gram long")
+
+
+def anchor_rows(docs: DataFrame, length: int, gram: int, bits: int) -> DataFrame:
+    """(gram, c1, c2, id, hash, spot): the context's digest; spot packs the anchor's place in the text and how far before it the first and last window begin."""
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for data, at, rows, begin in _parts(batch, length):
-                text, g, c, x, lo, hi = anchors(data, at, length, gram)
+                text, g, x, lo, hi = anchors(data, at, length, gram)
                 if not len(text):
                     continue
+                c = digests(data, lo, hi + length, x - lo, bits)
                 spot = ((x - at[text] + begin[text]) << 16) | ((x - lo) << 8) | (x - hi)
                 own = pa.array(rows[text])
-                yield pa.RecordBatch.from_arrays([_signed(g), _signed(c), batch.column("id").take(own), batch.column("hash").take(own), pa.array(spot)], names=["gram", "context", "id", "hash", "spot"])
+                yield pa.RecordBatch.from_arrays([_signed(g), _signed(c[:, 0]), _signed(c[:, 1]), batch.column("id").take(own), batch.column("hash").take(own), pa.array(spot)], names=["gram", "c1", "c2", "id", "hash", "spot"])
 
-    return map_batches(docs, make, f"gram long, context long, id {docs.schema['id'].dataType.simpleString()}, hash long, spot long")
+    return docs.mapInArrow(make, f"gram long, c1 long, c2 long, id {docs.schema['id'].dataType.simpleString()}, hash long, spot long")
 
 
 def _unpack(spot):
@@ -199,10 +220,10 @@ def _ranges(places: np.ndarray) -> bytes:
     return np.stack([places[np.append(0, cut + 1)], places[np.append(cut, len(places) - 1)]], 1).astype(np.int16).tobytes()
 
 
-BUCKET_SCHEMA = "gram long, context long, ranges binary, slot int, packed binary"
+BUCKET_SCHEMA = "c1 long, c2 long, ranges binary, slot int, packed binary"
 #: A window sent to be compared across buckets, and an answer; place -1: no answer is needed.
-WINDOW = np.dtype([("h1", "<u8"), ("h2", "<u8"), ("gram", "<i8"), ("context", "<i8"), ("place", "<i4")])
-ANSWER = np.dtype([("gram", "<i8"), ("context", "<i8"), ("place", "<i4")])
+WINDOW = np.dtype([("h1", "<u8"), ("h2", "<u8"), ("c1", "<i8"), ("c2", "<i8"), ("place", "<i4")])
+ANSWER = np.dtype([("c1", "<i8"), ("c2", "<i8"), ("place", "<i4")])
 
 
 def _packed(records: np.ndarray, slots: np.ndarray) -> tuple[list[int], list[bytes]]:
@@ -239,7 +260,7 @@ def shared_windows(slots: int):
                 out = np.empty(int(shared.sum()), ANSWER)
                 for name in ANSWER.names:
                     out[name] = sent[name][shared]
-                to, packed = _packed(out, (mixed(np.ascontiguousarray(out["context"]).view(_U)) % _U(slots)).astype(np.int64))
+                to, packed = _packed(out, (mixed(np.ascontiguousarray(out["c1"]).view(_U)) % _U(slots)).astype(np.int64))
                 yield pa.RecordBatch.from_arrays([pa.array(to, pa.int32()), pa.array(packed, pa.binary())], names=["slot", "packed"])
 
     return meet
@@ -248,17 +269,27 @@ def shared_windows(slots: int):
 def _gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows (slot, packed answers) to the repeated windows of each context."""
     for got in _by_slot(batches, ANSWER):
-        got = got[np.lexsort((got["place"], got["context"], got["gram"]))]
-        cuts = np.nonzero((np.diff(got["gram"]) != 0) | (np.diff(got["context"]) != 0))[0] + 1
+        got = got[np.lexsort((got["place"], got["c2"], got["c1"]))]
+        cuts = np.nonzero((np.diff(got["c1"]) != 0) | (np.diff(got["c2"]) != 0))[0] + 1
         spans = list(itertools.pairwise([0, *cuts.tolist(), len(got)]))
         first = [a for a, _ in spans]
-        yield pa.RecordBatch.from_arrays([pa.array(got["gram"][first]), pa.array(got["context"][first]), pa.array([_ranges(got["place"][a:b]) for a, b in spans], pa.binary())], names=["gram", "context", "ranges"])
+        yield pa.RecordBatch.from_arrays([pa.array(got["c1"][first]), pa.array(got["c2"][first]), pa.array([_ranges(got["place"][a:b]) for a, b in spans], pa.binary())], names=["c1", "c2", "ranges"])
+
+
+def _confirmed(c1: np.ndarray, c2: np.ndarray, back: np.ndarray, lists: list[bytes], kind: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(one row of each different context, whether its windows repeat as a whole): second occurrences with the first one's bytes are dropped."""
+    order = np.lexsort((kind, c2, c1))
+    kept, whole = np.ones(len(kind), bool), kind == AGAIN
+    for i, j in itertools.pairwise(order.tolist()):
+        if kind[i] == kind[j] == TWO and c1[i] == c1[j] and c2[i] == c2[j] and kept[i] and back[i] == back[j] and lists[i] == lists[j]:
+            kept[j], whole[i] = False, True
+    return kept, whole
 
 
 def bucket_repeats(length: int, gram: int, slots: int):
-    """Rows (bytes, back, gram, context, single) of one bucket to: the repeated windows of each single context, and the different windows of the first and last gram.
+    """Rows (bytes, back, c1, c2, kind) of one bucket to: all of a context that was found twice, the repeated windows of each lone one, and the different windows of the first and last gram.
 
-    Of the latter, those that repeat in the bucket need no answer and carry no context.
+    Of the latter, those that repeat in the bucket need no answer.
     """
 
     def sort(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -267,61 +298,85 @@ def bucket_repeats(length: int, gram: int, slots: int):
             return
         held = pa.Table.from_batches(got).combine_chunks()
         lists = held.column("bytes").to_pylist()
-        back = held.column("back").to_numpy()
-        g, c = held.column("gram").to_numpy(), held.column("context").to_numpy()
-        single = held.column("single").to_numpy()
+        back, c1, c2, kind = (held.column(n).to_numpy() for n in ("back", "c1", "c2", "kind"))
+        kept, whole = _confirmed(c1, c2, back, lists, kind)
+        if whole.any():
+            yield _found(c1[whole], c2[whole], [_ranges(np.arange(n)) for n in np.array([len(b) for b in lists])[whole] - length + 1])
+        lists, back, c1, c2, kind, whole = [b for b, k in zip(lists, kept.tolist(), strict=True) if k], back[kept], c1[kept], c2[kept], kind[kept], whole[kept]
         size = np.array([len(b) for b in lists])
         data = np.frombuffer(b"".join(lists), np.uint8)
         at = np.cumsum(size) - size
-        counts = size - length + 1
-        row = np.repeat(np.arange(len(size)), counts)
+        # contexts by the gram at their anchors; a gram's windows are sorted if they could meet others that don't repeat for certain
+        order, same = multikey_quicksort(data, at + back, gram)
+        run = np.empty(len(order), np.int64)
+        run[order] = np.cumsum(~same) - 1
+        number, alone = np.bincount(run), np.bincount(run, weights=~whole)
+        edge = (run == 0) | (run == run.max())
+        open_ = np.nonzero(((number > 1) & (alone > 0))[run] | edge)[0]
+        counts = size[open_] - length + 1
+        row = np.repeat(open_, counts)
         place = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
         order, same = multikey_quicksort(data, at[row] + place, length)
-        repeated = np.zeros(len(row), bool)
-        repeated[order] = same | np.append(same[1:], False)
-        found = np.nonzero(repeated & single[row])[0]
+        repeated = whole[row]
+        near = np.zeros(len(row), bool)
+        near[order] = same | np.append(same[1:], False)
+        found = np.nonzero(near & (kind[row] == LONE))[0]
+        repeated |= near | (kind[row] != LONE)
         if len(found):
             rows = row[found]
             cuts = [0, *(np.nonzero(np.diff(rows))[0] + 1).tolist(), len(rows)]
             own = rows[cuts[:-1]]
-            ranges = [_ranges(place[found[a:b]]) for a, b in itertools.pairwise(cuts)]
-            yield pa.RecordBatch.from_arrays([pa.array(g[own]), pa.array(c[own]), pa.array(ranges, pa.binary()), pa.nulls(len(own), pa.int32()), pa.nulls(len(own), pa.binary())], names=["gram", "context", "ranges", "slot", "packed"])
-        heads = [lists[i][back[i] : back[i] + gram] for i in range(len(lists))]
-        edge = {min(heads), max(heads)}
-        at_edge = np.array([h in edge for h in heads])
+            yield _found(c1[own], c2[own], [_ranges(place[found[a:b]]) for a, b in itertools.pairwise(cuts)])
         heads_of_runs = order[~same]
-        sent = heads_of_runs[at_edge[row[heads_of_runs]]]
+        sent = heads_of_runs[edge[row[heads_of_runs]]]
         if len(sent):
             r, p = row[sent], place[sent]
             starts = at[r] + p
             out = np.empty(len(sent), WINDOW)
             out["h1"], out["h2"] = (mixed(Rolling(data, b).of(starts, starts + length)) for b in BASES)
-            out["gram"], out["context"], out["place"] = g[r], c[r], np.where(repeated[sent] | ~single[r], -1, p)
+            out["c1"], out["c2"], out["place"] = c1[r], c2[r], np.where(repeated[sent], -1, p)
             to, packed = _packed(out, (out["h1"] % _U(slots)).astype(np.int64))
             none = pa.nulls(len(to), pa.int64())
-            yield pa.RecordBatch.from_arrays([none, none, pa.nulls(len(to), pa.binary()), pa.array(to, pa.int32()), pa.array(packed, pa.binary())], names=["gram", "context", "ranges", "slot", "packed"])
+            yield pa.RecordBatch.from_arrays([none, none, pa.nulls(len(to), pa.binary()), pa.array(to, pa.int32()), pa.array(packed, pa.binary())], names=["c1", "c2", "ranges", "slot", "packed"])
 
     return sort
 
 
+def _found(c1: np.ndarray, c2: np.ndarray, ranges: list[bytes]) -> pa.RecordBatch:
+    n = len(c1)
+    return pa.RecordBatch.from_arrays([pa.array(c1), pa.array(c2), pa.array(ranges, pa.binary()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], names=["c1", "c2", "ranges", "slot", "packed"])
+
+
+#: How a fetched context occurs: alone, as one of two that stand for all, or in a row that itself occurs again.
+LONE, TWO, AGAIN = 0, 1, 2
+
+
 def fetch_contexts(docs: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
-    """(bytes, back, gram, context, single) of the contexts (gram, context, single, id, hash, spot) in ``wanted``; texts meet the list of their own."""
-    lists = wanted.groupBy("id", "hash").agg(F.collect_list(F.struct("gram", "context", "single", "spot")).alias("spots")).hint("shuffle_hash")
+    """(bytes, back, c1, c2, kind) of the contexts (c1, c2, kind, id, hash, spot) in ``wanted``; ``docs`` has no row twice, and texts meet the list of their own."""
+    lists = wanted.groupBy("id", "hash").agg(F.collect_list(F.struct("c1", "c2", "kind", "spot")).alias("spots")).hint("shuffle_hash")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in itertools.chain.from_iterable(slices(b, "text") for b in batches):
             out: list[tuple] = []
-            for text, spots in zip(batch.column("text").cast(pa.binary()).to_pylist(), batch.column("spots").to_pylist(), strict=True):
-                for s in spots:
-                    x, lo, hi = _unpack(s["spot"])
-                    out.append((text[lo : hi + length], x - lo, s["gram"], s["context"], s["single"]))
-            for a in range(0, len(out), 5_000):
-                kinds = (pa.binary(), pa.int32(), pa.int64(), pa.int64(), pa.bool_())
-                yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(zip(*out[a : a + 5_000], strict=True), kinds, strict=True)], names=["bytes", "back", "gram", "context", "single"])
+            for text, spots in zip(batch.column("text").cast(pa.binary()).to_pylist(), batch.column("spots"), strict=True):
+                spots = spots.values
+                x, lo, hi = (v.tolist() for v in _unpack(spots.field("spot").to_numpy()))
+                for a, b, n, *own in zip(lo, hi, x, *(spots.field(f).to_pylist() for f in ("c1", "c2", "kind")), strict=True):
+                    out.append((text[a : b + length], n - a, *own))
+                    if len(out) == 5_000:
+                        yield _fetched(out)
+                        out = []
+            if out:
+                yield _fetched(out)
 
     own = docs.withColumnRenamed("id", "id_").withColumnRenamed("hash", "hash_")
     joined = own.join(lists, F.col("id_").eqNullSafe(F.col("id")) & (F.col("hash_") == F.col("hash"))).select("text", "spots")
-    return map_batches(joined, cut, "bytes binary, back int, gram long, context long, single boolean")
+    return joined.mapInArrow(cut, "bytes binary, back int, c1 long, c2 long, kind int")
+
+
+def _fetched(rows: list[tuple]) -> pa.RecordBatch:
+    kinds = (pa.binary(), pa.int32(), pa.int64(), pa.int64(), pa.int32())
+    return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=["bytes", "back", "c1", "c2", "kind"])
 
 
 def _cut_spans(length: int, names: list[str]):
@@ -346,55 +401,66 @@ def _cut_spans(length: int, names: list[str]):
     return cut
 
 
+def repeated_contexts(rows: DataFrame, left: DataFrame, length: int, gram: int, work: Workspace) -> DataFrame | None:
+    """(c1, c2, first, last): the windows that repeat of each context in ``left``, counted from its first one; None if two contexts share a digest."""
+    place = F.struct("id", "hash", "spot")
+    contexts = work.write(left.groupBy("c1", "c2").agg(F.count("*").alias("n"), F.min(place).alias("one"), F.max(place).alias("other")), "contexts")
+    same = F.col("one").eqNullSafe(F.col("other"))
+    kind = F.when(F.col("n") == 1, F.lit(LONE)).when(same, F.lit(AGAIN)).otherwise(F.lit(TWO))
+    wanted = contexts.select("c1", "c2", kind.alias("kind"), F.explode(F.when(same, F.array("one")).otherwise(F.array("one", "other"))).alias("at")).select("c1", "c2", "kind", "at.*")
+    fetched = work.write(fetch_contexts(rows, wanted, length), "fetched")
+    buckets = max(1, -(-fetched.count() // BUCKET))
+    # the suffix at the anchor by its leading bytes; the hash splits what has them in common, but not equal contexts
+    leading = F.substr(F.col("bytes"), F.col("back") + 1, F.lit(LEADING))
+    sorted_ = work.write(fetched.repartitionByRange(buckets, leading, F.xxhash64("bytes")).mapInArrow(bucket_repeats(length, gram, buckets), BUCKET_SCHEMA), "sorted")
+    work.drop("fetched")
+    dealt = lambda df: df.select("slot", "packed").repartition("slot").sortWithinPartitions("slot")
+    answers = dealt(sorted_.where("slot is not null")).mapInArrow(shared_windows(buckets), "slot int, packed binary")
+    across = dealt(answers).mapInArrow(_gather, "c1 long, c2 long, ranges binary")
+    pair = "array<struct<first: int, last: int>>"
+    found = sorted_.where("ranges is not null").select("c1", "c2", "ranges").unionByName(across).mapInArrow(_read_ranges, f"c1 long, c2 long, ranges {pair}")
+    found = work.write(found.select("c1", "c2", F.inline("ranges")), "found")
+    several = contexts.where("n > 1").select("c1", "c2")
+    missed = several.join(found, ["c1", "c2"], "left_anti")
+    return found if missed.isEmpty() else None
+
+
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, gram: int = GRAM, with_kept: bool = True) -> DataFrame:
     """(id, n_bytes, n_removed, n_spans, kept_sha256, kept) of each document; without ``kept``, if not asked for.
 
     Each byte that is covered by a string of ``length`` bytes which starts anywhere else too, in the
     same document or another, is removed; strings are judged on the input. ``kept`` holds the bytes left, which need
     not be whole characters. Null texts are empty; texts shorter than ``length`` lose nothing; equal rows are copies of each other, so long ones
-    lose everything; null ids are kept apart by their texts. Other columns are not read.
+    lose everything, and of any number of them one is fetched and all get one list of spans; null ids are kept apart by their texts. A very long
+    text is cut by one task, with a list of spans of a tenth of its size. Other columns are not read.
     """
     if not gram <= LEADING or not gram < length <= 256:
         raise ValueError(f"the gram must be shorter than the length and {LEADING + 1}, the length 256 bytes at most")
     work = Workspace(docs.sparkSession)
     rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("hash"), F.col(text_col).alias("text"))
-    every = anchor_rows(rows, length, gram)
     # written, so that the join is one of two plain sides and a very common gram can be split
-    twice = work.write(every.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1").select("gram"), "twice")
-    left = work.write(every.join(twice, "gram"), "anchors")
-    contexts = work.write(left.groupBy("gram", "context").agg(F.count("*").alias("n"), F.min(F.struct("id", "hash", "spot")).alias("one")), "contexts")
-    # a gram with one context only is settled by its count
-    several = contexts.groupBy("gram").agg(F.count("*").alias("contexts"), F.min("n").alias("least")).where("contexts > 1 and least = 1").select("gram")
-    open_ = contexts.join(several, "gram").select("gram", "context", (F.col("n") == 1).alias("single"), "one.*")
-    fetched = work.write(fetch_contexts(rows, open_, length), "fetched")
-    buckets = max(1, -(-fetched.count() // BUCKET))
-    # the suffix at the anchor by its leading bytes; the hash splits what has them in common
-    leading = F.substr(F.col("bytes"), F.col("back") + 1, F.lit(LEADING))
-    sorted_ = work.write(map_batches(fetched.repartitionByRange(buckets, leading, F.xxhash64("bytes")), bucket_repeats(length, gram, buckets), BUCKET_SCHEMA), "sorted")
-    work.drop("fetched")
-    dealt = lambda df: df.select("slot", "packed").repartition("slot").sortWithinPartitions("slot")
-    answers = dealt(sorted_.where("slot is not null")).mapInArrow(shared_windows(buckets), "slot int, packed binary")
-    across = dealt(answers).mapInArrow(_gather, "gram long, context long, ranges binary")
-    pair = "array<struct<first: int, last: int>>"
-    inside = sorted_.where("ranges is not null").select("gram", "context", "ranges").unionByName(across).mapInArrow(_read_ranges, f"gram long, context long, ranges {pair}").select("gram", "context", F.inline("ranges"))
-    # what repeats of each context, counted from its first window; null: all of it
-    found = contexts.where("n > 1").select("gram", "context", F.lit(None).cast("int").alias("first"), F.lit(None).cast("int").alias("last"))
-    found = found.unionByName(inside)
-    x = F.shiftright("spot", 16)
-    lo, hi = x - F.shiftright("spot", 8).bitwiseAND(F.lit(255)), x - F.col("spot").bitwiseAND(F.lit(255))
-    begin, end = F.when(F.col("first").isNull(), lo).otherwise(lo + F.col("first")), F.when(F.col("last").isNull(), hi).otherwise(lo + F.col("last"))
-    spans = left.join(found, ["gram", "context"]).select("id", "hash", (F.shiftleft(begin, 32) + end).alias("span"))
-    spans = spans.groupBy("id", "hash").agg(F.collect_list("span").alias("spans")).withColumnRenamed("id", "id_").withColumnRenamed("hash", "hash_").hint("shuffle_hash")
+    twice = work.write(gram_rows(rows, length, gram).groupBy("gram").agg(F.count("*").alias("n")).where("n > 1").select("gram"), "twice")
+    once, found = distinct_rows(rows, work), None
+    for bits in dict.fromkeys((DIGEST_BITS, 128)):
+        left = work.write(anchor_rows(rows, length, gram, bits).join(twice, "gram").drop("gram"), "anchors")
+        found = repeated_contexts(once, left, length, gram, work)
+        if found is not None:
+            break
+    if found is None:
+        raise RuntimeError("different passages have one 128-bit digest")
+    lo = F.shiftright("spot", 16) - F.shiftright("spot", 8).bitwiseAND(F.lit(255))
+    spans = left.join(found, ["c1", "c2"]).select("id", "hash", (F.shiftleft(lo + F.col("first"), 32) + lo + F.col("last")).alias("span"))
+    spans = spans.groupBy("id", "hash").agg(F.collect_set("span").alias("spans")).withColumnRenamed("id", "id_").withColumnRenamed("hash", "hash_").hint("shuffle_hash")
     joined = rows.join(spans, F.col("id").eqNullSafe(F.col("id_")) & (F.col("hash") == F.col("hash_")), "left").select("id", "text", "spans")
     names = [id_col, "n_bytes", "n_removed", "n_spans", "kept_sha256", *(["kept"] if with_kept else [])]
-    return map_batches(joined, _cut_spans(length, names), f"`{id_col}` {rows.schema['id'].dataType.simpleString()}, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * with_kept)
+    return work.write(joined.mapInArrow(_cut_spans(length, names), f"`{id_col}` {rows.schema['id'].dataType.simpleString()}, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * with_kept), "cut")
 
 
 def _read_ranges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     kind = pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32())]))
     for batch in batches:
         lists = [[{"first": int(a), "last": int(b)} for a, b in np.frombuffer(r, np.int16).reshape(-1, 2)] for r in batch.column("ranges").to_pylist()]
-        yield pa.RecordBatch.from_arrays([batch.column("gram"), batch.column("context"), pa.array(lists, kind)], names=["gram", "context", "ranges"])
+        yield pa.RecordBatch.from_arrays([batch.column("c1"), batch.column("c2"), pa.array(lists, kind)], names=["c1", "c2", "ranges"])
 
 
 def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -48,6 +48,27 @@ def test_repeats_equal_brute_force(documents, monkeypatch, bucket):
     assert sorted((str(r.doc_id), r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got) == brute_repeats(rows)
 
 
+@pytest.mark.parametrize("bits, bucket", [(5, 40), (5, 10_000), (12, 10_000)])
+def test_weak_digests_change_nothing(documents, monkeypatch, bits, bucket):
+    monkeypatch.setattr(suffix_dedup, "DIGEST_BITS", bits)
+    monkeypatch.setattr(suffix_dedup, "BUCKET", bucket)
+    rng = random.Random(31)
+    base = ["".join(rng.choice("abcdefgh ") for _ in range(rng.randint(300, 900))) for _ in range(40)]
+    rows = [(i, rng.choice(base)[rng.randint(0, 200) :] + "".join(rng.choice("xyz") for _ in range(rng.randint(0, 300)))) for i in range(120)]
+    got = suffix_dedup.remove_repeats(documents(rows)).drop("kept").collect()
+    assert sorted((str(r.doc_id), r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got) == brute_repeats(rows)
+
+
+def test_many_copies_of_one_row_are_fetched_once(documents, spark, monkeypatch):
+    rng = random.Random(8)
+    long = "".join(rng.choice("abcdefgh ") for _ in range(4000))
+    df = documents([(7, long)]).crossJoin(spark.range(3000).select(F.col("id").alias("copy"))).unionByName(documents([(8, "-" + long[500:900]), (9, "alone")]).withColumn("copy", F.lit(0)))
+    fetched, plain = [], suffix_dedup.Workspace.write
+    monkeypatch.setattr(suffix_dedup.Workspace, "write", lambda self, df, name: fetched.append(out.count()) or out if (out := plain(self, df, name)) is not None and name == "fetched" else out)
+    got = {(r.doc_id, r.n_bytes, r.n_removed, r.n_spans): r["count"] for r in suffix_dedup.remove_repeats(df, with_kept=False).groupBy("doc_id", "n_bytes", "n_removed", "n_spans").count().collect()}
+    assert got == {(7, 4000, 4000, 1): 3000, (8, 401, 400, 1): 1, (9, 5, 0, 0): 1} and fetched[0] < 150
+
+
 def test_repeats_of_nothing(documents):
     assert suffix_dedup.remove_repeats(documents([(1, "short")]).limit(0)).count() == 0
     assert suffix_dedup.remove_repeats(documents([(1, "short")])).first().kept == b"short"
