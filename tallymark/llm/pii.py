@@ -1,14 +1,18 @@
 """Personal data: fixed patterns, and what their contexts bring to light, by DataFrame functions only.
 
-The fixed patterns find seed entities. Every identifier-shaped token is an instance, and the word
-before it together with the token's shape is the lexical pattern that it stands in. Spark scores the
-graph of patterns and instances in rounds: a pattern is worth the share of its distinct instances
-that are believed, an instance is worth its best pattern, seeds are worth 1. Instances of patterns
-that many seeds induced and that hold little else are personal data too, of kind ``context``.
+The fixed patterns find seed entities. Seeds and every other identifier-shaped piece of text are
+instances; the word right before an instance, and the one right after it, are its lexical patterns (together with whether the instance
+is an address or a number). Spark scores the bipartite graph in rounds: an instance is believed if it is a
+seed or a pattern accepted in an earlier round has it, so no pattern ever vouches for itself; a pattern is accepted once so many
+distinct believed instances have it and they are nearly all it has. Each round's new instances are the next
+one's support, until a round accepts nothing. Instances of accepted patterns that no fixed pattern
+found are personal data too, of kind ``context``.
 """
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -25,11 +29,15 @@ PATTERNS = {
     "card": r"[0-9](?:[\x20-]?[0-9])++",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
-_TOKEN = "0-9A-Za-z.@_%+()-"
-#: An identifier-shaped token: at least so long, with five digits or more.
-INSTANCE = rf"(?<![{_TOKEN}])(?=(?:[A-Za-z.@_%+()-]*+[0-9]){{5}})[{_TOKEN}]{{7,}}+"
-#: Rounds of scoring; distinct seeds that induce a pattern; the worth from which an instance counts.
-ROUNDS, SUPPORT, BELIEF = 3, 5, 0.9
+_PART = "0-9A-Za-z_%@"
+#: Identifier-shaped: parts joined by dots, dashes or pluses with five digits or with an @ inside, or numbers parted by single spaces or dashes, the first perhaps in parentheses.
+INSTANCE = (
+    rf"(?<![{_PART}.+-])(?:"
+    rf"(?:\+?\([0-9]++\)|\+?[0-9]++)(?:[\x20-][0-9]++){{2,}}+(?![{_PART}])"
+    rf"|\+?(?=(?:[A-Za-z_%@.+-]*+[0-9]){{5}}|[{_PART}.+-]*?[A-Za-z0-9]@[A-Za-z0-9])[{_PART}]++(?:[.+-]++[{_PART}]++)*+)"
+)
+#: Distinct believed instances that a pattern needs, and the share of its instances that they must be.
+SUPPORT, BELIEF = 5, 0.9
 
 
 def _digits(match: Column) -> Column:
@@ -56,65 +64,72 @@ def _holds(kind: str, match: Column) -> Column:
     return F.lit(True)
 
 
-def base_spans(text: Column) -> Column:
-    """array<struct<kind, start, stop>> of the fixed patterns, kind by kind, each by start."""
-    parts = []
-    for kind in KINDS:
-        kept = F.filter(matches(text, PATTERNS[kind]), lambda m: _holds(kind, m["match"]))
-        parts.append(F.transform(kept, lambda m: F.struct(F.lit(kind).alias("kind"), m["start"].alias("start"), m["stop"].alias("stop"))))
-    return F.concat(*parts)
+def _patterns(m: Column) -> Column:
+    """array<string> of a match: the words right before and after it, whatever stands between that is no letter or digit, each with the kind of instance."""
+    word = lambda text, regex: F.lower(F.regexp_extract(text, regex, 1))
+    kind = F.when(m["match"].contains("@"), F.lit("@")).otherwise(F.lit("#"))
+    sides = F.array(F.struct(F.lit("<").alias("side"), word(m["before"], r"(?<!\p{L})(\p{L}++)[^\p{L}\p{N}]*+$").alias("word")), F.struct(F.lit(">").alias("side"), word(m["after"], r"^[^\p{L}\p{N}]*+(\p{L}++)").alias("word")))
+    return F.transform(F.filter(sides, lambda x: x["word"] != ""), lambda x: F.concat(x["side"], kind, x["word"]))
 
 
-def _context(before: Column, match: Column) -> Column:
-    """The last word before a token, and the token's shape with its runs shortened; null without such a word."""
-    word = F.lower(F.regexp_extract(F.right(before, F.lit(48)), r"(\p{L}{2,24})[^\p{L}0-9]{0,8}$", 1))
-    shape = F.regexp_replace(F.regexp_replace(match, "[A-Za-z]+", "a"), "[0-9]+", "9")
-    return F.when(word != "", F.concat_ws("|", word, shape))
+def instances(text: Column) -> tuple[Column, Column]:
+    """(base, others): the seeds by kind and start, and identifier-shaped pieces clear of them, as array<struct<kind, start, stop, instance, patterns>>."""
+    held = lambda kind: lambda m: F.struct(F.lit(kind).alias("kind"), m["start"].alias("start"), m["stop"].alias("stop"), F.xxhash64(m["match"]).alias("instance"), _patterns(m).alias("patterns"))
+    base = F.concat(*[F.transform(F.filter(matches(text, PATTERNS[kind]), lambda m: _holds(kind, m["match"])), held(kind)) for kind in KINDS])
+    return base, F.transform(matches(text, INSTANCE), held("context"))
 
 
-def score_instances(edges: DataFrame, work: Workspace, rounds: int = ROUNDS, support: int = SUPPORT) -> DataFrame:
-    """(instance, worth) from the graph's distinct edges (pattern, instance, seed).
+def accepted_patterns(edges: DataFrame, work: Workspace, support: int = SUPPORT, belief: float = BELIEF) -> DataFrame:
+    """(pattern) of those accepted, from the graph's distinct edges (pattern, instance, seed).
 
-    Each round is two aggregations over the edges, both combined before their shuffles, and joins
-    on the same keys; each round's worths are written to the shared folder.
+    A round is an aggregation by instance, a join on it and an aggregation by pattern, all combined before their
+    shuffles; the accepted patterns are written to the shared folder after each. They only ever grow, so the rounds end.
     """
-    worth = edges.groupBy("instance").agg(F.max(F.col("seed").cast("double")).alias("worth"))
-    for i in range(rounds):
-        backed = edges.join(worth, "instance").groupBy("pattern").agg(F.sum("worth").alias("sum"), F.count("*").alias("n"), F.count_if("seed").alias("seeds"))
-        patterns = backed.where(F.col("seeds") >= support).select("pattern", (F.col("sum") / F.col("n")).alias("value"))
-        seeds = edges.groupBy("instance").agg(F.max(F.col("seed").cast("double")).alias("fixed"))
-        best = edges.join(patterns, "pattern").groupBy("instance").agg(F.max("value").alias("value"))
-        worth = work.write(seeds.join(best, "instance", "left").select("instance", F.greatest("fixed", F.coalesce("value", F.lit(0.0))).alias("worth")), f"worth-{i}")
-    return worth
-
-
-def find_personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rounds: int = ROUNDS, support: int = SUPPORT, belief: float = BELIEF) -> DataFrame:
+    accepted = work.write(edges.select("pattern").limit(0), "accepted-0")
+    for i in itertools.count(1):
+        found = edges.join(accepted, "pattern", "left_semi").select("instance").distinct().withColumn("found", F.lit(True))
+        open_ = edges.join(accepted, "pattern", "left_anti").join(found, "instance", "left")
+        believed = F.col("seed") | F.coalesce("found", F.lit(False))
+        scored = open_.groupBy("pattern").agg(F.count("*").alias("n"), F.count_if(believed).alias("believed"))
+        new = work.write(scored.where((F.col("believed") >= support) & (F.col("believed") >= belief * F.col("n"))).select("pattern"), f"new-{i}")
+        if new.isEmpty():
+            return accepted
+        accepted = work.write(accepted.unionByName(new), f"accepted-{i}")
+        work.drop(f"accepted-{i - 1}")
+
+
+def find_personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", support: int = SUPPORT, belief: float = BELIEF) -> DataFrame:
     """(id, text_hash, base, spans): arrays of struct<kind, start, stop>, places in code points, stop exclusive.
 
     ``base`` is what the fixed patterns find, by kind and start; ``spans`` adds those of kind
-    ``context``, which never overlap a base span. Null and empty texts have none; whole texts are
+    ``context``, which never overlap a base span. A pattern's word is the nearest one on its side with no letter or digit
+    between, however long the word or the gap, as far as the next match of the same kind; an instance without such a word has no pattern there. Null and empty texts have none; whole texts are
     searched; every row stays, and equal rows get equal spans; other columns aren't read. ``text_hash`` tells rows
     of one id with different texts apart.
     """
     work = Workspace(docs.sparkSession)
-    text = F.coalesce(F.col("text"), F.lit(""))
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).withColumn("text", text)
-    instances = F.transform(matches(F.col("text"), INSTANCE), lambda m: F.struct(m["start"].alias("start"), m["stop"].alias("stop"), F.xxhash64(m["match"]).alias("instance"), _context(m["before"], m["match"]).alias("pattern")))
-    found = work.write(rows.select("id", F.xxhash64("text").alias("text_hash"), base_spans(F.col("text")).alias("base"), instances.alias("instances")), "found")
-    each = found.where(F.size("instances") > 0).select("id", "text_hash", "base", F.explode("instances").alias("m"))
-    seed = F.exists("base", lambda b: (b["start"] < F.col("m.stop")) & (b["stop"] > F.col("m.start")))
-    each = each.select("id", "text_hash", "m.start", "m.stop", "m.instance", "m.pattern", seed.alias("seed"))
-    edges = work.write(each.where("pattern is not null").groupBy("pattern", "instance").agg(F.max("seed").alias("seed")), "edges")
-    worth = score_instances(edges, work, rounds, support)
-    believed = worth.where(F.col("worth") >= belief).select("instance")
-    more = each.where("not seed").join(believed, "instance", "left_semi")
-    more = more.groupBy("id", "text_hash").agg(F.array_sort(F.collect_set(F.struct(F.lit("context").alias("kind"), "start", "stop"))).alias("more")).withColumnRenamed("id", "id_").withColumnRenamed("text_hash", "hash_")
+    rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    base, others = instances(F.col("text"))
+    found = rows.select("id", F.xxhash64("text").alias("text_hash"), base.alias("base"), others.alias("others"))
+    clear = F.filter("others", lambda o: ~F.exists("base", lambda b: (b["start"] < o["stop"]) & (b["stop"] > o["start"])))
+    found = work.write(found.withColumn("others", clear), "found")
+    each = found.select("id", "text_hash", F.explode(F.concat("base", "others")).alias("m")).select("id", "text_hash", "m.*")
+    edges = each.select(F.explode("patterns").alias("pattern"), "instance", (F.col("kind") != "context").alias("seed"))
+    edges = work.write(edges.groupBy("pattern", "instance").agg(F.max("seed").alias("seed")), "edges")
+    accepted = accepted_patterns(edges, work, support, belief)
+    believed = work.write(edges.join(accepted, "pattern", "left_semi").select("instance").distinct(), "believed")
+    more = each.where("kind = 'context'").join(believed, "instance", "left_semi")
+    more = more.groupBy("id", "text_hash").agg(F.array_sort(F.collect_set(F.struct("kind", "start", "stop"))).alias("more")).withColumnRenamed("id", "id_").withColumnRenamed("text_hash", "hash_")
     joined = found.join(more, F.col("id").eqNullSafe(F.col("id_")) & (F.col("text_hash") == F.col("hash_")), "left")
-    return joined.select(F.col("id").alias(id_col), "text_hash", "base", F.when(F.col("more").isNull(), F.col("base")).otherwise(F.concat("base", "more")).alias("spans"))
+    short = F.transform("base", lambda b: F.struct(b["kind"].alias("kind"), b["start"].alias("start"), b["stop"].alias("stop")))
+    return joined.select(F.col("id").alias(id_col), "text_hash", short.alias("base"), F.when(F.col("more").isNull(), short).otherwise(F.concat(short, "more")).alias("spans"))
 
 
 def redact(docs: DataFrame, found: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with each span of ``found`` replaced by its kind in angle brackets, overlapping spans by the first one's."""
+    """``docs`` with each span of ``found`` replaced by its kind in angle brackets, overlapping spans by the first one's.
+
+    Null texts stay null, empty ones empty, rows without a span as they are; equal rows are redacted alike, and every row and column stays.
+    """
     own, own_hash, all_spans = unused(docs, "id"), unused(docs, "hash"), unused(docs, "spans")
     spans = found.select(F.col(id_col).alias(own), F.col("text_hash").alias(own_hash), F.array_sort(F.transform("spans", lambda s: F.struct(s["start"].alias("start"), s["stop"].alias("stop"), s["kind"].alias("kind")))).alias(all_spans))
     spans = spans.where(F.size(all_spans) > 0).dropDuplicates([own, own_hash])

@@ -149,6 +149,78 @@ def test_contexts_of_seeds_find_unseen_identifiers(documents):
     assert spans[200] == ["context"] and spans[100] == ["ip", "card"]
 
 
+def plain_accepted(edges, support, belief):
+    """Rounds over (pattern, instance, seed) in plain Python."""
+    of, accepted = {}, set()
+    for p, i, seed in edges:
+        of.setdefault(p, {})[i] = of.get(p, {}).get(i, False) or seed
+    seeds = {i for p, i, seed in edges if seed}
+    while True:
+        believed = seeds | {i for p in accepted for i in of[p]}
+        new = set()
+        for p, held in of.items():
+            n = sum(held[i] or i in believed - seeds for i in held)
+            if p not in accepted and n >= support and n >= belief * len(held):
+                new.add(p)
+        if not new:
+            return accepted
+        accepted |= new
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_pattern_scores_equal_a_plain_graph(spark, seed):
+    from tallymark.llm.common import Workspace
+
+    rng = random.Random(seed)
+    seeds = {i for i in range(300) if rng.random() < 0.5}
+    edges = set()
+    for p in range(60):
+        pool = [i for i in range(300) if (i in seeds) == (rng.random() < rng.choice([0.5, 0.95, 1.0]))]
+        edges |= {(f"p{p}", i, i in seeds) for i in rng.sample(pool, rng.randint(1, 14))}
+    df = spark.createDataFrame(sorted(edges), "pattern string, instance long, seed boolean")
+    got = {r.pattern for r in pii.accepted_patterns(df, Workspace(spark), 3, 0.7).collect()}
+    assert got == plain_accepted(edges, 3, 0.7) and got
+
+
+def context_spans(documents, rows, **how):
+    return {r.doc_id: [(s.start, s.stop) for s in r.spans if s.kind == "context"] for r in pii.find_personal_data(documents(rows), **how).collect()}
+
+
+def test_a_pattern_does_not_vouch_for_itself(documents):
+    """Eleven seeds and nine others by one word: 55 per cent, now and after any number of rounds."""
+    rows = [(i, f"dial 10.0.0.{i}") for i in range(11)] + [(100 + i, f"dial 10.0.0.9{i}9") for i in range(9)]
+    assert not any(context_spans(documents, rows).values())
+
+
+def test_what_is_found_induces_patterns_in_its_turn(documents):
+    rows = [(i, f"zzz hotline 10.0.0.{i}") for i in range(120)]
+    middle = [(200 + i, f"hotline 10.0.0.9{10 + i} zzz") for i in range(12)]  # no ip; believed by their word
+    again = [(300 + i, f"desk 10.0.0.9{10 + i} yyy") for i in range(12)]  # the same under another word, which they induce
+    last = [(400, "desk 77-88-99-00 xxx"), (401, "floor 77-88-99-01 xxx"), (402, "mail bob@intranet")]
+    got = context_spans(documents, rows + middle + again + last)
+    assert got[400] == [(5, 16)] and got[401] == [] and got[402] == [] and all(got[200 + i] and got[300 + i] for i in range(12)) and not any(got[i] for i in range(120))
+
+
+def test_contexts_have_no_window(documents):
+    rows = [(i, f"hotline 10.0.0.{i}") for i in range(40)] + [(100, "hotline" + " " * 300 + "10.0.0.991"), (101, "hotline" + ":" * 99 + "(10.0.0.992)."), (102, "HOTLINE\n-- 555 123 4567"), (103, "hotlinehotline 10.0.0.993"), (104, "hotline 3 10.0.0.994")]
+    got = context_spans(documents, rows)
+    assert [got[100], got[101], got[102], got[103], got[104]] == [[(307, 317)], [(107, 117)], [(11, 23)], [], []]
+
+
+@pytest.mark.parametrize("word", ["a", "é" * 5_000])
+def test_words_of_any_length_are_contexts(documents, word):
+    rows = [(i, f"{word} a{i}@b.co x") for i in range(9)] + [(100, f"{word} bob@intranet x")]
+    assert context_spans(documents, rows)[100] == [(len(word) + 1, len(word) + 13)]
+
+
+def test_texts_with_the_mark_are_split_alike(documents):
+    from tallymark.llm.spans import MARK
+
+    rows = [(1, f"{MARK}a@b.co{MARK} and 10.0.0.1{MARK}"), (2, MARK), (3, f"a@b.co{MARK}c@d.co")]
+    got = {r.doc_id: [tuple(s) for s in r.base] for r in pii.find_personal_data(documents(rows)).collect()}
+    assert got == {d: brute_private(t) for d, t in rows}
+
+
 def test_redaction(documents):
     df = documents([(1, "write a@b.co or call +1 555 123 4567 now"), (2, "nothing"), (3, None), (1, "other text of the same id x@y.zz")])
     out = pii.redact(df, pii.find_personal_data(df))
