@@ -504,9 +504,8 @@ def brute_similar(texts, threshold=0.8):
     return [root(i) for i in range(len(texts))]
 
 
-@pytest.mark.parametrize("chunk, size", [(3, 2000), (32_768, 16 << 20)])
-def test_one_of_each_group_of_similar_texts_stays(documents, monkeypatch, chunk, size):
-    monkeypatch.setattr(similar, "CHUNK", chunk)
+@pytest.mark.parametrize("size", [2000, 16 << 20])
+def test_one_of_each_group_of_similar_texts_stays(documents, monkeypatch, size):
     monkeypatch.setattr(similar, "CHUNK_BYTES", size)
     rng = random.Random(12)
     words = ["w%d" % i for i in range(400)]
@@ -532,6 +531,43 @@ def test_one_of_each_group_of_similar_texts_stays(documents, monkeypatch, chunk,
     assert sorted(str(r.doc_id) for r in kept.collect()) == want
 
 
+def test_short_texts_equal_brute_force(documents):
+    """Down to one shingle: words and a word more or less, whose similarity is often exactly 0.8 or just below."""
+    rng = random.Random(77)
+    rows, number = [], 0
+    for _ in range(150):
+        words = [f"v{rng.randrange(4000)}" for _ in range(rng.randint(1, 14))]
+        for more in (0, 1, 2):
+            rows.append((number, " ".join([*words, *[f"w{rng.randrange(4000)}" for _ in range(more)]])))
+            number += 1
+    label = brute_similar([t for _, t in rows])
+    want = sorted(min(i for i in range(len(rows)) if label[i] == x) for x in set(label))
+    assert sorted(r.doc_id for r in similar.keep_one(documents(rows)).collect()) == want and len(want) < number - 100
+
+
+@pytest.mark.parametrize("shared, more", [(4, 1), (8, 2), (80, 20), (400, 100)])
+def test_bands_and_fingerprints_pass_pairs_of_the_least_similarity(shared, more):
+    rng = np.random.default_rng(shared)
+    n, bands = 3000 if shared < 100 else 300, []
+    for _ in range(n):
+        both = rng.integers(0, 1 << 63, shared + more).astype(np.uint64)
+        a, b = np.unique(both[:shared]), np.unique(both)
+        x, y = similar.bands([a, b])
+        bands.append(int((x == y).sum()))
+        assert int(np.bitwise_count(similar.sketch(a) ^ similar.sketch(b)).sum()) <= similar.RADIUS
+    assert min(bands) > 0 and abs(np.mean(bands) - similar.BANDS * 0.8**similar.ROWS) < 1
+
+
+def test_near_copies_of_the_pivot_are_not_compared_with_each_other(documents, monkeypatch):
+    rng = random.Random(5)
+    words = [f"w{i}" for i in range(400)]
+    rows = [(i, " ".join([*words[:200], f"x{i}", *words[200:]])) for i in range(400)] + [(500 + i, " ".join(rng.sample(words, 300))) for i in range(20)]
+    rows += [(600, " ".join([*words[:365], *[f"y{i}" for i in range(35)]])), (601, " ".join([*words[:330], *[f"y{i}" for i in range(70)]]))]
+    label = brute_similar([t for _, t in rows])
+    want = sorted(min(rows[i][0] for i in range(len(rows)) if label[i] == x) for x in set(label))
+    assert sorted(r.doc_id for r in similar.keep_one(documents(rows)).collect()) == want
+
+
 def test_similar_texts_of_nothing(documents):
     assert similar.keep_one(documents([(1, "a")]).limit(0)).count() == 0
 
@@ -539,7 +575,7 @@ def test_similar_texts_of_nothing(documents):
 def test_a_large_group_of_copies_costs_no_pairs():
     rng = np.random.default_rng(0)
     base = np.unique(rng.integers(0, 1 << 62, 400).astype(np.uint64))
-    home = similar._Home(0.8, True)
+    home = similar._Home(0.8)
     sets = [np.unique(np.concatenate([base[3:], rng.integers(0, 1 << 62, 3).astype(np.uint64)])) for _ in range(2500)]
     prints = np.array([similar.sketch(s) for s in sets])
     calls = []
