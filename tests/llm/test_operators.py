@@ -318,6 +318,85 @@ def test_blocks_of_items_change_nothing(spark, documents, monkeypatch):
     assert {(r.doc_id, r.item_id) for r in decontaminate.leaks(df, bench).collect()} == {(i, i) for i in range(5)}
 
 
+def plain_lcs(a, b):
+    row = [0] * (len(b) + 1)
+    for x in a:
+        last = 0
+        for j, y in enumerate(b, 1):
+            last, row[j] = row[j], last + 1 if x == y else max(row[j], row[j - 1])
+    return row[-1]
+
+
+def brute_leaks(docs, items):
+    """Every place of every document against every item, by the table of common subsequences."""
+    out = set()
+    for d, t in docs:
+        text = re.findall(r"\w+", (t or "").lower())
+        for i, x in items:
+            item, answer = re.findall(r"\w+", x.lower()), decontaminate.answer_of(x)
+            span = len(item) + len(item) // 2 + 2
+            for s in range(max(1, len(text) - span + 1)):
+                near = text[s : s + span]
+                covered = plain_lcs(item, near) / len(item) if len(set(item) & set(near)) >= 0.5 * len(set(item)) else 0
+                if covered >= 0.8 or covered >= 0.6 and plain_lcs(answer, near) >= 0.8 * len(answer):
+                    out.add((d, i))
+                    break
+    return out
+
+
+def test_leaks_equal_brute_force(spark, documents):
+    """Items changed word by word to shares of 1.0 to 0.4, with and without their answers, once or in two places."""
+    rng = random.Random(21)
+    words = ["".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randint(3, 8))) for _ in range(500)]
+    say = lambda n: [rng.choice(words) for _ in range(n)]
+    items = [(i, " ".join(say(15)) + "? " + " ".join(say(5))) for i in range(12)]
+    docs = []
+
+    def worn(ws, share):
+        kept = set(rng.sample(range(len(ws)), round(share * len(ws))))
+        return [w if k in kept else "altered" for k, w in enumerate(ws)]
+
+    for i, x in items:
+        question, answer = (re.findall(r"\w+", part) for part in x.split("?"))
+        for share, whole in ((1.0, True), (0.9, False), (0.53, True), (0.53, False), (0.2, True)):
+            docs.append((100 * i + len(docs), " ".join(say(40) + worn(question, share) + (answer if whole else say(5)) + say(40))))
+        # most of the question in one place, and enough of it with the answer in another
+        docs.append((100 * i + len(docs), " ".join(say(10) + worn(question, 0.95) + say(60) + worn(question, 0.55) + answer + say(10))))
+    docs += [(9000 + k, " ".join(say(120))) for k in range(20)]
+    found = decontaminate.leaks(documents(docs), spark.createDataFrame(items, "item_id long, text string"))
+    got, want = {(r.doc_id, r.item_id) for r in found.collect()}, brute_leaks(docs, items)
+    assert got == want and len(want) >= 36
+
+
+def test_a_place_with_less_of_the_item_but_all_of_its_answer_counts(spark, documents):
+    item = [f"q{i}" for i in range(30)] + [f"a{i}" for i in range(10)]
+    without, with_answer = item[:29] + ["x"] * 11, item[:17] + ["y"] * 13 + item[30:]
+    fill = [f"f{i}" for i in range(300)]
+    docs = [(1, " ".join(fill[:50] + without + fill[50:200] + with_answer + fill[200:])), (2, " ".join(fill[:50] + without + fill[50:])), (3, " ".join(fill[:50] + with_answer + fill[50:]))]
+    found = decontaminate.leaks(documents(docs), spark.createDataFrame([(7, " ".join(item[:30]) + "? " + " ".join(item[30:]))], "item_id long, text string"))
+    assert {(r.doc_id, round(r.covered, 3)) for r in found.collect()} == {(1, 0.675), (3, 0.675)}
+
+
+def test_many_items_cost_one_tokenisation(spark, documents, monkeypatch):
+    rng = random.Random(2)
+    words = [f"w{i}" for i in range(1500)]
+    items = [(i, " ".join(rng.choice(words) for _ in range(14))) for i in range(5000)]
+    docs = [(i, "some words before " + t + " and after") for i, t in items[::500]] + [(9000, "nothing of them")]
+    calls, plain = [], decontaminate.tokenise
+    monkeypatch.setattr(decontaminate, "tokenise", lambda *a: calls.append(1) or plain(*a))
+    found = decontaminate.leaks(documents(docs), spark.createDataFrame(items, "item_id long, text string"))
+    assert {(r.doc_id, r.item_id) for r in found.collect()} == {(i, i) for i, _ in items[::500]} and len(calls) == 1
+
+
+def test_groups_and_blocks_are_bounded(spark, monkeypatch):
+    monkeypatch.setattr(decontaminate, "GROUP_BYTES", 1 << 20)
+    rows = [(i, " ".join(f"v{i}x{k}" for k in range(n))) for i, n in enumerate([20] * 300 + [30_000] + [20] * 5)]
+    held = list(decontaminate.groups(spark.createDataFrame(rows, "item_id long, text string"), "item_id", "text"))
+    assert [i for g in held for i in g.ids] == [*range(306)] and len(held) > 3
+    assert all(len(b.words) <= decontaminate.WINDOW * decontaminate.BLOCK_ITEMS + 1 for g in held for b in g.blocks)
+    assert all(sum(len(ws) for b in g.blocks for j, ws in b.pieces if j == i) == len(g.words[i]) for g in held for i in range(len(g.ids)))
+
+
 def test_verbatim_items_of_any_length_are_found(spark, documents):
     rng = random.Random(12)
     words = ["".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randint(3, 9))) for _ in range(4000)]
