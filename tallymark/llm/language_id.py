@@ -17,43 +17,65 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallymark.llm.common import safe_id, slices, table, utf8
 
 BUCKETS = 1 << 14
+#: Places of a text that are looked at together; a number for each of them and each label is in memory at once, however long the text.
+PART = 1 << 17
 #: Bound on the labelled rows that the driver trains on.
 SAMPLE = 3000
 #: Share of rightly predicted rows that rejection may cost, and the highest threshold it may take.
 COST, HIGHEST = 0.0005, 0.4
 UNKNOWN = "und"
-LETTER = regex.compile(r"\p{L}")
 # Bytes of ASCII that are no letters become spaces; those of other letters stay.
 _PIECES = np.array([b if b >= 128 or 97 <= b <= 122 else 32 for b in range(256)], np.uint8)
 
 
-def pieces(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Buckets of all pieces, whether each counts, and where each text's pieces begin. Two buckets a byte: its 3 and its 4 bytes on."""
+def lines(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The lower-cased letters of all texts in one line, other ASCII as spaces, and where each text begins: a space before it and three or more behind."""
     data, at = utf8(pc.utf8_lower(texts))
     n, sizes = len(at) - 1, np.diff(at)
     starts = at[:-1] + 4 * np.arange(n)
     line = np.full(int(at[-1]) + 4 * n + 4, 32, np.uint8)
-    line[np.arange(len(data)) + np.repeat(starts - at[:-1] + 1, sizes)] = _PIECES[data]
-    wide = line.astype(np.uint32)
-    three = wide[:-3] | (wide[1:-2] << 8) | (wide[2:-1] << 16)
-    four = three | (wide[3:] << 24)
-    shift = np.uint32(32 - 14)
-    hashed = np.empty((len(three), 2), np.uint16)
-    hashed[:, 0] = (three * np.uint32(2654435761)) >> shift
-    hashed[:, 1] = ((four ^ np.uint32(0x5BD1E995)) * np.uint32(2246822519)) >> shift
-    counts = line[1:-2] != 32  # a piece counts if its second byte is of a letter: a first one may be a space, for beginnings of words
-    return hashed, counts, starts
-
-
-def piece_counts(hashed: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    found = np.bincount(hashed[counts].ravel(), minlength=BUCKETS)
+    for i in range(n):
+        np.take(_PIECES, data[at[i] : at[i + 1]], out=line[starts[i] + 1 : starts[i] + 1 + sizes[i]])
+    return line, starts
+
+
+def pieces(texts: pa.Array, part: int | None = None) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(buckets, whether each counts, place of the first in ``lines``) of PART places after another. Two buckets a place: its 3 and its 4 bytes on."""
+    line, _ = lines(texts)
+    part = part or PART
+    for a in range(0, len(line) - 3, part):
+        here = line[a : a + part + 3]
+        wide = here.astype(np.uint32)
+        three = wide[:-3] | (wide[1:-2] << 8) | (wide[2:-1] << 16)
+        four = three | (wide[3:] << 24)
+        shift = np.uint32(32 - 14)
+        hashed = np.empty((len(three), 2), np.uint16)
+        hashed[:, 0] = (three * np.uint32(2654435761)) >> shift
+        hashed[:, 1] = ((four ^ np.uint32(0x5BD1E995)) * np.uint32(2246822519)) >> shift
+        yield hashed, here[1:-2] != 32, a  # a piece counts if its second byte is of a letter: a first one may be a space, for beginnings of words
+
+
+def has_letter(texts: pa.Array) -> np.ndarray:
+    return pc.fill_null(pc.match_substring_regex(texts, r"\p{L}"), False).to_numpy(zero_copy_only=False).astype(bool)
+
+
+def lines_of(texts: pa.Array) -> np.ndarray:
+    """Where each text begins in ``lines``, from the sizes alone."""
+    sizes = pc.fill_null(pc.binary_length(pc.utf8_lower(texts)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    return np.cumsum(sizes + 4) - sizes - 4
+
+
+def piece_counts(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The buckets of some text's pieces, and how many each has."""
+    found = np.zeros(BUCKETS, np.int64)
+    for hashed, counts, _ in pieces(texts):
+        found += np.bincount(hashed[counts].ravel(), minlength=BUCKETS)
     ids = np.nonzero(found)[0]
     return ids, found[ids]
 
@@ -68,14 +90,18 @@ class LanguageModel:
 
     def predict(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The best label's place and its calibrated probability for each text."""
-        hashed, counts, starts = pieces(texts)
-        each = self.scores[hashed[:, 0]]
-        each += self.scores[hashed[:, 1]]
-        each[~counts] = 0
-        ends = np.append(starts[1:], len(hashed))
-        total = np.add.reduceat(each, starts, axis=0, dtype=np.float64) if len(starts) else np.zeros((0, len(self.labels)))
-        number = np.add.reduceat(counts.astype(np.int64), starts) if len(starts) else np.zeros(0)
-        assert (ends > starts).all()
+        starts = lines_of(texts)
+        total, number = np.zeros((len(texts), len(self.labels))), np.zeros(len(texts), np.int64)
+        for hashed, counts, a in pieces(texts):
+            each = self.scores[hashed[:, 0]]
+            each += self.scores[hashed[:, 1]]
+            each[~counts] = 0
+            first = max(int(np.searchsorted(starts, a, "right")) - 1, 0)
+            here = starts[first : int(np.searchsorted(starts, a + len(hashed)))]
+            cuts = np.maximum(here - a, 0)
+            if len(cuts):
+                total[first : first + len(cuts)] += np.add.reduceat(each, cuts, axis=0, dtype=np.float64)
+                number[first : first + len(cuts)] += np.add.reduceat(counts.astype(np.int64), cuts)
         logits = total / np.maximum(2 * number, 1)[:, None] + self.bias
         p = softmax(logits / self.temperature)
         best = p.argmax(1)
@@ -132,20 +158,25 @@ def held_out(id_col: str) -> Column:
 
 
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: int = SAMPLE) -> LanguageModel | None:
-    """A model of the labelled rows that aren't held out; None if there are none with a letter."""
+    """A model of the labelled rows that aren't held out; None if there are none with a letter.
+
+    It learns from the ``sample`` different rows of least hash, which is also all that reaches the driver, however often a row occurs;
+    null labels, null and empty texts and those without a letter take no part. Other columns are not read.
+    """
     rows = docs.where(F.col(lang_col).isNotNull() & ~held_out(id_col) & F.col(text_col).rlike(r"\p{L}"))
-    rows = rows.select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang"), F.xxhash64(safe_id(id_col), F.col(text_col)).alias("h"))
+    rows = rows.select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang"), F.xxhash64(safe_id(id_col), F.col(text_col), F.col(lang_col)).alias("h"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = [piece_counts(*pieces(batch.column(0).slice(i, 1))[:2]) for i in range(len(batch))]
+            out = [piece_counts(batch.column(0).slice(i, 1)) for i in range(len(batch))]
             yield pa.RecordBatch.from_arrays([pa.array([i.astype(np.int32).tobytes() for i, _ in out]), pa.array([n.astype(np.int32).tobytes() for _, n in out]), *batch.columns[1:]], names=["ids", "n", "lang", "h"])
 
-    # the hash alone decides which rows: texts are fetched for the chosen ones only
-    last = rows.select("h").orderBy("h").limit(sample).agg(F.max("h")).first()[0]
+    # the hash alone decides which rows: texts are looked at for the chosen ones only, and of equal rows one is fetched
+    last = rows.select("h").distinct().orderBy("h").limit(sample).agg(F.max("h")).first()[0]
     if last is None:
         return None
-    got = rows.where(F.col("h") <= last).mapInArrow(count, "ids binary, n binary, lang string, h long").collect()
+    chosen = rows.where(F.col("h") <= last).mapInArrow(count, "ids binary, n binary, lang string, h long")
+    got = chosen.groupBy("h").agg(*[F.first(c).alias(c) for c in ("ids", "n", "lang")]).collect()
     got = sorted(got, key=lambda r: (r["h"], r["lang"]))
     features = [(np.frombuffer(r["ids"], np.int32), np.frombuffer(r["n"], np.int32)) for r in got]
     kept = [i for i, f in enumerate(features) if len(f[0])]
@@ -166,7 +197,7 @@ def identify(docs: DataFrame, model: LanguageModel | None, id_col: str = "doc_id
         for batch in batches:
             for part in slices(batch, "text", 1 << 20):
                 texts = part.column("text")
-                letter = np.array([bool(t and LETTER.search(t)) for t in texts.to_pylist()], bool)
+                letter = has_letter(texts)
                 if known is None:
                     best, score = np.zeros(len(part), int), np.zeros(len(part))
                     letter[:] = False
@@ -184,7 +215,10 @@ def identify(docs: DataFrame, model: LanguageModel | None, id_col: str = "doc_id
 
 
 def keep_identified(docs: DataFrame, model: LanguageModel | None, text_col: str = "text") -> DataFrame:
-    """``docs`` without the rows that ``identify`` rejects; one map over the rows, which keeps all their columns."""
+    """``docs`` without the rows that ``identify`` rejects; one map over the rows, which keeps all their columns, whatever their names.
+
+    Null and empty texts and those without a letter go, as do all where nothing could be learned; equal rows go or stay together.
+    """
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -192,7 +226,7 @@ def keep_identified(docs: DataFrame, model: LanguageModel | None, text_col: str
         for batch in batches:
             for part in slices(batch, text_col, 1 << 20):
                 texts = part.column(text_col)
-                fine = np.array([bool(t and LETTER.search(t)) for t in texts.to_pylist()], bool)
+                fine = has_letter(texts)
                 fine &= known.predict(pc.fill_null(texts, ""))[1] >= known.threshold if known else False
                 yield part.filter(pa.array(fine))
 

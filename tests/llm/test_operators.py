@@ -455,6 +455,62 @@ def test_languages_of_held_out_rows(documents):
     assert kept.columns == df.columns and sorted(str(r.doc_id) for r in kept.collect()) == sorted(str(r.doc_id) for r in got if not r.rejected)
 
 
+def plain_language(model, text):
+    """(label, probability) by a loop over the pieces."""
+    b = bytes(c if c >= 128 or 97 <= c <= 122 else 32 for c in text.lower().encode())
+    line, total, n = b" " + b + b"   ", np.zeros(len(model.labels)), 0
+    for i in range(len(b)):
+        if line[i + 1] != 32:
+            three = int.from_bytes(line[i : i + 3], "little")
+            four = int.from_bytes(line[i : i + 4], "little")
+            for h in ((three * 2654435761 & 0xFFFFFFFF) >> 18, ((four ^ 0x5BD1E995) * 2246822519 & 0xFFFFFFFF) >> 18):
+                total += model.scores[h]
+                n += 1
+    logits = (total / max(n, 1) + model.bias) / model.temperature
+    p = np.exp(logits - logits.max())
+    p /= p.sum()
+    return model.labels[int(p.argmax())], float(p.max())
+
+
+@pytest.mark.parametrize("part", [1, 7, 64, 1 << 17])
+def test_predictions_equal_a_plain_loop(monkeypatch, part):
+    import pyarrow as pa
+
+    monkeypatch.setattr(language_id, "PART", part)
+    rng = np.random.default_rng(4)
+    model = language_id.LanguageModel(list("abcde"), rng.normal(size=(language_id.BUCKETS, 5)).astype(np.float32), rng.normal(size=5), 0.7, 0.1)
+    draw = random.Random(3)
+    texts = ["", "a", "é", "12", "x" * 300, *["".join(draw.choice("abcé ß漢 .\n") for _ in range(draw.randint(0, 60))) for _ in range(40)], ""]
+    best, score = model.predict(pa.array(texts))
+    for t, b, x in zip(texts, best, score, strict=True):
+        label, p = plain_language(model, t)
+        assert model.labels[b] == label and abs(p - x) < 1e-5
+
+
+def test_a_very_long_text_is_summed_in_parts():
+    import tracemalloc
+
+    import pyarrow as pa
+
+    model = language_id.LanguageModel([f"l{i}" for i in range(60)], np.ones((language_id.BUCKETS, 60), np.float32), np.zeros(60), 1.0, 0.1)
+    texts = pa.array(["some words of a text " * 400_000, None, "short"])
+    tracemalloc.start()
+    model.predict(pa.compute.fill_null(texts, "") if hasattr(pa, "compute") else texts)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 200e6  # the text has 8.4 MB; a number for each place and label would be 2 GB
+
+
+def test_copies_of_a_row_come_to_the_driver_once(documents, spark, monkeypatch):
+    rows = language_rows(60)
+    df = documents(rows).unionByName(documents([(5000, "the and with from", "s0", "en")]).crossJoin(spark.range(3000).toDF("copy")).drop("copy"))
+    fitted, plain = [], language_id.fit
+    monkeypatch.setattr(language_id, "fit", lambda features, names, *a: fitted.append(len(features)) or plain(features, names, *a))
+    language_id.train(df, sample=30)
+    language_id.train(df)
+    assert fitted[0] == 30 and fitted[1] < 62
+
+
 def test_training_survives_steps_that_are_too_long():
     rng = np.random.default_rng(0)
     rows = [(np.arange(50) + 50 * (i % 2), rng.integers(1, 9, 50)) for i in range(40)]
