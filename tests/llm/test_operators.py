@@ -760,6 +760,24 @@ def test_targets_equal_resharing_and_budgets_are_met(documents, seed):
     assert sorted(map(str, got)) == sorted(map(str, again))
 
 
+def test_many_equal_rows_are_one_step_and_share_evenly(documents, spark):
+    rows = [(i, " ".join("w" * (i % 7 + 1)), "a" if i % 3 else None) for i in range(60)]
+    df = documents(rows).unionByName(documents([(None, "x y z", "hot")]).crossJoin(spark.range(5000).toDF("copy")).drop("copy"))
+    got = mixing.mix(df).groupBy("source").agg(F.sum("taken").alias("taken"), F.first("target").alias("target"), F.countDistinct("taken").alias("kinds"), F.count("*").alias("n")).collect()
+    held = {r.source: r for r in got}
+    assert held["hot"].n == 5000 and held["hot"].kinds == 1 and held["hot"].target - 5000 < held["hot"].taken <= held["hot"].target
+    assert all(abs(held[s].taken - held[s].target) <= 1 for s in ("a", None))
+
+
+def test_carried_columns_come_with_their_rows(documents):
+    rows = [(i, " ".join(["w"] * (i % 9)), f"s{i % 2}") for i in range(80)] + [(None, "p q", "s1"), (None, "p q r", "s1"), (3, "other text", "s0")]
+    df = documents(rows)
+    out = mixing.mix(df, carry=tuple(df.columns))
+    assert sorted(str((r.doc_id, r.text)) for r in out.collect()) == sorted(str(r[:2]) for r in rows)
+    plain = mixing.mix(df)
+    assert sorted(map(str, out.select(plain.columns).collect())) == sorted(map(str, plain.collect()))
+
+
 def test_mix_of_nothing_and_of_empty_texts(documents):
     assert mixing.mix(documents([(1, "a")]).limit(0)).count() == 0
     assert [(r.size, r.taken) for r in mixing.mix(documents([(1, ""), (2, None)])).collect()] == [(0, 0), (0, 0)]
