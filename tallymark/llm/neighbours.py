@@ -3,10 +3,10 @@
 Equal vectors are one node. The graph starts from neighbours within short blocks of a few orders of
 the nodes by random projections, and then improves in rounds of Spark joins: the neighbours of a node, forwards
 and backwards, meet at that node with their vectors, and each pair of them that is closer than what
-either has becomes a candidate edge. Queries start from their own node's neighbours and expand the
-closest unexpanded nodes of their beams, again by joins.
+either has becomes a candidate edge; rounds go on until few edges change. Queries start from their own node and expand the
+closest unexpanded nodes of their beams, again by joins, until a beam has no unexpanded node left.
 
-Every shuffle is linear in the number of nodes: K + REVERSE rows with a vector each.
+Every shuffle is linear in the number of nodes: K + REVERSE rows with a coded vector each.
 """
 
 from __future__ import annotations
@@ -21,21 +21,21 @@ from pyspark.sql import functions as F
 
 from tallymark.llm.common import Workspace, table
 
-#: Neighbours kept for a node; backward neighbours that join in a round; orders to start from, and their blocks.
-K, REVERSE, ORDERS, BLOCK = 40, 20, 12, 2048
-#: Rounds of improvement at most; they end when fewer than this share of the edges change.
-ROUNDS, SETTLED = 4, 0.08
-#: Beam of a query, nodes expanded a step, steps.
-BEAM, EXPAND, STEPS = 64, 16, 3
+#: Neighbours kept for a node; backward neighbours that join in a round, and that a search follows; orders to start from, their blocks, and neighbours taken from each.
+K, REVERSE, ORDERS, BLOCK, FIRST = 40, 20, 4, 2048, 20
+#: Signs of random projections that make a code: ORDERS x 2 ** BITS codes at most.
+BITS = 16
+#: Rounds of improvement end when fewer than this share of the edges change.
+SETTLED = 0.02
+#: Beam of a query, and nodes expanded in a step; steps go on until a beam has none to expand.
+BEAM, EXPAND = 256, 64
 
 
 def valid_vectors(rows: DataFrame, id_col: str, vector_col: str) -> DataFrame:
-    """(vec_id, v): vectors that aren't null, empty or zero and hold finite numbers only, as doubles, of the most frequent length."""
+    """(vec_id, v): vectors that aren't null, empty or zero and hold finite numbers only, as doubles."""
     v = F.col(vector_col).cast("array<double>")
     fine = F.col(id_col).isNotNull() & v.isNotNull() & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(v, lambda x: x != 0)
-    kept = rows.where(F.coalesce(fine, F.lit(False))).select(F.col(id_col).alias("vec_id"), F.transform(v, lambda x: x + F.lit(0.0)).alias("v"))
-    top = kept.groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), "n").first()
-    return kept.where(F.size("v") == (top["n"] if top else 0))
+    return rows.where(F.coalesce(fine, F.lit(False))).select(F.col(id_col).alias("vec_id"), F.transform(v, lambda x: x + F.lit(0.0)).alias("v"))
 
 
 def distance(a: Column, b: Column) -> Column:
@@ -51,9 +51,11 @@ def _matrix(column: pa.Array, dims: int) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, dims).astype(np.float32)
 
 
-def _squares(m: np.ndarray) -> np.ndarray:
-    own = (m.astype(np.float64) ** 2).sum(1)
-    return np.maximum(own[:, None] + own[None, :] - 2 * (m.astype(np.float64) @ m.T.astype(np.float64)), 0)
+def _squares(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Squared distances, about; from the middle of ``b``, as a far origin would cost digits."""
+    middle = b.mean(0, dtype=np.float64).astype(np.float32)
+    a, b = a - middle, b - middle
+    return np.maximum((a**2).sum(1)[:, None] + (b**2).sum(1)[None, :] - 2 * (a @ b.T), 0)
 
 
 def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -80,34 +82,55 @@ def _edges(a: np.ndarray, b: np.ndarray, d: np.ndarray) -> pa.RecordBatch:
 EDGE = "a long, b long, d double"
 
 
-def starting_edges(nodes: DataFrame, dims: int, k: int, orders: int, block: int, seed: int = 11) -> DataFrame:
-    """Candidate edges (a, b, d): the nearest within blocks of nodes that lie next to each other by random projections."""
+def centre(nodes: DataFrame, dims: int) -> np.ndarray:
+    """The mean vector: a sum from each task."""
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, n = np.zeros(dims), 0
+        for batch in batches:
+            total += _matrix(batch.column(0), dims).sum(0, dtype=np.float64)
+            n += len(batch)
+        yield pa.RecordBatch.from_arrays([pa.array([0], pa.int32()), pa.array([total.tolist()], pa.list_(pa.float64())), pa.array([n], pa.int64())], names=["one", "total", "n"])
+
+    sums = nodes.select("v").mapInArrow(add, "one int, total array<double>, n long").groupBy("one").agg(*[F.sum(F.get("total", F.lit(i))).alias(f"s{i}") for i in range(dims)], F.sum("n").alias("n")).first()
+    return np.array([sums[f"s{i}"] for i in range(dims)]) / max(sums["n"], 1) if sums else np.zeros(dims)
+
+
+def starting_edges(nodes: DataFrame, dims: int, mean: np.ndarray, work: Workspace, seed: int = 11) -> DataFrame:
+    """Candidate edges (a, b, d): the nearest within blocks of nodes that lie next to each other by random projections.
+
+    A block is a run of codes, in their order, with BLOCK nodes or more; a code of very many nodes is split by a hash of them. So blocks
+    are bounded, and follow from the nodes alone.
+    """
     rng = np.random.default_rng(seed)
-    planes = rng.normal(size=(orders, 17, dims)).astype(np.float32)
+    planes = rng.normal(size=(ORDERS, BITS, dims)).astype(np.float32)
+    mean = mean.astype(np.float32)
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            m = _matrix(batch.column(1), dims)
-            for o in range(orders):
-                shadow = m @ planes[o].T
-                code = ((shadow[:, :16] > 0) << np.arange(16)).sum(1)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(m), o, np.int32)), pa.array(code.astype(np.int32)), pa.array(shadow[:, 16].astype(np.float64)), *batch.columns], names=["o", "code", "at", "node", "v"])
+            m = _matrix(batch.column(1), dims) - mean
+            for o in range(ORDERS):
+                code = ((m @ planes[o].T > 0) << np.arange(BITS)[::-1]).sum(1)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(m), o, np.int32)), pa.array(code.astype(np.int32)), batch.column(0)], names=["o", "code", "node"])
 
     def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids, m = batch.column("node").to_numpy(zero_copy_only=False), _matrix(batch.column("v"), dims)
-            out = []
-            for s in range(0, len(ids), block):
-                own, d = ids[s : s + block], _squares(m[s : s + block])
-                np.fill_diagonal(d, np.inf)
-                kept = min(k, len(own) - 1)
-                best = np.argpartition(d, kept - 1, axis=1)[:, :kept] if kept else np.zeros((len(own), 0), int)
-                out.append((np.repeat(own, best.shape[1]), own[best].ravel(), np.take_along_axis(d, best, 1).ravel()))
-            yield _edges(*(np.concatenate(x) for x in zip(*out, strict=True)))
-
-    placed = nodes.mapInArrow(place, "o int, code int, at double, node long, v array<float>")
-    sorted_ = placed.repartitionByRange("o", "code", "at", "node").sortWithinPartitions("o", "code", "at")
-    return sorted_.mapInArrow(near, EDGE)
+        for group in _groups(batches):
+            ids, m = group.column("node").to_numpy(zero_copy_only=False), _matrix(group.column("v"), dims)
+            kept = min(FIRST, len(ids) - 1)
+            for s in range(0, len(ids) if kept else 0, BLOCK):
+                d = _squares(m[s : s + BLOCK], m)
+                d[np.arange(len(d)), s + np.arange(len(d))] = np.inf
+                best = np.argpartition(d, kept - 1, axis=1)[:, :kept]
+                yield _edges(np.repeat(ids[s : s + BLOCK], kept), ids[best].ravel(), np.take_along_axis(d, best, 1).ravel())
+
+    placed = work.write(nodes.mapInArrow(place, "o int, code int, node long"), "placed")
+    # at most ORDERS * 2 ** BITS rows, 262,144, however many nodes there are
+    codes = placed.groupBy("o", "code").agg(F.count("*").alias("n"))
+    before = Window.partitionBy("o").orderBy("code").rowsBetween(Window.unboundedPreceding, -1)
+    codes = codes.withColumn("block", F.floor(F.coalesce(F.sum("n").over(before), F.lit(0)) / BLOCK)).withColumn("parts", F.ceil(F.col("n") / (2 * BLOCK)))
+    grouped = placed.join(F.broadcast(codes), ["o", "code"]).select(F.xxhash64("o", "block", F.when(F.col("parts") > 1, F.struct(F.col("code"), F.pmod(F.xxhash64("node"), F.col("parts"))))).alias("group"), "node")
+    dealt = grouped.join(nodes, "node").select("group", "node", "v").repartition("group").sortWithinPartitions("group", "node")
+    return dealt.mapInArrow(near, EDGE)
 
 
 def _pairs(dims: int):
@@ -121,7 +144,8 @@ def _pairs(dims: int):
                 continue
             far = group.column(2).to_numpy(zero_copy_only=False)[first]
             fresh = group.column(3).to_numpy(zero_copy_only=False)[first].astype(bool)
-            d = _squares(_matrix(group.column(5), dims)[first] * group.column(4).to_numpy(zero_copy_only=False)[first, None])
+            m = (_matrix(group.column(5), dims)[first] * group.column(4).to_numpy(zero_copy_only=False)[first, None]).astype(np.float32)
+            d = _squares(m, m)
             np.fill_diagonal(d, np.inf)
             i, j = np.nonzero((d < far[:, None]) & (fresh[:, None] | fresh[None, :]))
             out.append((u[i], u[j], d[i, j]))
@@ -135,14 +159,16 @@ def _pairs(dims: int):
     return join
 
 
-def neighbour_graph(nodes: DataFrame, dims: int, work: Workspace, k: int = K, reverse: int = REVERSE, rounds: int = ROUNDS, settled: float = SETTLED) -> DataFrame:
+def neighbour_graph(nodes: DataFrame, dims: int, work: Workspace, k: int = K, reverse: int = REVERSE, settled: float = SETTLED) -> DataFrame:
     """(a, b, d): about the k nearest nodes b of each node a of ``nodes`` (node, v array<float>), d the squared distance."""
-    # in the rounds a vector is its components in steps of a 127th of the largest: a fourth of the bytes
-    scale = F.array_max(F.transform("v", lambda x: F.abs(x))) / 127
-    codes = nodes.select(F.col("node").alias("u"), scale.cast("float").alias("scale"), F.transform("v", lambda x: F.round(x / scale).cast("byte")).alias("code"))
+    # in the rounds a vector is what parts it from the mean, in steps of a 32,767th of the largest component: half the bytes
+    mean = centre(nodes, dims)
+    apart = nodes.select(F.col("node").alias("u"), F.zip_with("v", F.array(*[F.lit(float(x)) for x in mean]), lambda x, m: x - m).alias("x"))
+    scale = F.greatest(F.array_max(F.transform("x", lambda x: F.abs(x))), F.lit(1e-30)) / 32767
+    codes = apart.select("u", scale.cast("float").alias("scale"), F.transform("x", lambda x: F.round(x / scale).cast("short")).alias("code"))
     codes = work.write(codes, "codes")
-    graph = work.write(_top(starting_edges(nodes, dims, k, ORDERS, BLOCK).groupBy("a", "b").agg(F.min("d").alias("d")), "a", ["d", "b"], k).withColumn("fresh", F.lit(True)), "graph-0")
-    for i in range(1, rounds + 1):
+    graph = work.write(_top(starting_edges(nodes, dims, mean, work).groupBy("a", "b").agg(F.min("d").alias("d")), "a", ["d", "b"], k).withColumn("fresh", F.lit(True)), "graph-0")
+    for i in itertools.count(1):
         far = graph.groupBy("a").agg(F.when(F.count("*") >= k, F.max("d")).otherwise(F.lit(float("inf"))).alias("far")).withColumnRenamed("a", "u")
         back = _top(graph.select(F.col("b").alias("node"), F.col("a").alias("u"), "fresh"), "node", [F.desc("fresh"), F.xxhash64("u", F.lit(i))], reverse)
         meet = graph.select(F.col("a").alias("node"), F.col("b").alias("u"), "fresh").unionByName(back)
@@ -155,8 +181,34 @@ def neighbour_graph(nodes: DataFrame, dims: int, work: Workspace, k: int = K, re
         work.drop(f"graph-{i - 1}")
         changed = graph.agg(F.count("*").alias("n"), F.count_if("fresh").alias("fresh")).first()
         if changed["fresh"] <= settled * changed["n"]:
+            return graph.select("a", "b", "d")
+
+
+def search(asked: DataFrame, nodes: DataFrame, links: DataFrame, work: Workspace, n: int) -> DataFrame:
+    """(q, b, d): the nodes nearest to each q of ``asked`` (q, qv) that a greedy search along ``links`` (a, b) finds, exactly measured."""
+    short = nodes.select(F.col("node").alias("b"), F.col("v").cast("array<float>").alias("v"))
+    briefly = asked.select("q", F.col("qv").cast("array<float>").alias("qv"))
+
+    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if len(batch):
+                dims = len(batch.column(2)[0])
+                d = ((_matrix(batch.column(2), dims) - _matrix(batch.column(3), dims)) ** 2).sum(1, dtype=np.float64)
+                yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(d)], names=["q", "b", "d"])
+
+    measured = lambda pairs: pairs.join(short, "b").join(briefly, "q").select("q", "b", "v", "qv").mapInArrow(measure, "q long, b long, d double")
+    beam = work.write(asked.select("q", F.col("q").alias("b"), F.lit(0.0).alias("d"), F.lit(False).alias("done")), "beam-0")
+    for i in itertools.count(1):
+        front = work.write(_top(beam.where("not done"), "q", ["d", "b"], EXPAND).select("q", F.col("b").alias("a")), f"front-{i}")
+        if front.isEmpty():
             break
-    return graph.select("a", "b", "d")
+        reached = front.join(links, "a").select("q", "b").distinct().join(beam.select("q", "b"), ["q", "b"], "left_anti")
+        opened = beam.join(front.select("q", F.col("a").alias("b"), F.lit(True).alias("now")), ["q", "b"], "left").select("q", "b", "d", (F.col("done") | F.coalesce("now", F.lit(False))).alias("done"))
+        # a node that has left the beam may come again, but what it was measured against has only come closer
+        beam = work.write(_top(opened.unionByName(measured(reached).withColumn("done", F.lit(False))), "q", ["d", "b"], BEAM), f"beam-{i}")
+        work.drop(f"beam-{i - 1}")
+    last = _top(beam, "q", ["d", "b"], 2 * n).select("q", "b").join(nodes.withColumnRenamed("node", "b"), "b").join(asked, "q")
+    return last.select("q", "b", distance(F.col("qv"), F.col("v")).alias("d"))
 
 
 def nearest(rows: DataFrame, is_query: Column, id_col: str = "vec_id", vector_col: str = "embedding", n: int = 10, k: int = K) -> DataFrame:
@@ -164,34 +216,30 @@ def nearest(rows: DataFrame, is_query: Column, id_col: str = "vec_id", vector_co
 
     Nearest first, ties by smaller id, the Euclidean distance in double precision on the original
     vectors; the row's own id is no candidate. Vectors that are null, empty, zero or hold nulls or numbers that aren't
-    finite take no part, nor do null ids and vectors of another length than the most frequent one; equal (id, vector) rows count once. Columns other
-    than the two named are not read.
+    finite take no part, nor do null ids; vectors of different lengths have no distance, so each length is searched by itself. Equal (id, vector) rows
+    count once. Columns other than the two named are not read.
     """
-    work = Workspace(rows.sparkSession)
-    valid = work.write(valid_vectors(rows, id_col, vector_col), "valid")
+    spark, found = rows.sparkSession, None
+    valid = Workspace(spark).write(valid_vectors(rows, id_col, vector_col), "valid")
+    for dims in [r[0] for r in valid.groupBy(F.size("v").alias("dims")).agg(F.count("*")).orderBy("dims").select("dims").toLocalIterator()]:
+        got = _nearest_of_length(valid.where(F.size("v") == dims), dims, is_query, Workspace(spark), n, k)
+        found = got if found is None else found.unionByName(got)
+    return found if found is not None else spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+
+
+def _nearest_of_length(valid: DataFrame, dims: int, is_query: Column, work: Workspace, n: int, k: int) -> DataFrame:
     # one node a distinct vector, named by its least id; of its members the n + 1 least ids can be in a result
     nodes = work.write(valid.groupBy("v").agg(F.min("vec_id").alias("node")), "nodes")
-    member = valid.join(nodes, "v").select("node", "vec_id").distinct()
-    member = work.write(member, "member")
+    member = work.write(valid.join(nodes, "v").select("node", "vec_id").distinct(), "member")
     shown = _top(member, "node", ["vec_id"], n + 1)
-    head = nodes.select(F.size("v").alias("dims")).first()
-    dims = head["dims"] if head else 1
     graph = neighbour_graph(nodes.select("node", F.col("v").cast("array<float>").alias("v")), dims, work, k)
-    graph = work.write(graph.select("a", "b").union(graph.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "links")
-
+    # a search follows a node's own edges, and of the others that lead to it the shortest: many may lead to a hub
+    own = graph.select("a", "b")
+    others = graph.select(F.col("b").alias("a"), F.col("a").alias("b"), "d").join(own, ["a", "b"], "left_anti")
+    links = work.write(own.unionByName(_top(others, "a", ["d", "b"], REVERSE).select("a", "b")), "links")
     asked = member.where(is_query).select(F.col("node").alias("q")).distinct()
     asked = work.write(asked.join(nodes.withColumnRenamed("node", "q").withColumnRenamed("v", "qv"), "q"), "asked")
-    short = nodes.select(F.col("node").alias("b"), F.col("v").cast("array<float>").alias("v"))
-    measured = lambda pairs: pairs.join(short, "b").join(asked, "q").select("q", "b", distance(F.col("qv"), F.col("v")).alias("d"))
-    beam = work.write(asked.select("q", F.col("q").alias("b"), F.lit(0.0).alias("d"), F.lit(False).alias("done")), "beam-0")
-    for i in range(1, STEPS + 1):
-        front = _top(beam.where("not done"), "q", ["d", "b"], EXPAND).select("q", F.col("b").alias("a"))
-        reached = front.join(graph, "a").select("q", "b").distinct().join(beam.select("q", "b"), ["q", "b"], "left_anti")
-        opened = beam.join(front.select("q", F.col("a").alias("b"), F.lit(True).alias("now")), ["q", "b"], "left").select("q", "b", "d", (F.col("done") | F.coalesce("now", F.lit(False))).alias("done"))
-        beam = work.write(_top(opened.unionByName(measured(reached).withColumn("done", F.lit(False))), "q", ["d", "b"], BEAM), f"beam-{i}")
-    # equal vectors beyond the beam can't displace what is in it; the last measure is exact
-    last = _top(beam, "q", ["d", "b"], 2 * n).select("q", "b").join(nodes.withColumnRenamed("node", "b"), "b").join(asked, "q")
-    beam = last.select("q", "b", distance(F.col("qv"), F.col("v")).alias("d"))
+    beam = search(asked, nodes, links, work, n)
     queries = member.where(is_query).select(F.col("vec_id").alias("query_id"), F.col("node").alias("q"))
     hits = queries.join(beam, "q").select("query_id", F.col("b").alias("node"), "d").join(shown, "node").where("vec_id <> query_id")
     ranked = hits.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("d", "vec_id"))).where(F.col("rank") <= n)

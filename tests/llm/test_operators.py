@@ -287,6 +287,30 @@ def test_neighbours_of_few_and_of_none(spark):
     assert neighbours.nearest(df.limit(0), F.col("vec_id") == 0).count() == 0
 
 
+def test_each_length_is_searched_by_itself(spark):
+    rows = [(i, [float(i), 1.0]) for i in range(1, 6)] + [(i, [float(i), 1.0, 2.0]) for i in range(10, 13)] + [(20, [3.0])]
+    got = neighbours.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") % 10 == 0, n=3).collect()
+    assert sorted((r.query_id, r.rank, r.vec_id, r.score) for r in got) == [(10, 1, 11, 1.0), (10, 2, 12, 2.0)]
+
+
+@pytest.mark.parametrize("tight", [False, True])
+def test_recall_over_many_blocks_whatever_the_batches(spark, monkeypatch, tight):
+    """More blocks than one order could cover, and a code that most vectors share; batches of Arrow change nothing."""
+    monkeypatch.setattr(neighbours, "BLOCK", 64)
+    rng = np.random.default_rng(9)
+    m = rng.normal(size=(2000, 16)).astype(np.float32)
+    if tight:
+        m[500:] = m[500:] * 1e-3 + 5
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(m)], "vec_id long, embedding array<float>")
+    results = []
+    for batch in ("10000", "77") if tight else ("77",):
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+        results.append(sorted((r.query_id, r.rank, r.vec_id) for r in neighbours.nearest(df, F.col("vec_id") % 100 == 0).collect()))
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    want = {(q, v) for q in range(0, 2000, 100) for v, _ in brute_nearest(np.arange(2000), m.astype(float), q)}
+    assert results[0] == results[-1] and len({(q, v) for q, _, v in results[0]} & want) >= 0.97 * len(want)
+
+
 # -- 4: decontamination -------------------------------------------------------------------------
 
 
