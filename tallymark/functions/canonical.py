@@ -54,13 +54,22 @@ def folded(x: Column, trim: bool, lower: bool) -> Column:
     return F.lower(x) if lower else x
 
 
+def _in_utc_session(plain: Column, anywhere: Column) -> Column:
+    """``plain`` where the session's zone is UTC, else ``anywhere``, which gives the same in any zone; the optimizer leaves one of them."""
+    return F.when(F.current_timezone().isin("UTC", "Etc/UTC", "Z"), plain).otherwise(anywhere)
+
+
+def _pattern(precision: int) -> str:
+    return "yyyy-MM-dd'T'HH:mm:ss" + ("." + "S" * precision if precision else "") + "'Z'"
+
+
 def _stamp(x: Column, precision: int = 6) -> Column:
-    """ISO text with a ``Z`` of a timestamp without zone: by its own text, as ``date_format`` would go through the session's zone."""
+    """ISO text with a ``Z`` of a timestamp without zone: ``date_format`` goes through the session's zone, so in others than UTC it is the timestamp's own text."""
     raw = x.cast("string")
-    parts = F.split(raw, "[.]", 2)
-    whole = F.replace(F.element_at(parts, 1), F.lit(" "), F.lit("T"))
-    digits = F.substring(F.rpad(F.coalesce(F.get(parts, F.lit(1)), F.lit("")), 6, "0"), 1, precision)
-    return F.when(raw.isNotNull(), F.concat(whole, F.lit("."), digits, F.lit("Z")) if precision else F.concat(whole, F.lit("Z")))
+    whole = F.replace(F.substring_index(raw, ".", 1), F.lit(" "), F.lit("T"))
+    digits = F.when(raw.contains("."), F.substring_index(raw, ".", -1)).otherwise(F.lit(""))
+    own = F.concat(whole, F.lit("."), F.substring(F.rpad(digits, 6, "0"), 1, precision), F.lit("Z")) if precision else F.concat(whole, F.lit("Z"))
+    return _in_utc_session(F.date_format(x, _pattern(precision)), own)
 
 
 def in_utc(x: Column) -> Column:
@@ -74,7 +83,7 @@ def _local(x: Column, zone: str) -> Column:
 
 
 def instant(x: Column) -> Column:
-    return _stamp(in_utc(x))
+    return _in_utc_session(F.date_format(x, _pattern(6)), _stamp(in_utc(x)))
 
 
 def naive(x: Column, zone: str = "UTC") -> Column:
