@@ -45,11 +45,16 @@ def duplicate_keys(df: DataFrame, keys: list[str]) -> DataFrame:
     return df.groupBy(*[F.col(f"`{k}`") for k in keys]).agg(F.count("*").alias("n")).where("n > 1")
 
 
-def require_unique(df: DataFrame, name: str, keys: list[str]) -> int:
-    """The number of rows, if no key occurs twice: one aggregation by key gives both."""
+def key_check(df: DataFrame, keys: list[str]) -> DataFrame:
+    """(rows, twice): the number of rows and the least key that occurs more than once, by one aggregation."""
     each = df.groupBy(*[F.col(f"`{k}`") for k in keys]).agg(F.count("*").alias("n"))
     key = F.struct(*[F.col(f"`{k}`") for k in keys])
-    found = each.agg(F.sum("n").alias("rows"), F.min(F.when(F.col("n") > 1, key)).alias("twice")).first()
+    return each.agg(F.sum("n").alias("rows"), F.min(F.when(F.col("n") > 1, key)).alias("twice"))
+
+
+def require_unique(df: DataFrame, name: str, keys: list[str]) -> int:
+    """The number of rows, if no key occurs twice."""
+    found = key_check(df, keys).first()
     if found["twice"] is not None:
         raise KeyNotUnique(name, keys, tuple(found["twice"]))
     return found["rows"] or 0
@@ -64,6 +69,16 @@ def sampled(df: DataFrame, keys: list[Pair], side: str, options: Options, percen
     return df.where(sample_bucket(keys, side, options) < F.lit(round(percent * SAMPLE_UNITS / 100)))
 
 
+def sample_keys(df: DataFrame, key: str, n: int, seed: int = 0) -> DataFrame:
+    """n keys (all, if fewer) in their order, drawn by a seeded hash of each, so reruns agree; equal keys are drawn once, nulls never.
+
+    Each task keeps its n least hashes, so no more than that leaves it.
+    """
+    keys = df.select(F.col(f"`{key}`").alias(key)).where(F.col(f"`{key}`").isNotNull()).distinct()
+    drawn = F.md5(F.concat(F.lit(f"{seed}:"), F.col(f"`{key}`").cast("string")))
+    return keys.orderBy(drawn, F.col(f"`{key}`")).limit(n).orderBy(F.col(f"`{key}`"))
+
+
 def percent_for(rows: int, largest: int) -> float:
     """The percentage that gives about ``rows`` of the larger side's rows."""
     return min(100.0, rows * 100.0 / largest) if largest else 100.0

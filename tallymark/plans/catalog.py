@@ -301,6 +301,12 @@ _BUCKET = f"((({_SIGNED.format(x='''(length(CAST(event_id AS VARCHAR)) || ':' ||
 _EVENT_KEY = [Pair("event_id", "event_id", Rule.INT, T.LongType(), T.LongType())]
 
 
+@register("sample_keys", "WITH k AS (SELECT DISTINCT c_name FROM customer WHERE c_name IS NOT NULL), d AS (SELECT c_name FROM k ORDER BY md5('7:' || c_name), c_name LIMIT 100) SELECT c_name FROM d")
+def sample_keys(spark, sf_dir):
+    """A sampling operator: a hundred keys of a text column, by their hash."""
+    return basics.sample_keys(table(spark, sf_dir, "customer"), "c_name", 100, seed=7)
+
+
 @register("sample_pct", f"SELECT event_id, event_type FROM events WHERE {_BUCKET} < 50000")
 def sample_pct(spark, sf_dir):
     """A sampling operator: five per cent of the rows, by their keys' hash."""

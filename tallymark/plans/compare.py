@@ -7,13 +7,12 @@ from dataclasses import dataclass, field
 
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from tallymark.errors import Contradiction, EmptySample, MissingKey
 from tallymark.functions.canonical import MARKER
 from tallymark.model import Algorithm, DiffResult, Notice, Options, Pair, RowDiff, Rule
 from tallymark.operators import basics, joindiff
-from tallymark.operators.hashdiff import choose_segment, hashdiff, with_hashes
+from tallymark.operators.hashdiff import SIDES, Segmented, choose_segment, hashdiff, segment_bounds, with_hashes
 from tallymark.operators.matching import match_columns
 from tallymark.operators.segments import ROWS_PER_SEGMENT, segment_statistics
 from tallymark.sources.readers import Table
@@ -47,13 +46,18 @@ class Prepared:
     values: list[Pair]
     left_out: list[str]
     notices: list[Notice]
-    raw: tuple[DataFrame, DataFrame]
+    whole: tuple[DataFrame, DataFrame]  # filtered, but not sampled
     source: DataFrame
     target: DataFrame
     sample: float | None = None
     counts: tuple[int, int] | None = None
     reads: int = 0  # of each side so far
 
+    def key_checks(self) -> list[tuple[str, DataFrame]]:
+        """What tells whether the key is unique, by title."""
+        names = [p.source for p in self.keys], [p.target for p in self.keys]
+        return [(f"key unique in the {side}", basics.key_check(df, keys)) for side, df, keys in zip(SIDES, self.whole, names, strict=True)]
+
     @property
     def key_names(self) -> list[str]:
         return [p.source for p in self.keys]
@@ -76,7 +80,7 @@ def prepare(source: Table, target: Table, request: Request, check: bool = True)
     keys, values, left_out, notices = match_columns(source.df.schema, target.df.schema, key, options, request.columns, request.exclude, request.column_map, {**target.hints, **source.hints})
     s = basics.filtered(source.df, request.where_source or request.where)
     t = basics.filtered(target.df, request.where_target or request.where)
-    counts, reads = None, 0
+    whole, counts, reads = (s, t), None, 0
     if check:
         counts, reads = (basics.require_unique(s, source.name, [p.source for p in keys]), basics.require_unique(t, target.name, [p.target for p in keys])), 1
     percent = request.sample
@@ -87,18 +91,17 @@ def prepare(source: Table, target: Table, request: Request, check: bool = True)
     if percent is not None and percent < 100:
         s, t = basics.sampled(s, keys, "source", options, percent), basics.sampled(t, keys, "target", options, percent)
         if check:
-            whole, counts, reads = counts, (s.count(), t.count()), reads + 1
-            if not any(counts) and any(whole):
+            before, counts, reads = counts, (s.count(), t.count()), reads + 1
+            if not any(counts) and any(before):
                 raise EmptySample(f"a sample of {percent:g} % holds no row: that proves nothing")
-    return Prepared(keys, values, left_out, notices, (s, t), basics.canonical_side(s, "source", keys, values, options), basics.canonical_side(t, "target", keys, values, options), percent, counts, reads)
+    return Prepared(keys, values, left_out, notices, whole, basics.canonical_side(s, "source", keys, values, options), basics.canonical_side(t, "target", keys, values, options), percent, counts, reads)
 
 
-def find_differences(ready: Prepared, algorithm: Algorithm, request: Request) -> tuple[DataFrame, int, int, int]:
-    """(differences, segments examined, segments that disagree, reads of each side)."""
+def find_differences(ready: Prepared, algorithm: Algorithm, request: Request) -> Segmented:
+    """The differences, and what was run on the way to them."""
     if algorithm is Algorithm.JOINDIFF:
-        return joindiff.differences(ready.source, ready.target, ready.key_names, ready.values), 1, 0, 1
-    found = hashdiff(ready.source, ready.target, ready.key_names, ready.values, request.rows_per_segment, request.row_threshold)
-    return found.diffs, found.segments, found.bad, found.reads
+        return Segmented(joindiff.differences(ready.source, ready.target, ready.key_names, ready.values), 1, 0, 1)
+    return hashdiff(ready.source, ready.target, ready.key_names, ready.values, request.rows_per_segment, request.row_threshold)
 
 
 def shown(value: str | None) -> str:
@@ -114,15 +117,16 @@ def compare(source: Table, target: Table, request: Request = Request()) -> DiffR
     began = time.time()
     algorithm = choose(request, source, target)
     ready = prepare(source, target, request)
-    diffs, segments, bad, reads = find_differences(ready, algorithm, request)
-    result = DiffResult(source.label, target.label, ready.key_names, algorithm, notices=list(ready.notices), excluded_columns=ready.left_out, segments_examined=segments, sample_pct=ready.sample)
+    found = find_differences(ready, algorithm, request)
+    diffs = found.diffs
+    result = DiffResult(source.label, target.label, ready.key_names, algorithm, notices=list(ready.notices), excluded_columns=ready.left_out, segments_examined=found.segments, sample_pct=ready.sample)
     kept = diffs.persist(StorageLevel.MEMORY_AND_DISK)
     try:
         counts = joindiff.tally(kept).first()
         result.missing, result.extra, result.changed = counts["missing"], counts["extra"], counts["changed"]
         result.source_count, result.target_count = ready.counts
-        if bad and not (result.missing or result.extra or result.changed):
-            raise Contradiction(f"{bad} segments disagree but no row does")
+        if found.bad and not (result.missing or result.extra or result.changed):
+            raise Contradiction(f"{found.bad} segments disagree but no row does")
         if result.source_count - result.missing != result.target_count - result.extra:
             raise Contradiction("rows missing and extra don't account for the row counts: an input changed meanwhile")
         for row in joindiff.first_differences(kept, ready.key_names, request.max_diff_rows).collect():
@@ -134,8 +138,8 @@ def compare(source: Table, target: Table, request: Request = Request()) -> DiffR
     if result.source_count != result.target_count:
         result.notices.append(Notice(f"row counts differ: {result.source_count} in the source, {result.target_count} in the target"))
     result.diffs, result.elapsed_seconds = diffs, time.time() - began
-    result.statements = [logical(diffs)]
-    result.jobs = ready.reads + reads
+    result.statements = [f"-- {title}\n{logical(df)}" for title, df in [*ready.key_checks(), *found.steps, ("row differences", diffs)]]
+    result.jobs = ready.reads + found.reads
     return result
 
 
@@ -148,13 +152,13 @@ def explain(source: Table, target: Table, request: Request = Request()) -> str:
     """The plans that ``compare`` would run. Rows are read only where a plan depends on them: the bounds of the segments, if it would go by hashes."""
     ready = prepare(source, target, request, check=False)
     plain = lambda df: df._jdf.queryExecution().explainString(df.sparkSession._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
-    parts = [("key unique in the source", basics.duplicate_keys(ready.raw[0], [p.source for p in ready.keys])), ("key unique in the target", basics.duplicate_keys(ready.raw[1], [p.target for p in ready.keys]))]
+    parts = ready.key_checks()
     notes = [f"-- note: {n.message}" for n in ready.notices]
     if choose(request, source, target) is Algorithm.HASHDIFF:
         names = [p.source for p in ready.values]
         segment, n, _ = choose_segment(ready.source, ready.target, ready.key_names, request.rows_per_segment)
         notes.append(f"-- note: {n} segments; rows of those that disagree are hashed again in finer ones, and compared one by one where these disagree too")
-        for side, df in (("source", ready.source), ("target", ready.target)):
-            parts += [(f"bounds of the {side}", df.agg(F.count("*").alias("n"))), (f"segment statistics of the {side}", segment_statistics(with_hashes(df, ready.key_names, names).withColumn("seg", segment), ["seg"]))]
+        for side, df in zip(SIDES, (ready.source, ready.target), strict=True):
+            parts += [(f"bounds of the {side}", segment_bounds(df, ready.key_names)), (f"segment statistics of the {side}", segment_statistics(with_hashes(df, ready.key_names, names).withColumn("seg", segment), ["seg"]))]
     parts.append(("row differences", joindiff.differences(ready.source, ready.target, ready.key_names, ready.values)))
     return "\n".join([*notes, *(f"-- {title}\n{plain(df)}" for title, df in parts)])

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tallymark import errors as E
 from tallymark.model import Algorithm, Options, Rule
-from tallymark.operators import segments
+from tallymark.operators import basics, segments
 from tallymark.operators.matching import match_columns
 from tallymark.plans.compare import Request, compare, explain
 from tallymark.sources import Table
@@ -215,3 +215,21 @@ def test_text_keys_are_cut_by_quantiles(spark, monkeypatch):
     assert len(sizes) == 30 and set(sizes) == {100}
     found = compare(Table(a, "a", "a"), Table(b, "b", "b"), Request(key=["k"], algorithm=Algorithm.HASHDIFF, rows_per_segment=100, row_threshold=10))
     assert (found.missing, found.extra, found.changed, found.segments_examined) == (1, 1, 1, 30)
+
+
+def test_keys_are_drawn_once_and_alike(spark):
+    df = spark.range(400).select(F.when(F.col("id") % 10 > 0, F.format_string("k%03d", F.col("id") % 200)).alias("k"))
+    drawn, again, other = ([r.k for r in basics.sample_keys(df.repartition(parts), "k", 50, seed).collect()] for parts, seed in ((1, 0), (7, 0), (7, 1)))
+    assert drawn == again == sorted(set(drawn)) and len(drawn) == 50 and drawn != other
+    assert len(basics.sample_keys(df, "k", 1000).collect()) == 180 and basics.sample_keys(df.limit(0), "k", 5).isEmpty()
+
+
+def test_every_step_is_in_the_log(spark):
+    a = spark.range(2000).selectExpr("id", "id % 5 as v")
+    b = a.withColumn("v", F.when(F.col("id") == 7, 9).otherwise(F.col("v")))
+    titles = lambda result: [s.splitlines()[0].removeprefix("-- ") for s in result.statements]
+    hashed, joined = (compare(Table(a, "a", "a"), Table(b, "b", "b"), Request(key=["id"], algorithm=x)) for x in (Algorithm.HASHDIFF, Algorithm.JOINDIFF))
+    each = lambda what: [f"{what} the source", f"{what} the target"]
+    assert titles(joined) == [*each("key unique in"), "row differences"]
+    assert titles(hashed) == [*each("key unique in"), *each("bounds of"), *each("segment statistics of"), *each("finer statistics of"), "row differences"]
+    assert hashed.changed == joined.changed == 1 and all("Aggregate" in s for s in hashed.statements[:-1])
