@@ -57,6 +57,7 @@ def first_differences(diffs: DataFrame, keys: list[str], n: int) -> DataFrame:
     return diffs.orderBy(*[F.col(f"`{k}`").asc_nulls_first() for k in keys]).limit(n)
 
 
-def changed_cells(diffs: DataFrame, keys: list[str]) -> DataFrame:
-    """A row for each changed value: (keys, column, source, target, rule)."""
-    return diffs.where(F.col("kind") == "changed").select(*[F.col(f"`{k}`") for k in keys], F.inline("changes"))
+def changed_cells(diffs: DataFrame, keys: list[str], columns: list[str] | None = None) -> DataFrame:
+    """A row for each changed value, of ``columns`` alone if they are given: (keys, column, source, target, rule)."""
+    cells = F.col("changes") if columns is None else F.filter("changes", lambda c: c["column"].isin(columns))
+    return diffs.where(F.col("kind") == "changed").select(*[F.col(f"`{k}`") for k in keys], F.inline(cells))

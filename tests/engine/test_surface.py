@@ -145,3 +145,17 @@ def test_entry(spark):
     if os.path.isdir(SF):
         assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_changed_cells_equal_their_sql_where_shifted_keys_meet_other_orders(spark, tmp_path):
+    import duckdb
+
+    from tallymark.plans import catalog
+
+    con, shift = duckdb.connect(), 1_000_000
+    orders = f"(SELECT i AS o_orderkey, i % 13 AS o_custkey, substr('FOP', i % 3 + 1, 1) AS o_orderstatus, i + 0.25::DOUBLE AS o_totalprice, TIMESTAMP '2024-01-01' + to_days((i % 17)::INT) AS o_orderdate, '1-' || i % 5 AS o_orderpriority FROM (SELECT unnest(range(2000)) AS i UNION ALL SELECT unnest(range({shift}, {shift + 2000}))))"
+    con.sql(f"copy {orders} to '{tmp_path}/orders.parquet'")
+    con.sql(f"create view orders as select * from '{tmp_path}/orders.parquet'")
+    tidy = lambda rows: sorted(tuple(map(str, r)) for r in rows)
+    got, sql = catalog.queries()["changed_cells"](spark, str(tmp_path)), con.sql(catalog.oracle_sql()["changed_cells"])
+    assert got.columns == sql.columns and tidy(got.collect()) == tidy(sql.fetchall())
