@@ -1,11 +1,11 @@
 """Near copies by shingle similarity: SimHash fingerprints compared in tiles, the shingle sets decide.
 
 At a similarity of 0.8 fingerprints of 64 bits differ by ten bits or so, at random by thirty-two; so
-here a text has 256 bits. Comparing all of them would be quadratic, so a banding index over least
-hashes of the shingles cuts the texts into blocks first: texts that share a band are in one block (components of the
-bands' stars, never pairs). In a block, tiles of fingerprints are compared by numpy exclusive-or and bit counts as in
-``simhash``, and what is near is verified on the shingle sets.
+here a text has 256 bits. The fingerprints of all different texts of like sizes are compared, tile by tile, by numpy exclusive-or
+and bit counts as in ``simhash``: no index decides which of them meet. A tile is skipped only where the sets' sizes rule the
+similarity out. What is near makes a graph, whose components are blocks; the shingle sets of a block's texts decide.
 
+A row goes to a bounded number of chunks, so what is shuffled grows with the texts, and the comparisons with their square.
 A group of copies may be a block of any size. Each of a block's texts is held against the block's pivot, and those
 similar to it are tied to it and need no comparison with each other; only the rest make tiles of bounded size, which
 all the block's texts visit. So a large group of near copies costs a step a text, and pairs never leave a task.
@@ -13,7 +13,9 @@ all the block's texts visit. So a large group of near copies costs a step a text
 
 from __future__ import annotations
 
+import functools
 import itertools
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,9 +29,13 @@ from tallymark.llm.components import components
 from tallymark.llm.simhash import BLOCK, _edges, _roots
 
 SHINGLE, SIMILARITY = 5, 0.8
-#: 64-bit words of a fingerprint, and bits that may differ: at a similarity of 0.8 about a seventh do, of the smallest sets a fifth (48); 90 is over six deviations beyond.
-PRINTS, RADIUS = 4, 90
-#: Bands of an index entry, and least hashes in a band: at a similarity of 0.8 a band is shared with a chance of 0.26, so no band with one of 4 in a billion.
+#: 64-bit words of a fingerprint.
+PRINTS = 4
+#: Deviations above the mean that fingerprints of the least similarity may differ by, and the sizes up to which mean and deviation are worked out one by one.
+DEVIATIONS, EXACT = 6.5, 48
+#: Fingerprints of its own that a tile's chunk holds at least, chunks that a tile has at most, and fingerprints of a side in one exclusive-or.
+CHUNK, CHUNKS, SIDE = 4096, 32, 256
+#: Bands of a text, and least hashes in a band: at a similarity of 0.8 a band is shared with a chance of 0.26.
 BANDS, ROWS = 64, 6
 #: Candidates that are verified one by one.
 FEW = 4
@@ -65,8 +71,45 @@ def sketch(hashes: np.ndarray) -> np.ndarray:
     return out
 
 
+def _flips(n: int, m: int, shared: int) -> float:
+    """The chance that a bit differs between sets of n and m hashes, so many of them shared."""
+
+    def over(size: int) -> np.ndarray:
+        """The chance of a majority, by how many of the shared hashes have the bit."""
+        own = size - shared
+        tail = np.append(np.cumsum([math.comb(own, i) / 2.0**own for i in range(own, -1, -1)])[::-1], 0.0)
+        return tail[np.clip(size // 2 + 1 - np.arange(shared + 1), 0, own + 1)]
+
+    a, b = over(n), over(m)
+    weights = np.array([math.comb(shared, i) / 2.0**shared for i in range(shared + 1)])
+    return float((weights * (a * (1 - b) + b * (1 - a))).sum())
+
+
+@functools.cache
+def radii(threshold: float) -> np.ndarray:
+    """[n, m]: bits by which fingerprints of n and m shingles (EXACT: so many or more) may differ; -1 where the sizes alone rule ``threshold`` out."""
+    out = np.full((EXACT + 1, EXACT + 1), -1, np.int64)
+    out[0, 0] = 0
+    for n in range(1, EXACT):
+        for m in range(n, EXACT):
+            shared = math.ceil(threshold * (n + m) / (1 + threshold) - 1e-9)
+            if shared <= n:
+                p = _flips(n, m, shared)
+                out[n, m] = out[m, n] = math.floor(64 * PRINTS * p + DEVIATIONS * math.sqrt(64 * PRINTS * p * (1 - p)))
+    # the larger the sets the fewer bits differ, so what the upper half of the sizes needs is enough for all larger ones
+    out[EXACT, 1:] = out[1:, EXACT] = out[EXACT // 2 :, EXACT // 2 :].max()
+    return out
+
+
+#: The most bits that may differ at SIMILARITY.
+RADIUS = int(radii(SIMILARITY).max())
+
+
 def bands(sets: list[np.ndarray]) -> np.ndarray:
-    """BANDS numbers for each set: hashes of ROWS least hashes each. The empty set has those of no other."""
+    """BANDS numbers for each set: hashes of ROWS least hashes each. The empty set has those of no other.
+
+    An index for sets of SIMILARITY or more; ``similar_texts`` doesn't take it, as it compares all fingerprints.
+    """
     sizes = np.array([len(s) for s in sets], np.int64)
     full = np.nonzero(sizes)[0]
     out = np.zeros((len(sets), BANDS), np.uint64)
@@ -89,6 +132,80 @@ def similarity(a: np.ndarray, b: np.ndarray) -> float:
     return shared / (len(a) + len(b) - shared) if len(a) or len(b) else 1.0
 
 
+def _hook(parent: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
+    """Join a[i] and b[i] for all i at once; parents are always smaller, and all are roots afterwards."""
+    while True:
+        while ((top := parent[parent]) != parent).any():
+            parent[:] = top
+        a, b = parent[a], parent[b]
+        apart = a != b
+        if not apart.any():
+            return
+        a, b = a[apart], b[apart]
+        np.minimum.at(parent, np.maximum(a, b), np.minimum(a, b))
+
+
+class _Tile:
+    """The fingerprints of one chunk, which later ones are held against; no more edges come of it than rows."""
+
+    def __init__(self, threshold: float):
+        self.threshold, self.radii = threshold, radii(threshold)
+        self.keys, self.sizes, self.prints, self.parent = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros((0, PRINTS), np.uint64), None
+
+    def add(self, keys, sizes, prints) -> None:
+        self.keys, self.sizes, self.prints = np.concatenate([self.keys, keys]), np.concatenate([self.sizes, sizes]), np.concatenate([self.prints, prints])
+
+    def close(self) -> None:
+        if self.parent is None:
+            order, self.parent = np.argsort(self.sizes, kind="stable"), np.arange(len(self.keys))
+            self.keys, self.sizes, self.prints = self.keys[order], self.sizes[order], self.prints[order]
+            for i, j in self._near(self.sizes, self.prints, within=True):
+                _hook(self.parent, i, j)
+
+    def _near(self, sizes, prints, within: bool = False) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Places of home rows and of other ones (both by size) whose sizes and fingerprints allow the similarity, SIDE rows of each at a time."""
+        own, other = np.ascontiguousarray(self.prints.T), np.ascontiguousarray(prints.T)
+        for a in range(0, len(self.keys), SIDE):
+            n = self.sizes[a : a + SIDE]
+            for b in range(0, a + SIDE if within else len(sizes), SIDE):
+                m = sizes[b : b + SIDE]
+                if not len(m) or m[-1] < self.threshold * n[0] or n[-1] < self.threshold * m[0]:
+                    continue
+                x, y = np.minimum(n, EXACT), np.minimum(m, EXACT)
+                most = self.radii[x[0] : x[-1] + 1, y[0] : y[-1] + 1].max()
+                if most < 0:
+                    continue
+                # in bytes: a difference of all 256 bits would count as none, and the shingle sets decide
+                apart = np.bitwise_count(own[0, a : a + SIDE, None] ^ other[0, None, b : b + SIDE])
+                for w in range(1, PRINTS):
+                    apart += np.bitwise_count(own[w, a : a + SIDE, None] ^ other[w, None, b : b + SIDE])
+                near = apart <= most
+                if not near.any():
+                    continue
+                i, j = np.nonzero(near)
+                near = apart[i, j] <= self.radii[x[i], y[j]]
+                near &= np.minimum(n[i], m[j]) >= self.threshold * np.maximum(n[i], m[j])
+                i, j = i[near] + a, j[near] + b
+                if len(i):
+                    yield i, j
+
+    def visit(self, keys, sizes, prints) -> list[np.ndarray]:
+        self.close()
+        order = np.argsort(sizes, kind="stable")
+        keys, lead = keys[order], np.full(len(keys), -1)
+        for i, j in self._near(sizes[order], prints[order]):
+            new = lead[j] < 0
+            lead[j[new]] = i[new]
+            _hook(self.parent, lead[j], i)
+        found = lead >= 0
+        return [np.stack([keys[found], self.keys[lead[found]]], 1).view(np.uint64)] if found.any() else []
+
+    def forest(self) -> list[np.ndarray]:
+        self.close()
+        bound = np.nonzero(self.parent != np.arange(len(self.parent)))[0]
+        return [np.stack([self.keys[bound], self.keys[self.parent[bound]]], 1).view(np.uint64)] if len(bound) else []
+
+
 class _Index:
     """Which of some sets have which shingle."""
 
@@ -109,7 +226,7 @@ class _Home:
     """The rows of one chunk, which later ones are held against."""
 
     def __init__(self, threshold: float):
-        self.threshold = threshold
+        self.threshold, self.radius = threshold, int(radii(threshold).max())
         self.keys, self.sizes, self.prints = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros((0, PRINTS), np.uint64)
         self.sets: list[np.ndarray] = []
         self.parent = np.zeros(0, np.int64)
@@ -161,10 +278,10 @@ class _Home:
         for a in range(0, len(prints), BLOCK):
             for b in range(0, min(len(self.prints), a + BLOCK) if within else len(self.prints), BLOCK):
                 p, q = counts[a : a + BLOCK], own_counts[b : b + BLOCK]
-                if p.min() - q.max() > RADIUS or q.min() - p.max() > RADIUS:
+                if p.min() - q.max() > self.radius or q.min() - p.max() > self.radius:
                     continue
                 apart = sum(np.bitwise_count(prints[a : a + BLOCK, None, w] ^ self.prints[None, b : b + BLOCK, w]).astype(np.int16) for w in range(PRINTS))
-                i, j = np.nonzero(apart <= RADIUS)
+                i, j = np.nonzero(apart <= self.radius)
                 i, j = i + a, j + b
                 small, large = np.minimum(sizes[i], self.sizes[j]), np.maximum(sizes[i], self.sizes[j])
                 kept = small >= self.threshold * large
@@ -193,8 +310,8 @@ class _Home:
         return [np.stack([self.keys[bound], self.keys[self.parent[bound]]], 1).view(np.uint64)] if len(bound) else []
 
 
-def _compare(threshold: float):
-    """Rows (block, chunk, visits, key, n, prints, shingles) in that order to edges."""
+def _compare(threshold: float, with_sets: bool):
+    """Rows (block, chunk, visits, key, n, prints[, shingles]) in that order to edges: between near fingerprints, or with the sets between similar texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         home, at = None, None
@@ -203,15 +320,15 @@ def _compare(threshold: float):
             if not len(batch):
                 continue
             prints = np.frombuffer(b"".join(batch.column(5).to_pylist()), np.uint64).reshape(-1, PRINTS)
-            sets = [np.frombuffer(s, np.uint64) for s in batch.column(6).to_pylist()]
+            sets = [np.frombuffer(s, np.uint64) for s in batch.column(6).to_pylist()] if with_sets else None
             cuts = np.nonzero((np.diff(block) != 0) | (np.diff(chunk) != 0) | (np.diff(visits) != 0))[0] + 1
             out: list[np.ndarray] = []
             for a, b in itertools.pairwise([0, *cuts.tolist(), len(keys)]):
                 if (block[a], chunk[a]) != at:
                     if home is not None:
                         out += home.forest()
-                    home, at = _Home(threshold), (block[a], chunk[a])
-                rows = (keys[a:b], sizes[a:b], prints[a:b], sets[a:b])
+                    home, at = _Home(threshold) if with_sets else _Tile(threshold), (block[a], chunk[a])
+                rows = (keys[a:b], sizes[a:b], prints[a:b], *([sets[a:b]] if with_sets else []))
                 if visits[a]:
                     out += home.visit(*rows)
                 else:
@@ -235,12 +352,24 @@ def _held_to_pivot(threshold: float):
     return run
 
 
-def blocks(nodes: DataFrame, work: Workspace) -> DataFrame:
-    """(key, block): the texts that share a band with another one, by the components of the bands."""
-    entries = nodes.select("key", F.explode("bands").alias("band"))
-    # written, so that the join is one of two plain sides and a band of very many texts can be split
-    least = work.write(entries.groupBy("band").agg(F.min("key").alias("v"), F.count("*").alias("n")).where("n > 1").select("band", "v"), "bands")
-    stars = components(entries.join(least, "band").select(F.col("key").alias("u"), "v"), work, "block")
+def blocks(nodes: DataFrame, work: Workspace, threshold: float = SIMILARITY) -> DataFrame:
+    """(key, block): the texts whose fingerprints are near another one's, by the components of all that are.
+
+    A tile has the texts whose numbers of shingles are ``threshold`` of each other or more, about; a similar one is in the same tile or the next. Every
+    fingerprint of a tile meets every other one there and in the next tile, in chunks.
+    """
+    # a little wider than the threshold asks, so that no rounding puts similar texts two tiles apart
+    width = max(math.log(1 / threshold), 0.01) * (1 + 1e-6)
+    tile = F.when(F.col("n") > 0, F.floor(F.log(F.col("n").cast("double")) / width)).otherwise(F.lit(-2)).cast("long")
+    sized = nodes.select(tile.alias("tile"), "key", "n", "prints")
+    tiles = F.broadcast(sized.groupBy("tile").agg(F.least(F.ceil(F.count("*") / CHUNK), F.lit(CHUNKS)).cast("int").alias("chunks")))
+    rows = sized.join(tiles, "tile").withColumn("chunk", F.pmod(F.xxhash64("key"), F.col("chunks")).cast("int"))
+    own = rows.select("tile", F.explode(F.sequence(F.lit(0), F.col("chunk"))).alias("at"), "chunk", "key", "n", "prints")
+    own = own.select("tile", F.col("at").alias("chunk"), F.when(F.col("at") < F.col("chunk"), 1).otherwise(0).alias("visits"), "key", "n", "prints")
+    on = sized.withColumn("tile", F.col("tile") + 1).join(tiles, "tile")
+    on = on.select("tile", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), F.lit(1).alias("visits"), "key", "n", "prints")
+    dealt = own.unionByName(on).repartition("tile", "chunk").sortWithinPartitions("tile", "chunk", "visits")
+    stars = components(dealt.mapInArrow(_compare(threshold, False), "u long, v long"), work, "block")
     return work.write(stars.select(F.col("u").alias("key"), F.col("v").alias("block")).union(stars.select("v", "v").distinct()), "blocks")
 
 
@@ -251,15 +380,13 @@ def similar_texts(docs: DataFrame, row_col: str, text_col: str, work: Workspace,
         for batch in batches:
             for part in slices(batch, "text"):
                 found = [shingles(t or b"", k) for t in part.column("text").cast(pa.binary()).to_pylist()]
-                index = [np.unique(b).tolist() for b in bands(found).view(np.int64)]
-                yield pa.RecordBatch.from_arrays([*part.columns[:2], pa.array([len(h) for h in found], pa.int64()), pa.array([sketch(h).tobytes() for h in found], pa.binary()), pa.array(index, pa.list_(pa.int64()))], names=["key", "row", "n", "prints", "bands"])
+                yield pa.RecordBatch.from_arrays([*part.columns[:2], pa.array([len(h) for h in found], pa.int64()), pa.array([sketch(h).tobytes() for h in found], pa.binary())], names=["key", "row", "n", "prints"])
 
     rows = docs.select(text_hash(text_col).alias("key"), F.col(row_col).alias("row"), F.col(text_col).alias("text"))
     kind = rows.schema["row"].dataType.simpleString()
-    sketched = rows.mapInArrow(make, f"key long, row {kind}, n long, prints binary, bands array<long>")
-    sketched = work.write(sketched.groupBy("key").agg(F.min("row").alias("row"), *[F.first(c).alias(c) for c in ("n", "prints", "bands")]), "texts")
-    nodes = sketched.drop("bands")
-    member = nodes.join(blocks(sketched, work), "key").select("block", "key", "n", "prints", F.col("row").alias("row_"))
+    sketched = rows.mapInArrow(make, f"key long, row {kind}, n long, prints binary")
+    nodes = work.write(sketched.groupBy("key").agg(F.min("row").alias("row"), *[F.first(c).alias(c) for c in ("n", "prints")]), "texts")
+    member = nodes.join(blocks(nodes, work, threshold), "key").select("block", "key", "n", "prints", F.col("row").alias("row_"))
 
     def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -281,7 +408,7 @@ def similar_texts(docs: DataFrame, row_col: str, text_col: str, work: Workspace,
     last = F.when(F.col("near"), F.col("chunks") - 1).otherwise(F.col("chunk"))
     visits = placed.select("key", F.explode(F.sequence(F.lit(0), last)).alias("chunk_"), "near", "chunk").select("key", F.col("chunk_").alias("chunk"), F.when(F.col("near") | (F.col("chunk_") < F.col("chunk")), 1).otherwise(0).alias("visits"))
     dealt = full.join(visits, "key").select("block", "chunk", "visits", "key", "n", "prints", "shingles").repartition("block", "chunk").sortWithinPartitions("block", "chunk", "visits")
-    verified = work.write(dealt.mapInArrow(_compare(threshold), "u long, v long"), "verified")
+    verified = work.write(dealt.mapInArrow(_compare(threshold, True), "u long, v long"), "verified")
     return nodes, components(tied.unionByName(verified), work, "similar")
 
 

@@ -727,6 +727,34 @@ def test_near_copies_of_the_pivot_are_not_compared_with_each_other(documents, mo
     assert sorted(r.doc_id for r in similar.keep_one(documents(rows)).collect()) == want
 
 
+def test_all_fingerprints_are_compared_whatever_the_similarity(documents):
+    """At a half an index made for 0.8 would keep a third of the pairs from meeting."""
+    rng = random.Random(12)
+    rows = []
+    for i in range(120):
+        words = [f"u{rng.randrange(10**6)}" for _ in range(rng.randint(8, 90))]
+        rows += [(2 * i, " ".join(words)), (2 * i + 1, " ".join([*words, *[f"z{rng.randrange(10**6)}" for _ in range(len(words) * 4 // 5)]]))]
+    label = brute_similar([t for _, t in rows], 0.5)
+    want = sorted(min(i for i in range(len(rows)) if label[i] == x) for x in set(label))
+    assert sorted(r.doc_id for r in similar.keep_one(documents(rows), threshold=0.5).collect()) == want and len(want) < 140
+
+
+@pytest.mark.parametrize("chunk, chunks", [(8, 3), (50, 32)])
+def test_chunks_of_fingerprints_lose_no_pair(spark, monkeypatch, chunk, chunks):
+    """Every two near fingerprints of like sizes are in one block, however the tiles are cut."""
+    monkeypatch.setattr(similar, "CHUNK", chunk)
+    monkeypatch.setattr(similar, "CHUNKS", chunks)
+    rng, sets = np.random.default_rng(4), [np.zeros(0, np.uint64)]
+    for _ in range(80):
+        own = rng.integers(0, 1 << 62, rng.integers(1, 70)).astype(np.uint64)
+        sets += [np.unique(own[: len(own) - d]) for d in range(min(len(own), 4))]
+    prints, sizes = [similar.sketch(s) for s in sets], [len(s) for s in sets]
+    nodes = spark.createDataFrame([(i, n, p.tobytes()) for i, (n, p) in enumerate(zip(sizes, prints, strict=True))], "key long, n long, prints binary")
+    block = {r.key: r.block for r in similar.blocks(nodes, similar.Workspace(spark)).collect()}
+    found = [(i, j) for i in range(len(sets)) for j in range(i) if similar.similarity(sets[i], sets[j]) >= 0.8]
+    assert len(found) > 150 and all(i in block and block[i] == block.get(j) for i, j in found)
+
+
 def test_similar_texts_of_nothing(documents):
     assert similar.keep_one(documents([(1, "a")]).limit(0)).count() == 0
 
